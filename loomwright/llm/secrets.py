@@ -33,7 +33,7 @@ _ENCODINGS = (
 _PLACE = {name: {c: i for i, c in enumerate(a)} for name, a in _ENCODINGS}
 #: Bands of length that are controlled apart, scores in bins of tenths of -log10 p, and the share of false discoveries allowed.
 BANDS = (16, 20, 24, 32, 40, 64, 128)
-BINS, FDR = 60, 0.01
+BINS, FDR = 60, 0.05
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

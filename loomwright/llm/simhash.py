@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, components, forest, group_starts, materialise, whole_groups
@@ -180,3 +181,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links)
     by_fp = reps.join(found, reps.rep == found.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
     return fps.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs that have the smallest doc_id of their group of near-duplicates; of rows that repeat that id, one.
+
+    Rows with a null doc_id stay. Only doc_ids move to find what goes; rows that repeat a doc_id are told apart by
+    their text, lowest first.
+    """
+    found = materialise(near_duplicates(docs), "groups")
+    gone = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"), F.count(F.lit(1)).alias("n"))
+    out = materialise(gone.where("first = 0 or n > 1").select(F.col("doc_id").alias("_id"), "first"), "gone")
+    own = F.col("doc_id").cast("long") == F.col("_id")
+    kept = docs.join(broadcast_if_small(out.select("_id")), own, "left_anti")
+    again = docs.join(broadcast_if_small(out.where("first = 1").select("_id")), own, "left_semi")
+    order = W.partitionBy(F.col("doc_id").cast("long")).orderBy(F.xxhash64("text"), "text")
+    return kept.unionByName(again.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n"))
