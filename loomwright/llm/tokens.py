@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -17,45 +18,94 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, work_dir
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a Python worker keeps; the store is emptied when it is full, which changes no result.
-CACHED_WORDS, CACHED_CHARS = 300_000, 40
-_LOADED: dict[str, tuple] = {}
+#: Words whose ids a Python worker keeps, of up to so many bytes. They are kept in two halves; when one is full the other goes.
+CACHED_WORDS, CACHED_BYTES = 1_000_000, 40
+#: Words of letters (ASCII, and U+00C0 to U+00FF but for the two signs there) with stops after them, and how many are encoded in a line.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]*)")
+_LINE = 64
 
 
-def _loaded(name: str) -> tuple:
-    if name not in _LOADED:
+class _Words:
+    """A tokenizer and the ids of words, as little-endian 32-bit integers."""
+
+    def __init__(self, name: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        _LOADED[name] = (Tokenizer.from_file(public_tokenizers.path(name)), {})
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
+
+    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words of letters alone: each is one word to the tokenizer too, so a line of them is encoded at once and cut by word."""
+        lines = [words[i : i + _LINE] for i in range(0, len(words), _LINE)]
+        out = {}
+        for line, e in zip(lines, self._encode([b" ".join(x).decode() for x in lines]), strict=True):
+            ids, at = np.array(e.ids, "<u4"), np.array(e.word_ids)
+            edge = np.searchsorted(at, np.arange(len(line) + 1)) * 4
+            raw = ids.tobytes()
+            out.update((w, raw[a:b]) for w, a, b in zip(line, edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+        return out
+
+    def known(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """A dictionary that has the ids of all these words."""
+        if len(self.new) > CACHED_WORDS // 2:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        fresh, bare, rest = [], set(), []
+        for w in words.difference(new):
+            if w in old:
+                new[w] = old[w]
+            elif m := _PLAIN.fullmatch(w):
+                fresh.append((w, m[1], m[2]))
+                if m[1] not in new and m[1] not in old:
+                    bare.add(m[1])
+            else:
+                rest.append(w)
+        rest += {s for _, _, s in fresh if s and s not in new}
+        kept = self._letters(list(bare))
+        for i in range(0, len(rest), 4096):
+            for w, e in zip(rest[i : i + 4096], self._encode([w.decode() for w in rest[i : i + 4096]]), strict=True):
+                kept[w] = np.array(e.ids, "<u4").tobytes()
+        for w, b, s in fresh:
+            own = kept.get(b) or new.get(b) or old[b]
+            kept[w] = own + (kept.get(s) or new[s]) if s else own
+        if any(len(w) > CACHED_BYTES for w in kept):
+            new.update((w, i) for w, i in kept.items() if len(w) <= CACHED_BYTES)
+            return {w: kept[w] if w in kept else new[w] for w in words}
+        new.update(kept)
+        return new
+
+
+_LOADED: dict[str, _Words] = {}
+
+
+def loaded(name: str) -> _Words:
+    if name not in _LOADED:
+        _LOADED[name] = _Words(name)
     return _LOADED[name]
 
 
 def encode(texts: list[str], name: str = TOKENIZER) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers.
 
-    This tokenizer drops white space, and none of its steps looks across it, so a text's ids are those of its parts
-    between spaces and line feeds; each different part is encoded once.
+    This tokenizer lowers case, drops white space and looks across it in no step, so a text's ids are those of its parts
+    between spaces and line feeds, with A-Z lowered; each different part is encoded once. Texts that may hold the name of
+    a special token keep their case.
     """
-    tok, known = _loaded(name)
-    if len(known) > CACHED_WORDS:
-        known.clear()
-    parts = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({w for p in parts for w in p if w not in known})
-    rare: dict[str, bytes] = {}
-    for i in range(0, len(new), 4096):
-        some = new[i : i + 4096]
-        for w, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            (known if len(w) <= CACHED_CHARS else rare)[w] = np.array(e.ids, "<u4").tobytes()
-    if rare:
-        get = {**known, **rare}.__getitem__ if len(rare) > 64 else lambda w: rare[w] if w in rare else known[w]
-    else:
-        get = known.__getitem__
+    parts = []
+    for t in texts:
+        b = t.encode().replace(b"\n", b" ")
+        parts.append((b if b"<|" in b else b.lower()).split(b" "))
+    get = loaded(name).known({w for p in parts for w in p}).__getitem__
     return [b"".join(map(get, p)) for p in parts]
 
 
-def encoded(texts: pa.Array, name: str = TOKENIZER, at_once: int = 200) -> Iterator[bytes]:
+def encoded(texts: pa.Array, name: str = TOKENIZER, at_once: int = 500) -> Iterator[bytes]:
     for i in range(0, len(texts), at_once):
         yield from encode([x or "" for x in texts.slice(i, at_once).to_pylist()], name)
 
@@ -110,8 +160,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2) -> None:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for x in batches:
-            for i in range(0, x.num_rows, 200):
-                some = x.slice(i, 200)
+            for i in range(0, x.num_rows, 500):
+                some = x.slice(i, 500)
                 got = [b + end for b in encoded(some["text"])]
                 n = np.array([len(b) // 4 for b in got])
                 edge = np.concatenate([[0], np.cumsum(n)])

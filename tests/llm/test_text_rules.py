@@ -86,7 +86,18 @@ def test_sliced_links_and_blocks(spark, monkeypatch):
 
 
 def whole_ids(text):
-    return tokens._loaded(tokens.TOKENIZER)[0].encode(text, add_special_tokens=False).ids
+    return tokens.loaded(tokens.TOKENIZER).tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_encode(monkeypatch):
+    texts = ["", " ", "The the THE, the. the... the.,; don't DON'T it's 's", "É é É ß ẞ İ ΑΣ ΑΣ. ÷ × a÷b Ñandú, año2024 a1b2", "<|endoftext|> <|ENDOFTEXT|> x<|startoftext|>Y Word", "a\u00a0b\u2003c\x1cd\te\rf", "x" * 200 + ". y", "中文 字。 한국 🙂🙂 ok!!! ?!", "\u0301a e\u0301 \n\u0301"]
+    for cap in (1_000_000, 4):
+        monkeypatch.setattr(tokens, "CACHED_WORDS", cap)
+        tokens._LOADED.clear()
+        for _ in range(2):
+            for at in (texts, texts[::-1], texts[2:4]):
+                assert [np.frombuffer(b, "<u4").tolist() for b in tokens.encode(at)] == [whole_ids(t) for t in at]
+    tokens._LOADED.clear()
 
 
 @pytest.mark.parametrize("name", ["docs", "odd"])
