@@ -11,7 +11,7 @@ from .common import WORD, broadcast_if_small, materialise, slots
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Words in a block, block slots in an output shard, and slots that one task lays out at a time.
-BLOCK, SHARD, CHUNK = 128, 8192, 65_536
+BLOCK, SHARD, CHUNK = 128, 8192, 16_384
 SEED, ROUNDS = 42, 16
 
 
@@ -53,13 +53,14 @@ def layout(plan: DataFrame, block: int = BLOCK) -> DataFrame:
     source gets in a shard is a multinomial draw that is conditioned on the sources' totals, so the totals stay exact.
     """
     size, target = F.col("source_size"), F.col("target")
+    tasks = 1 + int((plan.agg(F.sum("target")).first()[0] or 0) / block / CHUNK)
     blocks = F.ceil(size / block).cast("long")
     passes = F.when(size > 0, F.floor(target / size)).otherwise(0).cast("long")
     rest = F.least(blocks, F.round((target - passes * size) / block).cast("long"))
     x = plan.withColumn("blocks", blocks).withColumn("n", F.when(size > 0, passes * blocks + rest).otherwise(0).cast("long"))
     by_sid = W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)
     x = x.withColumn("base", F.coalesce(F.sum("n").over(by_sid), F.lit(0))).withColumn("all", F.sum("n").over(W.partitionBy())).where("n > 0")
-    x = x.select("sid", "blocks", "n", "base", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))).alias("chunk")).repartition("sid", "chunk")
+    x = x.select("sid", "blocks", "n", "base", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))).alias("chunk")).repartition(tasks, "sid", "chunk")
     first = F.col("chunk") * CHUNK
     x = x.select("sid", "blocks", "base", "all", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("n")) - 1)).alias("slot"))
     pass_ = F.floor(F.col("slot") / F.col("blocks")).cast("long")
@@ -82,7 +83,7 @@ def _blocks(streamed: DataFrame, plan: DataFrame) -> DataFrame:
     cut = streamed.where("size > 0").select("sid", "before", "size", F.explode(F.sequence(F.floor(at / BLOCK), F.floor((end - 1) / BLOCK))).alias("block"))
     words = F.least(F.col("before") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest("before", F.col("block") * BLOCK)
     taken = layout(plan).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("shard"))
-    return cut.select("sid", "before", "block", words.alias("words")).join(taken, ["sid", "block"])
+    return cut.select("sid", "before", "block", words.alias("words")).join(taken.hint("merge"), ["sid", "block"])  # a few sources make many slots, which statistics don't tell
 
 
 def _sized(docs: DataFrame, source: str, *columns: str) -> DataFrame:
