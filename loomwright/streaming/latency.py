@@ -8,6 +8,6 @@ from pyspark.sql import functions as F
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(window_start, event_type, n, total) of each window; on a stream, windows close when the watermark passes them."""
-    x = events.withWatermark("ts", late) if events.isStreaming else events
+    x = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     got = x.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return got.select(F.col("w.start").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+    return got.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
