@@ -14,6 +14,8 @@ from .common import BLANKS, broadcast_if_small, by_text, materialise
 SYMBOLS = b"#*$%&|<>"
 #: A host is rejected when its shrunken share of failing documents reaches this.
 HOST_RATE = 0.75
+#: A host of fewer documents is never rejected: where most hosts fail, the prior alone would reject it.
+HOST_DOCS = 20
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -64,7 +66,7 @@ def host_verdicts(facts: DataFrame, host: str = "source") -> DataFrame:
         strength = min(max(spread / between - 1, 1.0), 1000.0)
         alpha, beta = mean * strength, (1 - mean) * strength
     rate = (F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
-    return hosts.withColumn("rate", rate).withColumn("rejected", F.col("rate") >= F.lit(HOST_RATE))
+    return hosts.withColumn("rate", rate).withColumn("rejected", (F.col("rate") >= F.lit(HOST_RATE)) & (F.col("n") >= HOST_DOCS))
 
 
 def rejected_hosts(facts: DataFrame, host: str = "source") -> DataFrame:

@@ -69,7 +69,7 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM b GROUP BY 1),
 m AS (SELECT least(greatest(avg(k / n), 1e-3), 1 - 1e-3) AS mean, var_pop(k / n) AS v, avg(1 / n) AS inv FROM h),
 s AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(v - mean * (1 - mean) * inv, 1e-4 * mean * (1 - mean)) - 1, 1), 1000) AS strength FROM m),
-bad AS (SELECT source FROM h, s WHERE (k + mean * strength) / (n + strength) >= 0.75)
+bad AS (SELECT source FROM h, s WHERE (k + mean * strength) / (n + strength) >= 0.75 AND n >= 20)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM b.source) AS kept FROM b"""
 
 SQL: dict[str, str] = {"op4_quality": _OP4}
