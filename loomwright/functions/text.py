@@ -38,10 +38,70 @@ def jaccard(a: Column, b: Column) -> Column:
 def citations(answer: Column) -> Column:
     """Numbers cited in brackets, each once, in order of first mention."""
     groups = F.regexp_extract_all(answer, F.lit(r"[\[【]\s*([\d\s,，、;；]+)\s*[\]】]"), F.lit(1))
-    return F.transform(F.array_distinct(F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(r"(\d+)"), F.lit(1))))), lambda x: x.cast("int"))
+    return F.array_distinct(F.transform(F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(r"(\d+)"), F.lit(1)))), lambda x: x.try_cast("int")))
 
 
 def query_variants(original: Column, reply: Column, most: int) -> Column:
     """The original and the lines of a reply without list marks and quotes, each once, at most so many."""
     lines = F.transform(F.split(reply, "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^[\s\d\-*•.、]+", ""), "^[\"'“”]+|[\"'“”]+$", "")))
     return F.slice(F.array_distinct(F.concat(F.array(original), F.filter(lines, lambda x: x != ""))), 1, most)
+
+
+#: Fixed pattern: a run up to and with its end marks, or what is left at the end.
+SENTENCE = r"[^。！？；\n.!?]*[。！？；\n.!?]+|[^。！？；\n.!?]+$"
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
+
+
+def sentences(c: Column) -> Column:
+    """Sentences with their end marks, without blank ones; a text without any is its own only one."""
+    found = F.filter(F.regexp_extract_all(c, F.lit(SENTENCE), F.lit(0)), lambda x: strip(x) != "")
+    return F.when(F.size(found) > 0, found).otherwise(F.array(c))
+
+
+def compressed(c: Column, cap: Column) -> Column:
+    """A text within `cap` code points as it is; else the sentences from its head that fit, at least the head of the first."""
+    fits = F.aggregate(
+        sentences(c), F.struct(F.lit("").alias("text"), F.lit(False).alias("full")),
+        lambda a, s: F.when(a["full"] | (F.length(a["text"]) + F.length(s) > cap), F.struct(a["text"].alias("text"), F.lit(True).alias("full"))).otherwise(F.struct(F.concat(a["text"], s).alias("text"), F.lit(False).alias("full"))),
+        lambda a: a["text"],
+    )
+    head = F.substring(sentences(c)[0], F.lit(1), F.greatest(cap, F.lit(0)).cast("int"))
+    return F.when(F.length(c) <= cap, c).when(F.length(sentences(c)[0]) > cap, head).otherwise(fits)
+
+
+def json_items(reply: Column, schema: str) -> Column:
+    """The array in a reply, fenced or amid other words; an empty one where there is none."""
+    bare = F.regexp_replace(F.regexp_replace(strip(reply), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    read = lambda x: F.from_json(x, f"array<{schema}>")
+    whole = F.when(bare.startswith("["), read(bare))
+    return F.coalesce(whole, read(F.nullif(F.regexp_extract(bare, r"(?s)\[.*\]", 0), F.lit(""))), F.from_json(F.lit("[]"), f"array<{schema}>"))
+
+
+def needs_many(reply: Column) -> Column:
+    """Whether a reply asks for several queries; a denial counts before an assent, silence as a denial."""
+    return F.when(reply.contains("不需要"), False).when(reply.contains("需要"), True).otherwise(False)
+
+
+def entity(reply: Column) -> Column:
+    """The name in a reply, or null where it says that there is none."""
+    x = F.regexp_replace(strip(reply), "^。+|。+$", "")
+    return F.when((x == "") | F.lower(x).isin("无", "none", "未知", "不清楚"), None).otherwise(x)
+
+
+def coverage(query: Column, content: Column) -> Column:
+    """The share of a query's different characters that a text has."""
+    chars = F.array_distinct(F.split(query, ""))
+    return F.size(F.array_intersect(chars, F.split(content, ""))) / F.size(chars)
+
+
+def cache_key(tenant: Column, user: Column, permissions: Column, documents: Column, strategy: Column, mode: Column, rerank: Column, version: Column, query: Column) -> Column:
+    """A key that changes with whatever may change the answer: who asks, what they may read, how, and of which index."""
+    listed = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    may = F.when(F.coalesce(F.size(permissions), F.lit(0)) > 0, listed(permissions)).otherwise("none")
+    docs = F.when(documents.isNull(), "all").when(F.size(documents) == 0, "none").otherwise(F.sha2(listed(documents).cast("binary"), 256))
+    blank = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), F.lit(other))
+    parts = [F.lit("v2"), blank(tenant, "default"), blank(user, ""), may, docs, strategy, mode, F.when(rerank, "True").otherwise("False"), blank(version, "missing"), strip(blank(query, ""))]
+    return F.sha2(F.concat_ws("|", *parts).cast("binary"), 256)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,24 +9,7 @@ from ..functions.text import stable_id
 from ..operators import catalog, chunking, context, evaluation, retrieval
 from ..sources.html import pages_text
 from ..streaming.latency import windowed
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import query, t
 
 _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace({0}, chr(160), ' '), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
 _DOCS = f"c AS (SELECT doc_id, {_CLEAN.format('text')} AS content FROM documents), d AS (SELECT * FROM c WHERE content <> '')"
@@ -57,11 +37,11 @@ def html_pages(spark, sf_dir):
     return pages_text(t(spark, sf_dir, "pages"))
 
 
-def _bm25(spark, sf_dir, variant="okapi", k=10):
-    return retrieval.bm25(t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), k, variant)
+def _bm25(spark, sf_dir, variant="okapi", k=10, among=None):
+    return retrieval.bm25(t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), k, variant, among)
 
 
-def _bm25_sql(variant: str, k: int, name: str = "hits") -> str:
+def _bm25_sql(variant: str, k: int, name: str = "hits", among: str = "true") -> str:
     k1, b = (1.5, 0.75) if variant == "okapi" else (1.2, 0.75)
     idf = "CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {n}_idf) ELSE raw END" if variant == "okapi" else "raw"
     raw = "ln((n - df + 0.5) / (df + 0.5))" if variant == "okapi" else "ln(1 + (n - df + 0.5) / (df + 0.5))"
@@ -70,7 +50,7 @@ def _bm25_sql(variant: str, k: int, name: str = "hits") -> str:
 {name}_tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM {name}_tok) GROUP BY 1, 2),
 {name}_idf AS (SELECT term, {raw} AS raw FROM (SELECT term, count(*) AS df FROM {name}_tf GROUP BY 1), {name}_stat),
 {name}_q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark) GROUP BY 1, 2),
-{name}_s AS (SELECT query_id, doc_id, sum(qtf * ({idf.format(n=name)}) * tf * {k1 + 1} / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))) AS score FROM {name}_q JOIN {name}_idf USING (term) JOIN {name}_tf USING (term) JOIN {name}_len USING (doc_id), {name}_stat GROUP BY 1, 2),
+{name}_s AS (SELECT query_id, doc_id, sum(qtf * ({idf.format(n=name)}) * tf * {k1 + 1} / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))) AS score FROM {name}_q JOIN {name}_idf USING (term) JOIN {name}_tf USING (term) JOIN {name}_len USING (doc_id), {name}_stat WHERE {among} GROUP BY 1, 2),
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {name}_s) WHERE rank <= {k} AND score > 0)"""
 
 
@@ -238,16 +218,14 @@ def user_permissions(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT lang AS metric, avg(length(text)) AS was FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), c AS (SELECT lang AS metric, avg(length(text)) AS now FROM documents WHERE doc_id % 2 = 1 GROUP BY 1)
-SELECT metric, round(was, 4) AS was, round(now, 4) AS now, now IS NOT NULL AND was - now <= CASE WHEN metric = 'en' THEN 100.0 ELSE 0 END + 1e-9 AS passed FROM b LEFT JOIN c USING (metric)""")
+SELECT metric, round(was, 4) AS was, round(now, 4) AS now, round(now - was, 4) AS delta, metric <> 'en' OR round(now - was, 4) >= -100.0 AS passed FROM b JOIN c USING (metric)""")
 def regression_gate(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
     half = lambda k: d.where(F.col("doc_id") % 2 == k).groupBy(F.col("lang").alias("metric")).agg(F.avg(F.length("text")).alias("value"))
     limits = d.select(F.col("lang").alias("metric")).where("lang = 'en'").distinct().withColumn("limit", F.lit(100.0))
-    return evaluation.regression(half(0), half(1), limits).select("metric", F.round("was", 4).alias("was"), F.round("now", 4).alias("now"), "passed")
+    return evaluation.regression(half(0), half(1), limits).select("metric", F.round("was", 4).alias("was"), F.round("now", 4).alias("now"), "delta", "passed")
 
 
 @query("SELECT doc_id, CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS vector_id FROM documents")
 def stable_ids(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", stable_id(F.col("doc_id").cast("string")).alias("vector_id"))
-
-

@@ -54,3 +54,73 @@ def readable(docs: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
     by_user = held.where("principal_type = 'user'").join(users.select("user_id").distinct(), F.col("principal_id") == F.col("user_id")).select("user_id", "doc_id")
     by_role = held.where("principal_type = 'role'").join(users, F.col("principal_id") == F.col("role")).select("user_id", "doc_id")
     return own.unionByName(by_user).unionByName(by_role).distinct()
+
+
+def may(asked: DataFrame, docs: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
+    """asked(user_id, doc_id, permission) with `allowed`.
+
+    The owner may do all; a document without an owner is open to read; else a grant to the user or to a role of theirs
+    decides. Unknown documents are denied. docs(doc_id, owner), users(user_id, role), grants(doc_id, principal_type,
+    principal_id, permission).
+    """
+    q = asked.select("user_id", "doc_id", "permission").distinct()
+    g = grants.select("doc_id", "permission", "principal_type", "principal_id").distinct()
+    direct = q.join(g.where("principal_type = 'user'"), ["doc_id", "permission"]).where(F.col("principal_id") == F.col("user_id")).select(*q.columns)
+    held = q.join(users.select("user_id", "role"), "user_id").join(g.where("principal_type = 'role'").withColumnRenamed("principal_id", "role"), ["doc_id", "permission", "role"]).select(*q.columns)
+    granted = direct.unionByName(held).distinct().withColumn("_granted", F.lit(True))
+    x = q.join(docs.select("doc_id", F.coalesce(F.col("owner").cast("string"), F.lit("")).alias("_owner"), F.lit(True).alias("_known")), "doc_id", "left").join(granted, q.columns, "left")
+    free = (F.col("_owner") == "") & (F.col("permission") == "read")
+    owned = (F.col("_owner") == F.col("user_id").cast("string")) & (F.col("_owner") != "")
+    allowed = F.col("_known").isNotNull() & (owned | free | ((F.col("_owner") != "") & F.col("_granted").isNotNull()))
+    return x.select(*q.columns, allowed.alias("allowed"))
+
+
+def rolled_back(ledger: DataFrame, targets: DataFrame, doc: str, version: str) -> DataFrame:
+    """The ledger without what is newer than a document's target; a target that is not an older version of it changes nothing."""
+    top = ledger.groupBy(doc).agg(F.max(version).alias("_active"))
+    held = ledger.select(doc, F.col(version).alias("_target")).distinct()
+    ok = targets.select(doc, F.col("target").alias("_target")).join(held, [doc, "_target"], "left_semi").join(top, doc).where((F.col("_target") >= 1) & (F.col("_target") < F.col("_active"))).select(doc, "_target")
+    return ledger.join(ok, doc, "left").where(F.col("_target").isNull() | (F.col(version) <= F.col("_target"))).drop("_target")
+
+
+def listed_versions(ledger: DataFrame, doc: str, version: str) -> DataFrame:
+    """The ledger with `active` on the greatest version of each document."""
+    return ledger.withColumn("active", F.col(version) == F.max(version).over(W.partitionBy(doc)))
+
+
+def resolved(docs: DataFrame, ledger: DataFrame, doc: str, version: str, bump: bool) -> DataFrame:
+    """docs with `version` to write: the next one, or, without a bump, the active one; 1 for new documents."""
+    top = ledger.groupBy(doc).agg(F.max(version).alias("_active"))
+    return docs.join(top, doc, "left").withColumn("version", F.coalesce(F.col("_active") + (1 if bump else 0), F.lit(1))).drop("_active")
+
+
+def without(rows: DataFrame, deleted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that no deleted key has: a delete, and its cascade to a child table."""
+    return rows.join(deleted.select(*keys), keys, "left_anti")
+
+
+def counted(old: DataFrame, bumps: DataFrame, keys: list[str]) -> DataFrame:
+    """Index versions after so many bumps of each key; a key not seen before starts at its bumps."""
+    new = bumps.groupBy(*keys).agg(F.count(F.lit(1)).alias("version"))
+    return old.select(*keys, F.col("version").cast("long").alias("version")).unionByName(new).groupBy(*keys).agg(F.sum("version").alias("version"))
+
+
+def missing(expected: DataFrame, stores: dict[str, DataFrame], key: str) -> DataFrame:
+    """(store, missing, complete) of each store: how many expected ids it lacks."""
+    rows = None
+    for name, store in stores.items():
+        one = expected.select(key).distinct().join(store.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("missing")).select(F.lit(name).alias("store"), "missing", (F.col("missing") == 0).alias("complete"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def survivors(log: DataFrame, group: str, key: str, at: str, most: int) -> DataFrame:
+    """(group, key, last): what a cache of `most` entries a group holds after the log, those used last."""
+    last = log.groupBy(group, key).agg(F.max(at).alias("last"))
+    return last.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(F.col("last").desc(), F.col(key)))).where(F.col("_n") <= most).drop("_n")
+
+
+def fingerprint(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """(group, n, digest): a digest of a group's rows in any order, from one hash of each row."""
+    row = F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).cast("binary"), 256), 1, 15), 16, 10).cast("long")
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("digest"))

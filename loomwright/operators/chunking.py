@@ -26,48 +26,47 @@ def fixed_chunks(docs: DataFrame, size: int = 800, overlap: int = 120) -> DataFr
     at = F.posexplode(F.sequence(F.lit(0), F.length("content") - 1, F.lit(step))).alias("chunk_index", "start_offset")
     piece = F.regexp_replace(F.substring(F.col("content"), F.col("start_offset") + 1, F.lit(size)), "(?U)^\\s+|\\s+$", "")
     x = cleaned(docs).select("doc_id", "content", at).select("doc_id", "chunk_index", "start_offset", (F.col("start_offset") + size).alias("end_offset"), piece.alias("content")).where("content <> ''")
-    name = F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string"))
-    return x.select(name.alias("chunk_id"), "*", stable_id(name).alias("vector_id"))
+    return named(x)
 
 
-def split_text(text: str, size: int, overlap: int, at: int = 0) -> list[tuple[int, int, str]]:
-    """Chunks of at most about `size`: pieces between the coarsest separators that make them small enough, packed greedily with an overlap."""
-
-    def pieces(s: str, start: int, level: int) -> Iterator[tuple[int, str]]:
-        if len(s) <= size:
-            yield start, s
+def pieces(text: str, size: int) -> list[tuple[int, int]]:
+    """(start, end) of pieces: cut after each of the coarsest separator that parts a piece over `size`, and so on; where none does, every `size`, the last end not clamped."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(text), 0)]
+    while todo:
+        start, end, level = todo.pop()
+        if end - start <= size:
+            out.append((start, end))
         elif level == len(SEPARATORS):
-            for i in range(0, len(s), size - overlap):
-                yield start + i, s[i : i + size]
-                if i + size >= len(s):
-                    break
+            out += [(i, i + size) for i in range(start, end, size)]
         else:
-            sep, i = SEPARATORS[level], 0
-            while i < len(s):
-                j = s.find(sep, i)
-                j = len(s) if j < 0 else j + len(sep)
-                yield from pieces(s[i:j], start + i, level + 1)
-                i = j
+            cuts = [start]
+            while (at := text.find(SEPARATORS[level], cuts[-1], end)) >= 0:
+                cuts.append(at + len(SEPARATORS[level]))
+            cuts += [end] * (cuts[-1] < end)
+            todo += [(x, y, level + 1) for x, y in reversed(list(zip(cuts, cuts[1:])))]
+    return out
+
 
+def split_text(text: str, size: int, overlap: int) -> list[tuple[int, int, str]]:
+    """(start, end, chunk): pieces put together while they stay within `size`; each further chunk starts with the last `overlap` of the one before, whatever its size then."""
     out: list[tuple[int, int, str]] = []
-    start, held = at, ""
-    for p, s in pieces(text, at, 0):
-        if held and len(held) + len(s) > size:
-            out.append((start, start + len(held), held))
-            tail = held[-overlap:] if overlap and p == start + len(held) and len(s) + overlap <= size else ""
-            start, held = p - len(tail), tail
-        elif not held or p != start + len(held):
-            if held:
-                out.append((start, start + len(held), held))
-            start, held = p, ""
-        held += s
-    if held:
-        out.append((start, start + len(held), held))
-    return [(a, b, s) for a, b, s in out if s.strip()]
+    first = last = None
+    for start, end in pieces(text, size):
+        stop = min(end, len(text))
+        if first is None:
+            first = start
+        elif stop - first > size:
+            out.append((first, last, text[first:start]))
+            first = max(first, start - overlap)
+        last = end
+    if first is not None:
+        out.append((first, last, text[first:]))
+    return out
 
 
 def recursive_chunks(docs: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
-    """(doc_id, chunk_index, start_offset, end_offset, content) by `split_text` over clean texts; packing is sequential, so Python does it, by Arrow batches."""
+    """(chunk_id, doc_id, chunk_index, start_offset, end_offset, content, vector_id) by `split_text` over clean texts; packing is sequential, so Python does it, by Arrow batches."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -76,4 +75,12 @@ def recursive_chunks(docs: DataFrame, size: int = 800, overlap: int = 120) -> Da
                 n = len(got)
                 yield pa.RecordBatch.from_arrays([x["doc_id"].take(pa.array([i] * n, pa.int64())), pa.array(range(n), pa.int32()), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.string())], names=["doc_id", "chunk_index", "start_offset", "end_offset", "content"])
 
-    return cleaned(docs).mapInArrow(cut, "doc_id long, chunk_index int, start_offset int, end_offset int, content string")
+    x = cleaned(docs).mapInArrow(cut, "doc_id long, chunk_index int, start_offset int, end_offset int, content string")
+    return named(x)
+
+
+def named(chunks: DataFrame) -> DataFrame:
+    """chunks with chunk_id and vector_id; a `version` column makes part of the name."""
+    version = F.concat(F.lit("_v"), F.col("version").cast("string")) if "version" in chunks.columns else F.lit("")
+    name = F.concat(F.col("doc_id").cast("string"), version, F.lit("_chunk_"), F.col("chunk_index").cast("string"))
+    return chunks.select(name.alias("chunk_id"), "*", stable_id(name).alias("vector_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,21 +10,99 @@ from pyspark.sql import functions as F
 def ranking(hits: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, n_relevant, recall, precision, mrr, ndcg) at k for each query with relevant documents.
 
-    hits(query_id, key, rank from 1), qrels(query_id, key). Gains are binary; queries without hits score 0.
+    hits(query_id, key, rank from 1), qrels(query_id, key). Gains are binary; queries without hits score 0. Precision is
+    over the hits given, at most k; the reciprocal rank looks at all hits.
     """
     rel = qrels.select("query_id", "key").distinct()
     n = rel.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
-    good = hits.where(F.col("rank") <= k).join(rel, ["query_id", "key"], "left_semi")
-    got = good.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    marked = hits.select("query_id", "key", "rank").join(rel.withColumn("_good", F.lit(True)), ["query_id", "key"], "left")
+    got = _sums(marked, F.col("_good").isNotNull(), k)
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     z = lambda c: F.coalesce(c, F.lit(0.0))
     return n.join(got, "query_id", "left").select(
         "query_id", "n_relevant",
-        F.round(z(F.col("found") / F.col("n_relevant")), 6).alias("recall"), F.round(z(F.col("found") / F.lit(k)), 6).alias("precision"),
+        F.round(z(F.col("found") / F.col("n_relevant")), 6).alias("recall"), F.round(z(F.col("found") / F.col("given")), 6).alias("precision"),
         F.round(z(1 / F.col("first")), 6).alias("mrr"), F.round(z(F.col("dcg") / ideal), 6).alias("ndcg"),
     )
 
 
+def _sums(marked: DataFrame, good: Column, k: int) -> DataFrame:
+    """Of each query's ranked rows: good ones and all at k, the first good rank anywhere, and the discounted gain at k."""
+    top = F.col("rank") <= k
+    return marked.groupBy("query_id").agg(
+        F.count(F.when(top & good, 1)).alias("found"), F.nullif(F.count(F.when(top, 1)), F.lit(0)).alias("given"),
+        F.min(F.when(good, F.col("rank"))).alias("first"), F.sum(F.when(top & good, 1 / F.log2(F.col("rank") + 1.0))).alias("dcg"),
+    )
+
+
+def spans(hits: DataFrame, gold: DataFrame, k: int = 5, by_document: bool = False) -> DataFrame:
+    """(query_id, n_spans, recall, precision, mrr, ndcg) where a hit is good when it meets a gold span of its query.
+
+    hits(query_id, rank, start_offset, end_offset), gold(query_id, start, end), half-open, and doc_id in both when
+    `by_document`. Recall is over gold spans, repeats counted; the others are over hits, so that ndcg can exceed 1.
+    """
+    g = gold.select("query_id", F.col("start").alias("gs"), F.col("end").alias("ge"), *(["doc_id"] if by_document else []))
+    g = g.groupBy(*g.columns).agg(F.count(F.lit(1)).alias("copies"))
+    on = ["query_id", "doc_id"] if by_document else ["query_id"]
+    met = hits.select(*on, "rank", "start_offset", "end_offset").join(g, on).where(F.greatest("start_offset", "gs") < F.least("end_offset", "ge"))
+    spans_met = met.where(F.col("rank") <= k).select(*g.columns).distinct().groupBy("query_id").agg(F.sum("copies").alias("spans_met"))
+    good = met.select("query_id", "rank").distinct().withColumn("_good", F.lit(True))
+    got = _sums(hits.select("query_id", "rank").join(good, ["query_id", "rank"], "left"), F.col("_good").isNotNull(), k)
+    n = g.groupBy("query_id").agg(F.sum("copies").alias("n_spans"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_spans"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    z = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return n.join(got, "query_id", "left").join(spans_met, "query_id", "left").select(
+        "query_id", "n_spans", z(F.col("spans_met") / F.col("n_spans")).alias("recall"), z(F.col("found") / F.col("given")).alias("precision"),
+        z(1 / F.col("first")).alias("mrr"), z(F.col("dcg") / ideal).alias("ndcg"),
+    )
+
+
+def recall_at_pools(hits: DataFrame, qrels: DataFrame, pools: tuple[int, ...] = (10, 30, 100)) -> DataFrame:
+    """(query_id, recall_<pool> for each): how much a wider candidate pool would add."""
+    rel = qrels.select("query_id", "key").distinct()
+    good = hits.join(rel, ["query_id", "key"], "left_semi").groupBy("query_id").agg(*[F.count(F.when(F.col("rank") <= p, 1)).alias(f"n{p}") for p in pools])
+    n = rel.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(good, "query_id", "left").select("query_id", *[F.round(F.coalesce(F.col(f"n{p}"), F.lit(0)) / F.col("n"), 6).alias(f"recall_{p}") for p in pools])
+
+
+def faithfulness(claims: DataFrame, key: str) -> DataFrame:
+    """(key, total_claims, supported_claims, score) from claims with a verdict: partial counts half, a null verdict is unsupported.
+
+    A key whose only row has a null claim has none to verify and scores 1.
+    """
+    real = F.col("claim").isNotNull()
+    x = claims.groupBy(key).agg(F.count("claim").alias("total_claims"), F.count(F.when(real & (F.col("verdict") == "supported"), 1)).alias("supported_claims"), F.count(F.when(real & (F.col("verdict") == "partial"), 1)).alias("_half"))
+    score = F.when(F.col("total_claims") == 0, 1.0).otherwise((F.col("supported_claims") + 0.5 * F.col("_half")) / F.col("total_claims"))
+    return x.select(key, "total_claims", "supported_claims", F.round(score, 4).alias("score"))
+
+
+def relevance(score: Column) -> Column:
+    """A judge's score held between 0 and 1."""
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)
+
+
+def subset(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, max_queries: int, max_corpus: int, fill: int, seed: int) -> DataFrame:
+    """(doc_id, relevant): the documents of a small benchmark.
+
+    Queries are those of least salted MD5; relevant documents are theirs; distractors are other documents of least MD5,
+    `fill` for each relevant one, within max_corpus.
+    """
+    by = lambda c: F.md5(F.concat(F.lit(f"{seed}:"), F.col(c).cast("string")))
+    chosen = queries.select("query_id").distinct().orderBy(by("query_id"), "query_id").limit(max_queries)
+    rel = corpus.select("doc_id").distinct().join(qrels.join(chosen, "query_id", "left_semi"), "doc_id", "left_semi")
+    n = rel.limit(max_corpus).count()
+    room = max(0, min(n * fill, max_corpus - n))
+    rest = corpus.select("doc_id").distinct().join(rel, "doc_id", "left_anti").orderBy(by("doc_id"), "doc_id").limit(room)
+    return rel.withColumn("relevant", F.lit(True)).unionByName(rest.withColumn("relevant", F.lit(False)))
+
+
+def rolling_percentile(events: DataFrame, group: str, value: str, order: list[str], q: float, window: int) -> DataFrame:
+    """events with `samples` and `p`: the percentile of each row's last `window` samples of its group, itself included."""
+    w = W.partitionBy(group).orderBy(*order).rowsBetween(-(window - 1), 0)
+    x = events.withColumn("_v", F.sort_array(F.collect_list(value).over(w)))
+    return x.withColumn("samples", F.size("_v").cast("long")).withColumn("p", F.try_element_at("_v", F.floor(F.lit(q) * F.greatest(F.col("samples") - 1, F.lit(0))).cast("int") + 1)).drop("_v")
+
+
 def macro(scores: DataFrame, metrics: tuple[str, ...] = ("recall", "precision", "mrr", "ndcg")) -> DataFrame:
     return scores.agg(F.count(F.lit(1)).alias("n_queries"), *[F.round(F.avg(m), 4).alias(m) for m in metrics])
 
@@ -44,8 +122,15 @@ def histogram(events: DataFrame, group: str, value: str, edges: tuple[float, ...
 
 
 def regression(baseline: DataFrame, current: DataFrame, limits: DataFrame) -> DataFrame:
-    """(metric, was, now, passed): a metric fails when it falls by more than its limit, 0 where none is stated, or is gone."""
+    """(metric, was, now, delta, passed) of the metrics that both have: one fails when it falls by more than its limit; without a limit it passes."""
     b, c = baseline.select("metric", F.col("value").alias("was")), current.select("metric", F.col("value").alias("now"))
-    x = b.join(c, "metric", "left").join(limits, "metric", "left")
-    ok = F.col("now").isNotNull() & (F.col("was") - F.col("now") <= F.coalesce("limit", F.lit(0.0)) + 1e-9)
-    return x.select("metric", "was", "now", ok.alias("passed"))
+    x = b.join(c, "metric").join(limits, "metric", "left").withColumn("delta", F.round(F.col("now") - F.col("was"), 4))
+    return x.select("metric", "was", "now", "delta", (F.col("limit").isNull() | (F.col("delta") >= -F.col("limit"))).alias("passed"))
+
+
+def gate(compared: DataFrame, baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """One row: whether every compared metric passed and none of the baseline's is gone, and how many of each did not."""
+    gone = baseline.join(current, "metric", "left_anti").select(F.lit(0).alias("failed"), F.lit(1).alias("gone"))
+    bad = compared.where(~F.col("passed")).select(F.lit(1).alias("failed"), F.lit(0).alias("gone"))
+    x = bad.unionByName(gone).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("failed", "gone")])
+    return x.select("failed", "gone", ((F.col("failed") == 0) & (F.col("gone") == 0)).alias("passed"))

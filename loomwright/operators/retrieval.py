@@ -84,3 +84,24 @@ def rrf(routes: list[DataFrame], k: int = 10, c: int = 60, key: str = "doc_id")
     fused = every.groupBy("query_id", key).agg(F.sum(1.0 / (c + F.col("rank"))).alias("score"), F.min(F.struct("route", "rank")).alias("first"))
     order = W.partitionBy("query_id").orderBy(F.round("score", 12).desc(), F.col("first.route"), F.col("first.rank"))
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("first")
+
+
+def first_of_routes(routes: list[DataFrame], k: int = 10, key: str = "doc_id") -> DataFrame:
+    """(query_id, key, score, rank): hits of several routes, each key once as the first route has it, ranked by raw score."""
+    every = None
+    for i, r in enumerate(routes):
+        one = r.select("query_id", key, "score", "rank", F.lit(i).alias("route"))
+        every = one if every is None else every.unionByName(one)
+    once = every.groupBy("query_id", key).agg(F.min_by("score", F.struct("route", "rank")).alias("score"))
+    return top(once, k, key)
+
+
+def reranked(hits: DataFrame, score: Column, k: int = 10, key: str = "doc_id") -> DataFrame:
+    """The k hits of each query with the greatest `score`, a column over their texts; a model may stand behind it as a Pandas UDF."""
+    return top(hits.drop("rank").withColumn("rerank_score", score), k, key, "rerank_score")
+
+
+def term_statistics(docs: DataFrame) -> DataFrame:
+    """(term, df, tf): documents that have a term, and times it stands in them."""
+    tf = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))

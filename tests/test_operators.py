@@ -27,7 +27,10 @@ def test_chunks(spark):
     assert [(r.content, r.start_offset, r.end_offset) for r in got] == [("abcd", 0, 4), ("defg", 3, 7), ("ghij", 6, 10), ("j", 9, 13)]
     text = "第一句。第二句话长一点！third line\n\nfourth，fifth"
     parts = chunking.split_text(text, 8, 2)
-    assert all(text[a:b] == s for a, b, s in parts) and all(len(s) <= 8 for *_, s in parts)
+    assert all(text[a:b] == s for a, b, s in parts)
+    assert chunking.split_text("abcdefghijk", 4, 0) == [(0, 4, "abcd"), (4, 8, "efgh"), (8, 12, "ijk")]  # the last end isn't clamped
+    assert chunking.split_text("aa\nbb\ncc", 6, 2) == [(0, 6, "aa\nbb\n"), (4, 8, "b\ncc")]
+    assert chunking.split_text("aa\nbbbbbb", 6, 2) == [(0, 3, "aa\n"), (1, 9, "a\nbbbbbb")]  # an overlap may go beyond the size
     covered = {i for a, b, _ in parts for i in range(a, b)}
     assert all(i in covered or text[i].isspace() for i in range(len(text)))
 
@@ -83,7 +86,9 @@ def test_metrics(spark):
     b = spark.createDataFrame([("recall", 0.9), ("mrr", 0.9), ("gone", 1.0)], "metric string, value double")
     c = spark.createDataFrame([("recall", 0.85), ("mrr", 0.7)], "metric string, value double")
     limits = spark.createDataFrame([("recall", 0.1), ("mrr", 0.1)], "metric string, limit double")
-    assert {r.metric: r.passed for r in evaluation.regression(b, c, limits).collect()} == {"recall": True, "mrr": False, "gone": False}
+    assert {r.metric: r.passed for r in evaluation.regression(b, c, limits).collect()} == {"recall": True, "mrr": False}
+    got = evaluation.gate(evaluation.regression(b, c, limits), b, c).first()
+    assert (got.failed, got.gone, got.passed) == (1, 1, False)
 
 
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
@@ -94,3 +99,42 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, windowed(events).collect()))
+
+
+def test_replies(spark):
+    from loomwright.functions.text import compressed, entity, json_items, needs_many
+
+    s = "struct<claim:string,verdict:string>"
+    for reply, n in (('[{"claim":"a"},{"claim":"b"}]', 2), ('```json\n[{"claim":"a"}]\n```', 1), ('so: [{"claim":"a"}] it is', 1), ("no", 0), ("[", 0), ("", 0)):
+        assert one(spark, F.size(json_items(F.lit(reply), s))) == n, reply
+    assert [one(spark, needs_many(F.lit(x))) for x in ("不需要", "需要", "?")] == [False, True, False]
+    assert [one(spark, entity(F.lit(x))) for x in (" None ", "无。", "x。", "")] == [None, None, "x", None]
+    for text, cap, want in (("ab. cd. ef", 20, "ab. cd. ef"), ("ab. cd. ef", 8, "ab. cd."), ("abcdef. g", 3, "abc"), ("ab. cdefghi. j", 5, "ab."), ("abc", 0, "")):
+        assert one(spark, compressed(F.lit(text), F.lit(cap))) == want
+
+
+def test_spans(spark):
+    hits = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 50, 60), (1, 3, 100, 110), (2, 1, 0, 5)], "query_id int, rank int, start_offset int, end_offset int")
+    gold = spark.createDataFrame([(1, 5, 15), (1, 105, 115), (2, 5, 9)], "query_id int, start int, end int")
+    got = {r.query_id: tuple(r)[1:] for r in evaluation.spans(hits, gold, 3).collect()}
+    assert got == {1: (2, 1.0, 0.666667, 1.0, 0.919721), 2: (1, 0.0, 0.0, 0.0, 0.0)}
+
+
+def test_built_context(spark):
+    schema = "query_id long, chunk_id string, doc_id long, chunk_index int, start_offset int, end_offset int, content string, score double"
+    hits = spark.createDataFrame([(1, "a", 1, 0, 0, 4, "abcd", 0.9), (1, "b", 1, 1, 4, 8, "efgh", 0.5), (1, "c", 2, 0, 0, 3, "xyz", 0.2)], schema)
+    q = spark.createDataFrame([(1, "q")], "query_id long, text string")
+    r = context.build(hits, q, 200, 100).first()
+    assert (r.context, r.used, r.skipped, r.n_input, r.n_merged, r.n_final) == ("[1] abcdefgh\n\n[2] xyz", 11, 0, 3, 2, 2)
+    x = spark.createDataFrame([(1, i, "x" * n, 60) for i, n in enumerate((30, 50, 10, 25))], "query_id int, rank int, content string, budget int")
+    r = context.fitted(x).first()
+    assert ([len(p) for p in r.parts], r.used, r.skipped) == ([30, 10], 40, 2)
+
+
+def test_grants(spark):
+    docs = spark.createDataFrame([(1, 7), (2, None)], "doc_id int, owner int")
+    users = spark.createDataFrame([(7, 1), (8, 1), (8, 2), (9, None)], "user_id int, role int")
+    grants = spark.createDataFrame([(1, "role", 2, "read"), (1, "user", 9, "write")], "doc_id int, principal_type string, principal_id int, permission string")
+    asked = spark.createDataFrame([(7, 1, "write"), (8, 1, "read"), (8, 1, "write"), (9, 1, "write"), (9, 2, "read"), (9, 2, "write"), (9, 3, "read")], "user_id int, doc_id int, permission string")
+    got = {tuple(r)[:3]: r.allowed for r in catalog.may(asked, docs, users, grants).collect()}
+    assert [got[tuple(r)] for r in asked.collect()] == [True, True, False, True, True, False, False]

@@ -6,7 +6,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from loomwright.jobs.queries import QUERIES, SQL
+from loomwright.jobs import answers, governance, queries  # noqa: F401: registered by import
+from loomwright.jobs.registry import QUERIES, SQL
 
 
 def rows(names, values):
