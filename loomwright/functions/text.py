@@ -22,7 +22,7 @@ def stable_id(c: Column) -> Column:
 
 def terms(c: Column) -> Column:
     """Lower-case runs of letters and digits, and single CJK characters."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[\x{4e00}-\x{9fff}]|[\p{L}\p{N}&&[^\x{4e00}-\x{9fff}]]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[\x{4e00}-\x{9fff}]|[\p{L}\p{N}&&[^\x{4e00}-\x{9fff}]]++"), F.lit(0))
 
 
 def grams(c: Column, n: int = 3) -> Column:

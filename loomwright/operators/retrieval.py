@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from ..functions.text import terms
 
 
+#: Rows of a side that may be broadcast once they are counted.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df for broadcast if its counted rows are few; beyond that Spark joins by shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def top(scored: DataFrame, k: int, key: str = "doc_id", score: str = "score") -> DataFrame:
     """The k best rows of each query with a rank from 1; ties, to nine places, by key."""
     order = W.partitionBy("query_id").orderBy(F.round(score, 9).desc(), F.col(key))
@@ -22,25 +31,32 @@ def top(scored: DataFrame, k: int, key: str = "doc_id", score: str = "score") ->
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, variant: str = "okapi", among: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): Okapi (idf floored at a quarter of the mean) or Lucene weighting.
 
-    Only terms of queries are kept once document lengths and, for the floor, document frequencies are counted. A doc filter
+    One pass counts what the weights need of all documents: their lengths and, for the floor, every term's documents, by term
+    within each task before the shuffle. The next keeps only terms of queries before it counts and shuffles. A doc filter
     (`among`) restricts hits, not the statistics. Repeated query terms count each; hits at or under 0 go after the cut.
     """
     k1, b = (1.5, 0.75) if variant == "okapi" else (1.2, 0.75)
     toks = docs.select("doc_id", terms(F.col("text")).alias("t"))
-    lengths = toks.select("doc_id", F.size("t").alias("dl"), "t")
-    n, avgdl = lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    n, avgdl = int(n), float(avgdl or 1.0)
-    tf = lengths.select("doc_id", "dl", F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    q = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n, told = docs.agg(F.count(F.lit(1)), F.count("text")).first()
+
+    def idf(df: Column) -> Column:
+        ratio = (F.lit(float(n)) - df + 0.5) / (df + 0.5)
+        return F.log(ratio if variant == "okapi" else 1 + ratio)
+
     if variant == "okapi":
-        idf: Column = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        floor = 0.25 * float(df.agg(F.avg(idf)).first()[0] or 0.0)
-        weight = F.when(idf < 0, F.lit(floor)).otherwise(idf)
+        each = toks.select(F.size("t").alias("dl"), F.posexplode_outer(F.array_distinct("t")).alias("i", "term"))  # plain explode would match texts twice, to filter empty arrays
+        terms_ = each.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("i") == 0, F.col("dl"))).alias("dl"))
+        total, mean = terms_.agg(F.sum("dl"), F.avg(idf(F.col("df")))).first()
+        floor = 0.25 * float(mean or 0.0)
+        weight = F.when(idf(F.col("df")) < 0, F.lit(floor)).otherwise(idf(F.col("df")))
     else:
-        weight = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    wanted = q.join(df, "term").withColumn("idf", weight)
-    hits = tf.join(wanted, "term")
+        total, weight = toks.agg(F.sum(F.size("t"))).first()[0], idf(F.col("df"))
+    avgdl = float(total or 0) / told if total else 1.0
+    q = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = broadcast_if_small(q.select("term").distinct())
+    tf = toks.select("doc_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).join(asked, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits = tf.join(q.join(df, "term").withColumn("idf", weight), "term")
     if among is not None:
         hits = hits.join(among.select("doc_id").distinct(), "doc_id", "left_semi")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
@@ -103,5 +119,5 @@ def reranked(hits: DataFrame, score: Column, k: int = 10, key: str = "doc_id") -
 
 def term_statistics(docs: DataFrame) -> DataFrame:
     """(term, df, tf): documents that have a term, and times it stands in them."""
-    tf = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = docs.select("doc_id", F.explode_outer(terms(F.col("text"))).alias("term")).where("term is not null").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
