@@ -36,7 +36,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, variant: str = "okapi
     (`among`) restricts hits, not the statistics. Repeated query terms count each; hits at or under 0 go after the cut.
     """
     k1, b = (1.5, 0.75) if variant == "okapi" else (1.2, 0.75)
-    toks = docs.select("doc_id", terms(F.col("text")).alias("t"))
+    toks = docs.select("doc_id", terms(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), "t")  # lengths first: else each row of explode carries the array
     n, told = docs.agg(F.count(F.lit(1)), F.count("text")).first()
 
     def idf(df: Column) -> Column:
@@ -44,17 +44,17 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, variant: str = "okapi
         return F.log(ratio if variant == "okapi" else 1 + ratio)
 
     if variant == "okapi":
-        each = toks.select(F.size("t").alias("dl"), F.posexplode_outer(F.array_distinct("t")).alias("i", "term"))  # plain explode would match texts twice, to filter empty arrays
+        each = toks.select("dl", F.posexplode_outer(F.array_distinct("t")).alias("i", "term"))  # plain explode would match texts twice, to filter empty arrays
         terms_ = each.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("i") == 0, F.col("dl"))).alias("dl"))
         total, mean = terms_.agg(F.sum("dl"), F.avg(idf(F.col("df")))).first()
         floor = 0.25 * float(mean or 0.0)
         weight = F.when(idf(F.col("df")) < 0, F.lit(floor)).otherwise(idf(F.col("df")))
     else:
-        total, weight = toks.agg(F.sum(F.size("t"))).first()[0], idf(F.col("df"))
+        total, weight = toks.agg(F.sum("dl")).first()[0], idf(F.col("df"))
     avgdl = float(total or 0) / told if total else 1.0
     q = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     asked = broadcast_if_small(q.select("term").distinct())
-    tf = toks.select("doc_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).join(asked, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = toks.select("doc_id", "dl", F.explode_outer("t").alias("term")).join(asked, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hits = tf.join(q.join(df, "term").withColumn("idf", weight), "term")
     if among is not None:
