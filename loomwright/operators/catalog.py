@@ -124,3 +124,35 @@ def fingerprint(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
     """(group, n, digest): a digest of a group's rows in any order, from one hash of each row."""
     row = F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).cast("binary"), 256), 1, 15), 16, 10).cast("long")
     return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("digest"))
+
+
+def named_documents(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """asked(name) with `doc_id`: the document that a name means, null if none.
+
+    docs has doc_id (a string) and file_name (a path). In this order a name may be an id, an id with a suffix or
+    folders, the end of a path from a slash on, or the name of a file given without its suffix; ties go to the lowest id.
+    Each path is known by all its ends, so names are looked up by equality.
+    """
+    path = F.replace(F.col("file_name"), F.lit("\\"), F.lit("/"))
+    parts = F.split(path, "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    known = docs.select("doc_id", F.col("doc_id").alias("key"), F.lit("id").alias("kind")).unionByName(
+        docs.where("file_name is not null").select("doc_id", F.explode(F.array_distinct(ends)).alias("key"), F.lit("path").alias("kind"))
+    )
+    stem = F.regexp_replace(F.regexp_extract("name", "[^/]*$", 0), r"^(.+)\.[^.]+$", "$1")
+    tries = F.array(*[F.struct(F.lit(i).alias("try"), c.alias("key"), F.lit(kind).alias("kind")) for i, (c, kind) in enumerate([(F.col("name"), "id"), (stem, "id"), (F.col("name"), "path"), (stem, "path")])])
+    best = asked.select("name").distinct().select("name", F.explode(tries).alias("t")).select("name", "t.*").join(known, ["key", "kind"]).groupBy("name").agg(F.min_by("doc_id", F.struct("try", "doc_id")).alias("doc_id"))
+    return asked.join(best, "name", "left")
+
+
+def in_order(requests: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Rows of the ids that each request(request_id, ids) lists, with `pos`, their place in it from 0; ids that aren't there are passed over."""
+    return requests.select("request_id", F.posexplode("ids").alias("pos", key)).join(rows, key)
+
+
+def denied(requests: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Audit rows of requests(actor, ip, method, path, status) that were refused, but for excluded paths; fields are cut to their columns."""
+    said = F.concat(F.lit("HTTP "), F.col("status").cast("string"), F.lit(": "), F.col("method"), F.lit(" "), F.col("path"))
+    refused = requests.where(F.col("status").isin(401, 403) & ~F.col("path").isin(*excluded))
+    cut = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
+    return refused.select(F.lit("authz.denied").alias("action"), F.lit("denied").alias("result"), "actor", cut(F.col("path"), 256).alias("resource"), cut(F.col("ip"), 64).alias("ip"), cut(said, 1024).alias("detail"))

@@ -134,3 +134,53 @@ def gate(compared: DataFrame, baseline: DataFrame, current: DataFrame) -> DataFr
     bad = compared.where(~F.col("passed")).select(F.lit(1).alias("failed"), F.lit(0).alias("gone"))
     x = bad.unionByName(gone).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("failed", "gone")])
     return x.select("failed", "gone", ((F.col("failed") == 0) & (F.col("gone") == 0)).alias("passed"))
+
+
+def sections(docs: DataFrame, titles: DataFrame) -> DataFrame:
+    """(doc_id, start, end) of the sections that titles(doc_id, title) begin in docs(doc_id, content).
+
+    A section starts where its title first stands and ends where the next one starts, or with the text. Titles that
+    aren't found give none, nor do those that start where another does, but for the last of these.
+    """
+    at = docs.join(titles, "doc_id").select("doc_id", "title", (F.instr("content", F.col("title")) - 1).alias("start"), F.length("content").alias("n")).where("start >= 0")
+    after = F.lead("start").over(W.partitionBy("doc_id").orderBy("start", "title"))
+    return at.select("doc_id", "start", F.coalesce(after, F.col("n")).alias("end")).where(F.col("end") > F.col("start"))
+
+
+def of_documents(hits: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score, rank): documents in the order of their first hit, with its score; hits without a document are passed over."""
+    first = hits.where("doc_id is not null").groupBy("query_id", "doc_id").agg(F.min(F.struct("rank", "score")).alias("f"))
+    return first.select("query_id", "doc_id", "f.score", F.row_number().over(W.partitionBy("query_id").orderBy("f.rank", "doc_id")).alias("rank"))
+
+
+def samples(queries: DataFrame, qrels: DataFrame, source: str) -> DataFrame:
+    """(id, sample): a JSON line for each query(query_id, text) with the documents that qrels(query_id, doc_id) call relevant, by id.
+
+    A query without any has an empty list.
+    """
+    gold = qrels.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    none = F.array().cast("array<string>")
+    ids = F.coalesce("ids", F.array().cast(gold.schema["ids"].dataType))
+    documents = F.transform(ids, lambda i: F.struct(i.cast("string").alias("document_id"), F.lit(1).alias("relevance"), none.alias("spans")))
+    answer = F.struct(documents.alias("documents"), none.alias("chunks"), none.alias("answers"), none.alias("values"), F.lit("answer").alias("behavior"))
+    whole = F.struct(F.col("query_id").cast("string").alias("id"), F.lit("retrieval").alias("task"), F.col("text").alias("query"), none.alias("history"), answer.alias("gold"), F.struct(F.lit(source).alias("source_dataset")).alias("metadata"))
+    return queries.join(gold, "query_id", "left").select(F.col("query_id").alias("id"), F.to_json(whole).alias("sample"))
+
+
+def agreement(was: DataFrame, now: DataFrame, tolerance: float) -> DataFrame:
+    """(metric, was, now, delta, status) of every metric of `was`: same, differs (by more than the tolerance) or missing."""
+    a, b = was.select("metric", F.col("value").alias("was")), now.select("metric", F.col("value").alias("now"))
+    x = a.join(b, "metric", "left").withColumn("delta", F.round(F.col("now") - F.col("was"), 6))
+    status = F.when(F.col("now").isNull(), "missing").when(F.abs("delta") > tolerance, "differs").otherwise("same")
+    return x.withColumn("status", status)
+
+
+def snapshot(events: DataFrame, labels: list[str], value: str, places: int = 4) -> DataFrame:
+    """Count, sum and mean of a value for each set of labels."""
+    return events.groupBy(*labels).agg(F.count(value).alias("samples"), F.round(F.sum(value), 4).alias("total"), F.round(F.avg(value), places).alias("mean"))
+
+
+def report(rows: DataFrame, text: str, most: int = 200) -> DataFrame:
+    """rows with `text` cut to `most` code points and marked where it was cut."""
+    c = F.col(text)
+    return rows.withColumn(text, F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c))

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from loomwright.jobs import answers, governance, queries  # noqa: F401: registered by import
+from loomwright.jobs import answers, datasets, governance, queries  # noqa: F401: registered by import
 from loomwright.jobs.registry import QUERIES, SQL
 
 
