@@ -1,4 +1,4 @@
-"""Secret scans: patterns, and a battery of randomness tests under false-discovery control."""
+"""Secret scans: patterns, and randomness tests against ordinary writing under false-discovery control."""
 
 from __future__ import annotations
 
@@ -31,9 +31,15 @@ _ENCODINGS = (
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 _PLACE = {name: {c: i for i, c in enumerate(a)} for name, a in _ENCODINGS}
-#: Bands of length that are controlled apart, scores in bins of tenths of -log10 p, and the share of false discoveries allowed.
-BANDS = (16, 20, 24, 32, 40, 64, 128)
-BINS, FDR = 60, 0.05
+#: Bands of length that are weighted apart, and the share of false discoveries allowed.
+BANDS, FDR = (16, 20, 24, 32, 40, 64, 128), 0.05
+#: Runs that random strings are in fewer than 1 of 100 cases, by the battery's -log10 p, are not random. Evidence is in tenths of a power of ten.
+UNLIKE, MOST = 2.0, 400
+#: Ordinary writing, names and numbers: how often a character of one class (none, lower, upper, digit, sign) is followed by one of another, and letters by share in English, counted as LETTERS letters of each text.
+_NEXT = {"": (0.6, 0.25, 0.1, 0.05), "l": (0.88, 0.05, 0.03, 0.04), "u": (0.7, 0.22, 0.04, 0.04), "d": (0.13, 0.1, 0.65, 0.12), "s": (0.55, 0.2, 0.2, 0.05)}
+_STEP = {(a, b): math.log10(p) for a, row in _NEXT.items() for b, p in zip("luds", row, strict=True)}
+_ENGLISH = dict(zip("abcdefghijklmnopqrstuvwxyz", (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.15, 2.0, 0.1), strict=True))
+LETTERS = 500
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -96,35 +102,53 @@ def band(n: int) -> int:
     return sum(n >= b for b in BANDS) - 1
 
 
-def scan(text: str) -> tuple[list, list, list, list, list, list]:
-    """Base spans, and the runs outside them with the bin of their score and of their decoy's.
+def letter_shares(text: str) -> dict[str, float]:
+    """log10 of each letter's share in ordinary writing of this text: its own letters and LETTERS English ones."""
+    own = Counter(c for c in text.lower() if "a" <= c <= "z")
+    n, all_ = sum(own.values()) + LETTERS, sum(_ENGLISH.values())
+    return {c: math.log10((own[c] + LETTERS * p / all_) / n) for c, p in _ENGLISH.items()}
 
-    A run's decoy has its length and encoding and is cut from the text's own letters, with digits of its own mixed in at
-    the run's places: what ordinary writing would score.
+
+def _class(c: str) -> str:
+    return "l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else "d" if "0" <= c <= "9" else "s"
+
+
+def evidence(token: str, name: str, shares: dict[str, float]) -> int:
+    """Tenths of -log10 of a p-value for the token as ordinary writing; 0 where it says nothing.
+
+    The likelihood as a random string over that as ordinary writing: a ratio of x or more comes with ordinary writing in
+    1 of x cases at most, whatever the length. A token that the battery finds unlike random strings has none.
     """
+    if randomness(token, name) >= UNLIKE:
+        return 0
+    plain, was = 0.0, ""
+    for c in token:
+        k = _class(c)
+        plain += _STEP[was, k] + (-1.0 if k == "d" else math.log10(0.25) if k == "s" else shares[c.lower()])
+        was = k
+    random = -len(token) * math.log10(len(_PLACE[name])) - math.log10(len(_ENCODINGS))
+    return max(0, min(MOST, int(10 * (random - plain))))
+
+
+def scan(text: str) -> tuple[list, list, list, list, list]:
+    """Base spans, and the runs outside them with their band of length and their evidence of being random."""
     base = base_spans(text)
-    starts, ends, bands, bins, decoys = [], [], [], [], []
-    letters = None
-    for m in _RUN.finditer(text):
-        t = m[0]
-        if not _mixed(t) or any(s < m.end() and m.start() < e for s, e, _ in base) or (name := encoding(t)) is None:
+    mixed = [m for m in _RUN.finditer(text) if _mixed(m[0])]
+    starts, ends, bands, proofs = [], [], [], []
+    if mixed:
+        shares = letter_shares(text)
+    for m in mixed:
+        if any(s < m.end() and m.start() < e for s, e, _ in base) or (name := encoding(m[0])) is None:
             continue
-        if letters is None:
-            letters = [c for c in text if c.isascii() and c.isalpha()] or ["e"]
-        place, at = _PLACE[name], m.start() % len(letters)
-        own = "".join(letters[(at + i) % len(letters)] for i in range(len(t)))
-        fit = "".join(c if c in place else o.lower() if o.lower() in place else o.upper() if o.upper() in place else "e" if "e" in place else "E" for c, o in zip(own, own, strict=True))
-        starts.append(m.start()), ends.append(m.end()), bands.append(band(len(t)))
-        bins.append(min(BINS, int(10 * randomness(t, name))))
-        decoys.append(min(BINS, int(10 * randomness(fit, name))))
-    return base, starts, ends, bands, bins, decoys
+        starts.append(m.start()), ends.append(m.end()), bands.append(band(len(m[0]))), proofs.append(evidence(m[0], name, shares))
+    return base, starts, ends, bands, proofs
 
 
 _FOUND = pa.struct([
     ("base", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))),
-    *[(c, pa.list_(pa.int32())) for c in ("start", "end", "band", "bin", "decoy")],
+    *[(c, pa.list_(pa.int32())) for c in ("start", "end", "band", "evidence")],
 ])
-_FOUND_DDL = "struct<base:array<struct<start:int,end:int,kind:string>>,start:array<int>,end:array<int>,band:array<int>,bin:array<int>,decoy:array<int>>"
+_FOUND_DDL = "struct<base:array<struct<start:int,end:int,kind:string>>,start:array<int>,end:array<int>,band:array<int>,evidence:array<int>>"
 
 
 def _scan(text: str) -> tuple:
@@ -138,29 +162,34 @@ def scanned(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_found", f("text"))
 
 
-def limits(found: DataFrame) -> dict[int, int]:
-    """For each band of length, the highest bin up to which runs count as random with at most FDR of them expected to be false.
+def least_evidence(counts: dict[tuple[int, int], int]) -> dict[int, int]:
+    """For each band of length, the least evidence accepted by Benjamini-Hochberg over all runs, from (band, evidence): runs.
 
-    The expected number of false ones up to a bin is that of decoys there, and one more. Spark sums a table of at most
-    len(BANDS) * (BINS + 1) rows.
+    p-values are weighted by the band's length, weights being 1 on average over the runs.
     """
-    pairs = F.explode(F.arrays_zip("_found.band", "_found.bin", "_found.decoy")).alias("x")
-    rows = found.select(pairs).select("x.band", F.explode(F.array(F.struct(F.col("x.bin").alias("b"), F.lit(1).alias("t"), F.lit(0).alias("d")), F.struct(F.col("x.decoy").alias("b"), F.lit(0).alias("t"), F.lit(1).alias("d")))).alias("y"))
-    table = rows.groupBy("band", "y.b").agg(F.sum("y.t").alias("t"), F.sum("y.d").alias("d")).collect()
-    out = {}
-    for k in range(len(BANDS)):
-        t = d = 0
-        for r in sorted((r for r in table if r.band == k), key=lambda r: r.b):
-            t, d = t + r.t, d + r.d
-            if r.b < BINS and d + 1 <= FDR * t:
-                out[k] = r.b
+    n = sum(counts.values())
+    mean = sum(BANDS[k] * c for (k, _), c in counts.items()) / n if n else 1
+    weighted = sorted(((e / 10 + math.log10(BANDS[k] / mean), k, e, c) for (k, e), c in counts.items() if e > 0), reverse=True)
+    taken, out, open_ = 0, {}, {}
+    for w, k, e, c in weighted:
+        taken += c
+        open_[k] = e
+        if w >= math.log10(n / (FDR * taken)):
+            out = dict(open_)
     return out
 
 
-def accepted(found: DataFrame, most: dict[int, int]) -> DataFrame:
+def limits(found: DataFrame) -> dict[int, int]:
+    """`least_evidence` of all rows' runs. Spark counts them into a table of at most len(BANDS) * (MOST + 1) rows."""
+    runs = found.select(F.explode(F.arrays_zip("_found.band", "_found.evidence")).alias("x"))
+    table = runs.groupBy("x.band", "x.evidence").agg(F.count(F.lit(1)).alias("n")).collect()
+    return least_evidence({(r.band, r.evidence): r.n for r in table})
+
+
+def accepted(found: DataFrame, least: dict[int, int]) -> DataFrame:
     """found with `_spans`, all spans by start and kind: those of the patterns, and the runs that count as random."""
-    limit = F.array(*[F.lit(most.get(k, -1)) for k in range(len(BANDS))])
-    runs = F.filter(F.arrays_zip("_found.start", "_found.end", "_found.band", "_found.bin"), lambda x: x["bin"] <= F.element_at(limit, x["band"] + 1))
+    limit = F.array(*[F.lit(least.get(k, MOST + 1)) for k in range(len(BANDS))])
+    runs = F.filter(F.arrays_zip("_found.start", "_found.end", "_found.band", "_found.evidence"), lambda x: x["evidence"] >= F.element_at(limit, x["band"] + 1))
     spans = F.concat(F.col("_found.base"), F.transform(runs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("random").alias("kind"))))
     order = F.array(*[F.lit(k) for k in KINDS])
     by = lambda x: F.struct(x["start"].alias("start"), F.array_position(order, x["kind"]).alias("k"), x["end"].alias("end"), x["kind"].alias("kind"))

@@ -232,6 +232,23 @@ def test_randomness_battery(spark):
     assert hit >= 0.35 * len(rows) and false <= secrets.FDR * hit
 
 
+def random_keys(seed, lengths):
+    rng = np.random.default_rng(seed)
+    return ["".join(secrets._ENCODINGS[4][1][i] for i in rng.integers(0, 62, n)) for n in lengths(rng)]
+
+
+def test_few_keys_are_found(spark):
+    """One key, and a few among many names: a table of any size gives them."""
+    names = ["getUserAccountByIdentifierAndName", "configuration_value_for_server_12", "SomeVeryLongClassNameInProjects2", "theQuickBrownFoxJumpsOverTheLazyDog", "backup_2024-01-15T10-30-22", "src/main/java/Projects2/Application"]
+    keys = random_keys(7, lambda rng: [40] * 5 + [24] * 5)
+    for n in (0, 2000):
+        rows = [(i, f"the value {k} is used here") for i, k in enumerate(keys[: 1 if n == 0 else 10])] + [(100 + i, f"a call of {names[i % 6]} is made") for i in range(n)]
+        got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert {i for i, s in got.items() if s} == {i for i, _ in rows if i < 100}
+    # 0.05 * rank / 3 is passed by the second of three p-values though not by the first
+    assert secrets.least_evidence({(0, 16): 2, (0, 3): 1}) == {0: 16} and secrets.least_evidence({(0, 14): 1, (0, 3): 2}) == {}
+
+
 def luhn(d):
     return sum((int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10))) for i, c in enumerate(reversed(d))) % 10 == 0
 
