@@ -35,11 +35,11 @@ _PLACE = {name: {c: i for i, c in enumerate(a)} for name, a in _ENCODINGS}
 BANDS, FDR = (16, 20, 24, 32, 40, 64, 128), 0.05
 #: Runs that random strings are in fewer than 1 of 100 cases, by the battery's -log10 p, are not random. Evidence is in tenths of a power of ten.
 UNLIKE, MOST = 2.0, 400
-#: Ordinary writing, names and numbers: how often a character of one class (none, lower, upper, digit, sign) is followed by one of another, and letters by share in English, counted as LETTERS letters of each text.
-_NEXT = {"": (0.6, 0.25, 0.1, 0.05), "l": (0.88, 0.05, 0.03, 0.04), "u": (0.7, 0.22, 0.04, 0.04), "d": (0.13, 0.1, 0.65, 0.12), "s": (0.55, 0.2, 0.2, 0.05)}
+#: Ordinary writing, names and numbers: how often a character of one class (none, lower, upper, digit, sign) is followed by one of another, and letters by share in English, counted as LETTERS letters of each text. ODD of all letters are any, for names and abbreviations.
+_NEXT = {"": (0.6, 0.25, 0.1, 0.05), "l": (0.84, 0.09, 0.03, 0.04), "u": (0.7, 0.22, 0.04, 0.04), "d": (0.13, 0.1, 0.65, 0.12), "s": (0.55, 0.2, 0.2, 0.05)}
 _STEP = {(a, b): math.log10(p) for a, row in _NEXT.items() for b, p in zip("luds", row, strict=True)}
 _ENGLISH = dict(zip("abcdefghijklmnopqrstuvwxyz", (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.15, 2.0, 0.1), strict=True))
-LETTERS = 500
+LETTERS, ODD = 500, 0.3
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -102,11 +102,20 @@ def band(n: int) -> int:
     return sum(n >= b for b in BANDS) - 1
 
 
+def outside(text: str, spans: list[tuple[int, int]]) -> str:
+    """What of the text is outside the spans, which may overlap."""
+    left, at = [], 0
+    for s, e in sorted(spans):
+        left.append(text[at:s])
+        at = max(at, e)
+    return "".join(left) + text[at:]
+
+
 def letter_shares(text: str) -> dict[str, float]:
-    """log10 of each letter's share in ordinary writing of this text: its own letters and LETTERS English ones."""
+    """log10 of each letter's share in ordinary writing like this text: its own letters, LETTERS English ones, and ODD of any kind."""
     own = Counter(c for c in text.lower() if "a" <= c <= "z")
     n, all_ = sum(own.values()) + LETTERS, sum(_ENGLISH.values())
-    return {c: math.log10((own[c] + LETTERS * p / all_) / n) for c, p in _ENGLISH.items()}
+    return {c: math.log10((1 - ODD) * (own[c] + LETTERS * p / all_) / n + ODD / 26) for c, p in _ENGLISH.items()}
 
 
 def _class(c: str) -> str:
@@ -131,12 +140,15 @@ def evidence(token: str, name: str, shares: dict[str, float]) -> int:
 
 
 def scan(text: str) -> tuple[list, list, list, list, list]:
-    """Base spans, and the runs outside them with their band of length and their evidence of being random."""
+    """Base spans, and the runs outside them with their band of length and their evidence of being random.
+
+    Ordinary writing is what the text has outside all its runs and base spans: a secret says nothing of how writing looks.
+    """
     base = base_spans(text)
     mixed = [m for m in _RUN.finditer(text) if _mixed(m[0])]
     starts, ends, bands, proofs = [], [], [], []
     if mixed:
-        shares = letter_shares(text)
+        shares = letter_shares(outside(text, [m.span() for m in mixed] + [(s, e) for s, e, _ in base]))
     for m in mixed:
         if any(s < m.end() and m.start() < e for s, e, _ in base) or (name := encoding(m[0])) is None:
             continue

@@ -237,6 +237,18 @@ def random_keys(seed, lengths):
     return ["".join(secrets._ENCODINGS[4][1][i] for i in rng.integers(0, 62, n)) for n in lengths(rng)]
 
 
+def test_ordinary_writing_is_outside_runs(spark):
+    """Keys at the start of short texts are found, and a key's evidence doesn't fall with how often it or others stand there."""
+    keys = random_keys(6, lambda rng: rng.integers(40, 60, 300))
+    rows = [(i, f"{k} is what we were given") for i, k in enumerate(keys)]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(f"random:0:{len(k)}" in got[i] for i, k in enumerate(keys)) >= 0.7 * len(keys)
+    for k in keys[:20]:
+        once, often = secrets.scan(k), secrets.scan(f"{k} " * 50 + "password=" + k * 20)
+        assert len(often[4]) == 50 and set(often[4]) == set(once[4])
+    assert secrets.outside("ab KEY cd KEY2", [(10, 14), (3, 6), (4, 5)]) == "ab  cd "
+
+
 def test_few_keys_are_found(spark):
     """One key, and a few among many names: a table of any size gives them."""
     names = ["getUserAccountByIdentifierAndName", "configuration_value_for_server_12", "SomeVeryLongClassNameInProjects2", "theQuickBrownFoxJumpsOverTheLazyDog", "backup_2024-01-15T10-30-22", "src/main/java/Projects2/Application"]
