@@ -12,23 +12,43 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialise
 
-#: A run has at least this many sentences and SOME words, or MANY words; passages of over 50 words hold such a run.
+#: A run has at least this many sentences and SOME words, or MANY words; nearly all passages of over 50 words hold such a run.
 SENTENCES, SOME, MANY = 3, 20, 30
 #: A sentence ends after its stops, at a line feed, and before a capital after a blank: a passage that was pasted into a
 #: sentence starts a sentence of its own.
 _EDGE = re.compile(r"[.!?。！？；]+[\"'”’)\]]*\s*|\n\s*|(?<=\s)(?=[A-ZÀ-ÖØ-Þ])")
-_WORD = re.compile(r"\w+")
+#: A sentence of more than LONG words is also cut before words whose hash with the word before is 0 modulo EVERY: a
+#: passage inside it has the same cuts whatever stands around, about one in EVERY words.
+LONG, EVERY = 12, 5
+#: Chinese and Japanese signs are words each, as these are written without blanks.
+_SIGNS = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD, _ANY_WORD = re.compile(r"\w+"), re.compile(rf"[{_SIGNS}]|[^\W{_SIGNS}]+")
+
+
+def _words(text: str) -> re.Pattern:
+    return _WORD if text.isascii() else _ANY_WORD
+
+
+def _inner(text: str, a: int, b: int, word: re.Pattern) -> list[int]:
+    """Content-defined cuts inside the sentence text[a:b]."""
+    found = list(word.finditer(text, a, b))
+    if len(found) <= LONG:
+        return []
+    h = xxhash.xxh32_intdigest
+    low = [m[0].lower() for m in found]
+    return [m.start() for m, x, y in zip(found[1:], low, low[1:], strict=False) if h(f"{x} {y}") % EVERY == 0]
 
 
 def sentences(text: str) -> list[int]:
-    """Where sentences start, and the text's length; 0 alone for an empty text."""
+    """Where sentences and the pieces of long ones start, and the text's length; 0 alone for an empty text."""
     cuts = [0]
     for m in _EDGE.finditer(text):
         if m.end() > cuts[-1]:
             cuts.append(m.end())
     if cuts[-1] < len(text):
         cuts.append(len(text))
-    return cuts
+    word = _words(text)
+    return [0, *(c for a, b in zip(cuts, cuts[1:], strict=False) for c in (*_inner(text, a, b, word), b))]
 
 
 def runs(text: str) -> list[tuple[int, int, int]]:
@@ -38,7 +58,8 @@ def runs(text: str) -> list[tuple[int, int, int]]:
     start at a sentence cover a shared passage but for its end, and runs that end at one cover that.
     """
     cuts = sentences(text)
-    bare = [" ".join(_WORD.findall(text[a:b].lower())) for a, b in zip(cuts, cuts[1:], strict=False)]
+    word = _words(text)
+    bare = [" ".join(word.findall(text[a:b].lower())) for a, b in zip(cuts, cuts[1:], strict=False)]
     words = [x.count(" ") + 1 if x else 0 for x in bare]
     n, ends, found = len(words), set(), []
     if sum(words) < SOME:
@@ -101,7 +122,7 @@ def _without(text: str, removed: list[tuple[int, int]]) -> tuple[int, int, str]:
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
-    """docs' columns with `text` less its repeated sentences, `n_sentences` and `n_removed`.
+    """docs' columns with `text` less its repeated sentences, `n_sentences` and `n_removed`; pieces of long sentences count as sentences.
 
     A sentence goes when a run that covers it stands earlier in the corpus, by (doc_id, sentence). The first place of
     a passage stays. Null texts stay null; rows with a null doc_id are neither matched nor changed; rows that repeat

@@ -61,6 +61,28 @@ def test_runs(docs):
     assert {h for h, *_ in a} & {h for h, *_ in b}
 
 
+def planted_passages():
+    """Passages of over 50 words that hold no run of whole sentences: unstopped, of two and of three sentences, Chinese."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join("abcdefghijklmnopqrstuvwxyz"[i] for i in rng.integers(0, 26, 6))
+    words = lambda n: " ".join(word() for _ in range(n))
+    signs = lambda n: "".join(chr(0x4E00 + i) for i in rng.integers(0, 5000, n))
+    for k in range(40):
+        yield words(60), words, " "
+        yield words(27) + ". " + words(28), words, " "
+        yield words(20) + ". " + words(25) + ". " + words(20), words, " "
+        yield "，".join(signs(20) for _ in range(5)), signs, "，"
+
+
+def test_passages_inside_sentences():
+    found, cases = 0, list(planted_passages())
+    for passage, fill, gap in cases:
+        a, b = (fill(15) + gap + passage + gap + fill(15) for _ in range(2))
+        found += bool({h for h, *_ in spans.runs(a)} & {h for h, *_ in spans.runs(b)})
+        assert not {h for h, *_ in spans.runs(a)} & {h for h, *_ in spans.runs(fill(90))}
+    assert found >= 0.98 * len(cases)
+
+
 def slow_links(rows, cosine):
     n = Counter()
     links = []
