@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What parts words: the space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of a side that may be broadcast once they are counted.
-BROADCAST_ROWS = 200_000
+#: Bytes of a side that may be broadcast once they are summed.
+BROADCAST_BYTES = 16 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; where that is unset (tests, one machine), an own one."""
+    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset, an own one on one machine; elsewhere an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_dir:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="spark-loomwright-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir.rstrip("/")
@@ -36,9 +41,31 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Counts df and marks it for broadcast if it has at most that many rows; beyond that Spark joins by shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def discard(df: DataFrame) -> None:
+    """Deletes the written table that df reads, once nothing that may still run reads it."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(parent)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def _width(f: T.StructField) -> Column:
+    """About how many bytes a value takes, an upper bound for texts and numbers."""
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        return 2 * F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+    return F.lit(16)
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Sums the bytes of df's values and marks it for broadcast if they are at most that many; beyond that Spark joins by shuffle.
+
+    df is read twice: callers give a written table, or a narrow projection of one.
+    """
+    size = df.agg(F.sum(reduce(Column.__add__, [_width(f) for f in df.schema.fields]).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def slots(df: DataFrame, group: list[str], order: list[str], rows: int, value: str | None = None, per: int = 1000) -> DataFrame:
@@ -61,6 +88,7 @@ def slots(df: DataFrame, group: list[str], order: list[str], rows: int, value: s
     same = F.col("_bucket") == F.col("_b")
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    base = materialise(base, "buckets") if n > 1000 else base
     out = x.join(broadcast_if_small(base), same).withColumn("slot", F.col("_r") + F.col("_n0"))
     if value:
         out = out.withColumn("before", F.col("_s") + F.col("_v0"))
@@ -84,7 +112,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(low, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, e = e, materialise(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(old)
         now = mark(e)
         if now == was:
             break

@@ -13,8 +13,8 @@ from .common import materialise
 from .tokens import pieces
 
 SIZE = 4096
-#: Pieces that are packed together, and pairs of bins that a local search looks at for them.
-GROUP, EFFORT = 8192, 12_000
+#: Pieces that are packed together.
+GROUP = 8192
 
 
 def best_fit(lengths: list[int], cap: int) -> list[list[int]]:
@@ -58,22 +58,22 @@ def _exchange(a: list[int], b: list[int], room: int) -> tuple[int, tuple[int, ..
     return best
 
 
-def local_search(bins: list[list[int]], lengths: list[int], cap: int, effort: int = EFFORT) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], cap: int) -> list[list[int]]:
     """Exchanges one for one, two for one, or moves, from the emptiest bins into fuller ones.
 
     An exchange is made when the sum of squared fills grows, so fills drift apart until bins are empty and go. Ends when
-    no bin can give, or after `effort` pairs.
+    there are as few bins as the total allows, or when a whole pass over the bins changes nothing: no bin can give.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    open_ = sorted((k for k in range(len(bins)) if fill[k] < cap), key=lambda k: fill[k])
-    for a in open_:
-        moved = True
-        while moved and bins[a] and effort > 0:
-            moved = False
+    least = -(-sum(fill) // cap)
+    moved = True
+    while moved and sum(map(bool, bins)) > least:
+        moved = False
+        open_ = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < cap), key=lambda k: fill[k])
+        for a in open_:
+            if not bins[a]:
+                continue
             for b in sorted((k for k in open_ if k != a and bins[k] and fill[k] < cap), key=lambda k: -fill[k]):
-                if not bins[a] or effort <= 0:
-                    break
-                effort -= 1
                 gain, give, take = _exchange([lengths[i] for i in bins[a]], [lengths[i] for i in bins[b]], cap - fill[b])
                 if gain > 0 and fill[b] + gain > fill[a]:
                     given, taken = [bins[a][i] for i in give], [bins[b][j] for j in take]
@@ -81,8 +81,10 @@ def local_search(bins: list[list[int]], lengths: list[int], cap: int, effort: in
                     bins[b] = [x for x in bins[b] if x not in taken] + given
                     fill[a], fill[b] = fill[a] - gain, fill[b] + gain
                     moved = True
-        if effort <= 0:
-            break
+                    if not bins[a]:
+                        break
+            if not bins[a] and sum(map(bool, bins)) <= least:
+                break
     return [b for b in bins if b]
 
 
@@ -91,8 +93,10 @@ def pack(items: DataFrame, size: int = SIZE, length: str = "length", key: tuple[
 
     Items are dealt by a hash of their key into groups of about `group`, each packed in one task. Sequences left under
     97 % full are then taken apart and packed again in fewer groups, until one group is left or it no longer helps.
-    Lengths must be between 1 and size; null lengths raise an error. Repeated items are items of their own.
+    Lengths must be between 1 and size; null lengths raise an error. Repeated items, and those whose keys are null, are
+    items of their own; equal items take any order. Input columns _group, _fill, sequence_id and offset are not kept.
     """
+    items = items.drop("_group", "_fill", "sequence_id", "offset")
     out = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("_fill", T.LongType())])
     columns = items.columns
 
@@ -117,7 +121,7 @@ def pack(items: DataFrame, size: int = SIZE, length: str = "length", key: tuple[
     n = items.count()
     groups = max(1, -(-n // group))
     for level in range(4):
-        hashed = F.pmod(F.xxhash64(*key, F.lit(level)), F.lit(groups)).cast("int")
+        hashed = F.pmod(F.xxhash64(*key, length, F.lit(level)), F.lit(groups)).cast("int")
         got = left.withColumn("_group", hashed).groupBy("_group").applyInArrow(packed(level), out)
         if groups == 1 or level == 3:
             done = got if done is None else done.unionByName(got)
@@ -136,6 +140,8 @@ def pack(items: DataFrame, size: int = SIZE, length: str = "length", key: tuple[
 def pack_documents(docs: DataFrame, size: int = SIZE, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset) of all pieces of all rows.
 
-    Null texts are packed as empty ones, one end id each. Repeated rows are packed each. An empty table gives an empty one.
+    Null texts are packed as empty ones, one end id each. Repeated rows are packed each. Columns besides doc_id and text
+    are left out, whatever their names. A text is encoded whole in one task, however long. An empty table gives an
+    empty one.
     """
     return pack(materialise(pieces(docs, size, end_id, keep_ids), "pieces"), size)
