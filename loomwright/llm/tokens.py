@@ -151,7 +151,7 @@ def pieces(docs: DataFrame, size: int = 4096, end_id: int = 1, keep_ids: bool =
             for at, ids, edge in encoded(x["text"], end_id):
                 n = -(-np.diff(edge) // size)
                 row = np.repeat(np.arange(len(n)), n)
-                piece = _ragged(np.zeros(len(n), np.int64), n)
+                piece = _ragged(np.zeros(len(n), np.int64), n).astype(np.int64)
                 begin = edge[row] + piece * size
                 end = np.minimum(begin + size, edge[row + 1])
                 raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
