@@ -62,14 +62,16 @@ _OP4 = r"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, source, coales
 g AS (SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM g) WHERE n > 1),
 p AS (SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS pos FROM r) GROUP BY 1),
-l AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+l AS (SELECT rid, count(*) AS lines, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
 f AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-coalesce(l.n, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words FROM w LEFT JOIN l USING (rid) LEFT JOIN p USING (rid)),
+coalesce(l.n, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, coalesce(l.lines, 0) AS n_lines FROM w LEFT JOIN l USING (rid) LEFT JOIN p USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM b GROUP BY 1),
-m AS (SELECT least(greatest(avg(k / n), 1e-3), 1 - 1e-3) AS mean, var_pop(k / n) AS v, avg(1 / n) AS inv FROM h),
-s AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(v - mean * (1 - mean) * inv, 1e-4 * mean * (1 - mean)) - 1, 1), 1000) AS strength FROM m),
-bad AS (SELECT source FROM h, s WHERE (k + mean * strength) / (n + strength) >= 0.75 AND n >= 20)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM b.source) AS kept FROM b"""
+h AS (SELECT source, count(*) AS n, [count(*) FILTER (n_words < 50), count(*) FILTER (100 * n_repeat_words > 50 * n_words), count(*) FILTER (10 * n_symbols > word_chars), count(*) FILTER (3 * n_dup_lines > n_lines)] AS ks FROM b GROUP BY 1),
+e AS (SELECT source, n, unnest([1, 2, 3, 4]) AS rule, unnest(ks) AS k FROM h),
+m AS (SELECT rule, least(greatest(avg(k / n), 1e-3), 1 - 1e-3) AS mean, var_pop(k / n) AS v, avg(1 / n) AS inv FROM e GROUP BY 1),
+s AS (SELECT rule, mean, least(greatest(mean * (1 - mean) / greatest(v - mean * (1 - mean) * inv, 1e-4 * mean * (1 - mean)) - 1, 1), 1000) AS strength FROM m),
+q AS (SELECT source, n + strength AS t, (k + mean * strength) / (n + strength) AS rate FROM e JOIN s USING (rule)),
+bad AS (SELECT DISTINCT source FROM q WHERE rate - 2 * sqrt(rate * (1 - rate) / (t + 1)) >= 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM b.source) AS kept, n_lines FROM b"""
 
 SQL: dict[str, str] = {"op4_quality": _OP4}

@@ -139,20 +139,31 @@ def evidence(token: str, name: str, shares: dict[str, float]) -> int:
     return max(0, min(MOST, int(10 * (random - plain))))
 
 
+def runs(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """(start, end) of the runs that the battery looks at: what base spans leave of a run counts if it is long enough itself."""
+    found = []
+    for m in _RUN.finditer(text):
+        at = m.start()
+        for s, e in [(s, e) for s, e, _ in base if s < m.end() and m.start() < e] + [(m.end(), m.end())]:
+            if s - at >= BANDS[0] and _mixed(text[at:s]):
+                found.append((at, s))
+            at = max(at, e)
+    return found
+
+
 def scan(text: str) -> tuple[list, list, list, list, list]:
     """Base spans, and the runs outside them with their band of length and their evidence of being random.
 
     Ordinary writing is what the text has outside all its runs and base spans: a secret says nothing of how writing looks.
     """
     base = base_spans(text)
-    mixed = [m for m in _RUN.finditer(text) if _mixed(m[0])]
+    mixed = runs(text, base)
     starts, ends, bands, proofs = [], [], [], []
     if mixed:
-        shares = letter_shares(outside(text, [m.span() for m in mixed] + [(s, e) for s, e, _ in base]))
-    for m in mixed:
-        if any(s < m.end() and m.start() < e for s, e, _ in base) or (name := encoding(m[0])) is None:
-            continue
-        starts.append(m.start()), ends.append(m.end()), bands.append(band(len(m[0]))), proofs.append(evidence(m[0], name, shares))
+        shares = letter_shares(outside(text, mixed + [(s, e) for s, e, _ in base]))
+    for s, e in mixed:
+        if name := encoding(text[s:e]):
+            starts.append(s), ends.append(e), bands.append(band(e - s)), proofs.append(evidence(text[s:e], name, shares))
     return base, starts, ends, bands, proofs
 
 
@@ -168,10 +179,9 @@ def _scan(text: str) -> tuple:
     return [{"start": s, "end": e, "kind": k} for s, e, k in base], *rest
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """docs with `_found`, what `scan` finds in each whole text."""
-    f = F.arrow_udf(by_text(_scan, _FOUND), _FOUND_DDL).asNondeterministic()
-    return docs.withColumn("_found", f("text"))
+def scanned(text: Column) -> Column:
+    """What `scan` finds in each whole text."""
+    return F.arrow_udf(by_text(_scan, _FOUND), _FOUND_DDL).asNondeterministic()(text)
 
 
 def least_evidence(counts: dict[tuple[int, int], int]) -> dict[int, int]:
@@ -193,19 +203,19 @@ def least_evidence(counts: dict[tuple[int, int], int]) -> dict[int, int]:
 
 def limits(found: DataFrame) -> dict[int, int]:
     """`least_evidence` of all rows' runs. Spark counts them into a table of at most len(BANDS) * (MOST + 1) rows."""
-    runs = found.select(F.explode(F.arrays_zip("_found.band", "_found.evidence")).alias("x"))
+    runs = found.select(F.explode(F.arrays_zip("found.band", "found.evidence")).alias("x"))
     table = runs.groupBy("x.band", "x.evidence").agg(F.count(F.lit(1)).alias("n")).collect()
     return least_evidence({(r.band, r.evidence): r.n for r in table})
 
 
-def accepted(found: DataFrame, least: dict[int, int]) -> DataFrame:
-    """found with `_spans`, all spans by start and kind: those of the patterns, and the runs that count as random."""
+def accepted(least: dict[int, int]) -> Column:
+    """All spans of a column `found`, by start and kind: those of the patterns, and the runs that count as random."""
     limit = F.array(*[F.lit(least.get(k, MOST + 1)) for k in range(len(BANDS))])
-    runs = F.filter(F.arrays_zip("_found.start", "_found.end", "_found.band", "_found.evidence"), lambda x: x["evidence"] >= F.element_at(limit, x["band"] + 1))
-    spans = F.concat(F.col("_found.base"), F.transform(runs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("random").alias("kind"))))
+    runs = F.filter(F.arrays_zip("found.start", "found.end", "found.band", "found.evidence"), lambda x: x["evidence"] >= F.element_at(limit, x["band"] + 1))
+    spans = F.concat(F.col("found.base"), F.transform(runs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("random").alias("kind"))))
     order = F.array(*[F.lit(k) for k in KINDS])
     by = lambda x: F.struct(x["start"].alias("start"), F.array_position(order, x["kind"]).alias("k"), x["end"].alias("end"), x["kind"].alias("kind"))
-    return found.withColumn("_spans", F.array_sort(F.transform(spans, by)))
+    return F.array_sort(F.transform(spans, by))
 
 
 def joined(spans: Column) -> Column:
@@ -213,29 +223,38 @@ def joined(spans: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans) of every row, from its whole text.
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) of every row, from its whole text.
 
     Null texts are empty: no spans, and the digest of nothing. Offsets are code points, ends exclusive. Repeated rows
-    are rows each and count each in the control. An empty table gives an empty one.
+    are rows each and count each in the control; runs of equal evidence are accepted or not together. Other columns are
+    left out, whatever their names. A text is scanned whole in one task, however long. An empty table gives an empty one.
     """
-    found = materialise(scanned(docs.select("doc_id", "text")).drop("text"), "secrets")
-    x = accepted(found, limits(found))
-    count = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long")
-    base = F.filter("_spans", lambda s: s["kind"] != "random")
-    return x.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+    found = materialise(docs.select("doc_id", scanned(F.col("text")).alias("found")), "secrets")
+    x = found.select("doc_id", accepted(limits(found)).alias("s"))
+    count = lambda kind: F.size(F.filter("s", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("s", lambda s: s["kind"] != "random")
+    return x.select("doc_id", *[count(k) for k in KINDS[:3]], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"), count("random"))
 
 
 def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
-    """docs with each span of its texts replaced by the mark (spans that touch by one), and n_chars as the text then has."""
-    found = materialise(scanned(docs.select("text")).drop("text"), "secrets")
-    x = accepted(scanned(docs), limits(found))
+    """docs with each span of its texts replaced by the mark (spans that touch by one), and n_chars, if there is one, as the text then has.
+
+    Null texts stay null; all other columns stay as they are, whatever their names. Texts are scanned once.
+    """
+    rows = materialise(docs.select(F.struct("*").alias("row"), scanned(F.col("text")).alias("found")), "secrets")
+    x = rows.select("row", accepted(limits(rows)).alias("s"))
+    text = F.col("row.text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a, s):
         overlaps = s["start"] < a["at"]
-        between = F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"])
+        between = F.substring(text, a["at"] + 1, s["start"] - a["at"])
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(overlaps, a["out"]).otherwise(F.concat(a["out"], between, F.lit(mark))).alias("out"))
 
-    clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    x = x.withColumn("_clean", F.when(F.col("text").isNull() | (F.size("_spans") == 0), F.col("text")).otherwise(clean))
-    return x.select(*[F.col("_clean").alias(c) if c == "text" else F.when(F.size("_spans") == 0, F.col(c)).otherwise(F.length("_clean")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    clean = F.aggregate("s", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    x = x.select("row", "s", F.when(text.isNull() | (F.size("s") == 0), text).otherwise(clean).alias("clean"))
+    row = F.col("row").withField("text", F.col("clean"))
+    if "n_chars" in docs.columns:
+        n = F.when(F.size("s") == 0, F.col("row.n_chars")).otherwise(F.length("clean"))
+        row = row.withField("n_chars", n.cast(docs.schema["n_chars"].dataType))
+    return x.select(row.alias("row")).select("row.*")

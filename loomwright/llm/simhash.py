@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, components, forest, group_starts, materialise, whole_groups
@@ -18,6 +18,9 @@ SEED = 42
 RADIUS = 3
 #: The 64 bits are cut into this many bands; two fingerprints that differ in RADIUS bits agree on at least BANDS - RADIUS of them.
 BANDS = 5
+#: Near-duplicates that `keep_first` looks for: their shingles' similarity, the chance that a pair of just that similarity is
+#: in no common bucket, how many bits it may differ in, and how many of a fingerprint's links in a bucket are verified.
+SIMILARITY, MISSED, WIDE, NEAREST = 0.8, 0.02, 18, 2
 #: Larger buckets are cut into blocks of about this many fingerprints, and pairs of blocks are compared.
 BLOCK = 4096
 
@@ -40,18 +43,19 @@ def fingerprint(text: str, words: int = 3) -> int:
     return int(np.packbits(bits * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in batches:
-        fp = np.fromiter((fingerprint(t.as_py() or "") for t in x["text"]), np.uint64, x.num_rows)
-        yield pa.RecordBatch.from_arrays([x["doc_id"], pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, h, fp) of every row; fp holds the 64 bits as a signed long, h is a hash of the text that tells rows of one doc_id apart."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            fp = np.fromiter((fingerprint(t.as_py() or "", words) for t in x["text"]), np.uint64, x.num_rows)
+            yield pa.RecordBatch.from_arrays([x["doc_id"], x["h"], pa.array(fp.view(np.int64))], names=["doc_id", "h", "fp"])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("h")).mapInArrow(rows, "doc_id long, h long, fp long")
 
 
 def masks(radius: int = RADIUS, bands: int = BANDS) -> list[int]:
+    """The bits of each choice of bands that two fingerprints within the radius may agree on; they agree on one choice at least."""
     edges = [64 * i // bands for i in range(bands + 1)]
     band = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(bands)]
     return [sum(c) for c in combinations(band, bands - radius)]
@@ -139,20 +143,69 @@ def _above(count: list[np.ndarray], radius: int) -> np.ndarray:
     return above
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys = ["bucket", "i", "j"]
-    for t in whole_groups(batches, keys):
-        starts = group_starts(t, keys)
-        big = np.diff(starts) > 1
-        take = np.repeat(big, np.diff(starts))
-        size = np.diff(starts)[big]
-        if not len(size):
-            continue
-        fp, rep = t["fp"].to_numpy()[take].view(np.uint64), t["rep"].to_numpy()[take]
-        a, b = sliced_links(fp, np.concatenate([[0], np.cumsum(size)]))
-        label = forest(len(fp), a, b)
-        own = np.flatnonzero(label != np.arange(len(fp)))
-        yield pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(rep[label[own]])], names=["a", "b"])
+def sampled_masks(rows: int, similarity: float = SIMILARITY, missed: float = MISSED, seed: int = SEED) -> list[int]:
+    """Bits drawn for each table so that few unlike fingerprints share a bucket, however many rows there are, in so many
+    tables that a pair of that similarity shares none with a chance of `missed`, over the bits in which such pairs differ.
+    """
+    apart = angle(similarity)
+    bits = max(10, math.ceil(math.log2(max(1, rows) / 256)))
+    differ = [math.comb(64, d) * apart**d * (1 - apart) ** (64 - d) for d in range(65)]
+    share = [math.comb(64 - d, bits) / math.comb(64, bits) for d in range(65)]
+    tables = 1
+    while sum(p * (1 - s) ** tables for p, s in zip(differ, share, strict=True)) > missed:
+        tables += 1
+    rng = np.random.default_rng(seed)
+    return [sum(1 << int(b) for b in rng.permutation(64)[:bits]) for _ in range(tables)]
+
+
+def angle(similarity: float) -> float:
+    """The share of bits that differ, on average, between fingerprints of texts of that Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _links(radius: int, nearest: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links in sorted buckets: a spanning forest of them, or those of each fingerprint to its `nearest` ones."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["bucket", "i", "j"]
+        for t in whole_groups(batches, keys):
+            starts = group_starts(t, keys)
+            big = np.diff(starts) > 1
+            size = np.diff(starts)[big]
+            if not len(size):
+                continue
+            fp = t["fp"].to_numpy()[np.repeat(big, np.diff(starts))]
+            a, b = sliced_links(fp.view(np.uint64), np.concatenate([[0], np.cumsum(size)]), radius)
+            if nearest is None:
+                label = forest(len(fp), a, b)
+                a = np.flatnonzero(label != np.arange(len(fp)))
+                b = label[a]
+            else:
+                a, b = np.concatenate([a, b]), np.concatenate([b, a])
+                order = np.lexsort((b, np.bitwise_count(fp[a] ^ fp[b]), a))
+                a, b = a[order], b[order]
+                place = np.arange(len(a)) - np.searchsorted(a, a)
+                a, b = a[place < nearest], b[place < nearest]
+            yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
+
+    return links
+
+
+def compared(fps: DataFrame, tables: list[int], radius: int, nearest: int | None = None) -> DataFrame:
+    """(a, b): links between different values of fp (written once) that agree on all bits of one of the tables' masks and differ in at most `radius`.
+
+    Large buckets are cut into blocks, and pairs of blocks are compared, so that no task gets a whole one.
+    """
+    signed = [m - (1 << 64) if m >> 63 else m for m in tables]
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
+    buckets = fps.select("fp", F.explode(keys).alias("bucket"))
+    hot = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
+    )
+    blocks = buckets.join(broadcast_if_small(materialise(hot, "hot")), "bucket", "left").select("bucket", "fp", F.explode(pairs).alias("p")).select("bucket", "p.i", "p.j", "fp")
+    return blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_links(radius, nearest), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -163,37 +216,82 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bucket for each choice of BANDS - RADIUS bands, which no link escapes; buckets are compared bit-sliced, give a
     spanning forest rather than all their links, and are compared by pairs of blocks when they are large.
 
-    Null texts count as empty (fingerprint 0). Rows with a null doc_id get the component of their fingerprint, null if
-    no row of the component has an id. Repeated rows and ids stay as they are. An empty table gives an empty one.
+    Null texts count as empty (fingerprint 0). Rows with a null doc_id are linked like any other and get the component of
+    their fingerprint, null if no row of the component has an id. Repeated rows and ids stay as they are. Other columns
+    are left out, whatever their names. A very long text is hashed in one task, in parts. An empty table gives an empty one.
     """
-    fps = materialise(fingerprints(docs), "fp")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    some = reps.where(F.col("rep").isNotNull())
-    tables = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(masks())])
-    buckets = some.select("fp", "rep", F.explode(tables).alias("bucket"))
-    hot = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
-    )
-    blocks = buckets.join(broadcast_if_small(materialise(hot, "hot")), "bucket", "left").select("bucket", "fp", "rep", F.explode(pairs).alias("p")).select("bucket", "p.i", "p.j", "fp", "rep")
-    links = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_links, "a long, b long")
-    found = components(links)
-    by_fp = reps.join(found, reps.rep == found.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    fps = materialise(fingerprints(docs).select("doc_id", "fp"), "fp")
+    reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
+    found = components(compared(reps, masks(), RADIUS))
+    linked = materialise(reps.join(found, reps.fp == found.node).select("node", "component", "rep"), "linked")
+    low = linked.groupBy("component").agg(F.min("rep").alias("low"))
+    named = materialise(linked.join(low, "component").select("node", "low"), "named")
+    by_fp = reps.join(broadcast_if_small(named), reps.fp == named.node, "left").select(F.col("fp").alias("own_fp"), F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("low")).alias("component_id"))
+    return fps.join(by_fp, F.col("fp") == F.col("own_fp")).select("doc_id", "fp", "component_id")
+
+
+def _shingles(text: str, words: int) -> np.ndarray:
+    """The different word shingles as sorted 32-bit hashes."""
+    w = text.encode().lower().split()
+    h = xxhash.xxh32_intdigest
+    grams = [b" ".join(s) for s in zip(*(w[i:] for i in range(words)))] if len(w) >= words else [b" ".join(w)]
+    return np.unique(np.fromiter((h(g) for g in grams), np.uint32, len(grams)))
+
+
+def similar(pairs: DataFrame, docs: DataFrame, fps: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose texts have at least that Jaccard similarity of word shingles.
+
+    One text stands for a fingerprint. Shingle sets are made only for fingerprints in pairs and travel as 32-bit hashes.
+    """
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    texts = fps.join(wanted, "fp").groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("t")).select("fp", F.col("t.doc_id").alias("one_id"), F.col("t.h").alias("one_h"))
+    texts = broadcast_if_small(materialise(texts, "texts"))
+
+    @F.arrow_udf("binary")
+    def sets(x: pa.Array) -> pa.Array:
+        return pa.array([_shingles(t.as_py() or "", words).tobytes() for t in x], pa.binary())
+
+    @F.arrow_udf("boolean")
+    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+        def one(p: bytes, q: bytes) -> bool:
+            u, v = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            return both >= similarity * (len(u) + len(v) - both)
+
+        return pa.array([one(p.as_py(), q.as_py()) for p, q in zip(x, y, strict=True)])
+
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("one_id")) & (F.xxhash64("text") == F.col("one_h"))
+    have = docs.select("doc_id", "text").join(texts, own).groupBy("fp").agg(F.first("text").alias("text")).select("fp", sets("text").alias("s"))
+    have = materialise(have, "shingles")
+    x = pairs.join(have.select(F.col("fp").alias("a"), F.col("s").alias("s_a")), "a").join(have.select(F.col("fp").alias("b"), F.col("s").alias("s_b")), "b")
+    return x.where(alike("s_a", "s_b")).select("a", "b")
+
 
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """The first row of each group of near-duplicates, by doc_id (nulls last) and a hash of the text.
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that have the smallest doc_id of their group of near-duplicates; of rows that repeat that id, one.
+    Texts are near-duplicates when the Jaccard similarity of their word shingles is at least `similarity`. Candidates
+    come from SimHash fingerprints of those shingles: tables of drawn bits, as many as the chance MISSED to miss such a
+    pair takes, buckets compared bit-sliced, and from each the NEAREST links within WIDE bits; exact similarity decides
+    on them. Texts of equal fingerprints are one group.
 
-    Rows with a null doc_id stay. Only doc_ids move to find what goes; rows that repeat a doc_id are told apart by
-    their text, lowest first.
+    Null texts count as empty. Of rows that repeat a doc_id and a text, any one stays. Columns stay as they are, whatever
+    their names. Only ids and hashes move to find what goes. An empty table gives an empty one.
     """
-    found = materialise(near_duplicates(docs), "groups")
-    gone = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"), F.count(F.lit(1)).alias("n"))
-    out = materialise(gone.where("first = 0 or n > 1").select(F.col("doc_id").alias("_id"), "first"), "gone")
-    own = F.col("doc_id").cast("long") == F.col("_id")
-    kept = docs.join(broadcast_if_small(out.select("_id")), own, "left_anti")
-    again = docs.join(broadcast_if_small(out.where("first = 1").select("_id")), own, "left_semi")
-    order = W.partitionBy(F.col("doc_id").cast("long")).orderBy(F.xxhash64("text"), "text")
-    return kept.unionByName(again.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n"))
+    fps = materialise(fingerprints(docs, words), "fp")
+    kinds = materialise(fps.select("fp").distinct(), "kinds")
+    tables = sampled_masks(kinds.count(), similarity)
+    pairs = compared(kinds, tables, WIDE, NEAREST)
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    found = broadcast_if_small(materialise(components(similar(pairs, docs, fps, words, similarity)), "components"))
+    group = F.coalesce("component", "fp")
+    placed = fps.join(found, fps.fp == found.node, "left").groupBy(group.alias("group"), "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    placed = materialise(placed.withColumn("rank", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")), "placed")
+    many = placed.groupBy("group").agg(F.min("rank").alias("first"), F.sum("n").alias("rows")).where("rows > 1").select(F.col("group").alias("of"), "first")
+    out = placed.join(many, F.col("group") == F.col("of")).select(F.col("doc_id").alias("out_id"), F.col("h").alias("out_h"), (F.col("rank") == F.col("first")).alias("stays"), "n")
+    out = materialise(out.where("not stays or n > 1"), "out")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.xxhash64("text").alias("row_h"))
+    own = F.col("row_id").eqNullSafe(F.col("out_id")) & (F.col("row_h") == F.col("out_h"))
+    kept = rows.join(broadcast_if_small(out.select("out_id", "out_h")), own, "left_anti").select("row")
+    again = rows.join(broadcast_if_small(out.where("stays").select("out_id", "out_h")), own, "left_semi").groupBy("row_id", "row_h").agg(F.first("row").alias("row")).select("row")
+    return kept.unionByName(again).select("row.*")

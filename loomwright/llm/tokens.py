@@ -19,9 +19,9 @@ from .common import broadcast_if_small, work_dir
 
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of words and their ids that a Python worker keeps; beyond that it starts again with the words in hand. Longer words aren't kept.
-KEPT_BYTES, KEPT_WORD = 24 << 20, 40
+KEPT_BYTES, KEPT_WORD = 16 << 20, 40
 #: Bytes of texts that are encoded at once (a longer text is taken whole).
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 #: Words of letters (ASCII, and U+00C0 to U+00FF but for the two signs there) with ASCII signs other than the apostrophe
 #: after them: the tokenizer encodes both parts apart. Words of letters alone are encoded in lines of so many.
 _PLAIN = r"^(?P<letters>[a-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[!-&(-/:-@\[-`{-~]*)$"

@@ -1,4 +1,8 @@
+import re
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
 LONG = " ".join(f"w{i % 977} x{i}" for i in range(30_000))
 ROWS = [
@@ -22,10 +26,9 @@ def odd(spark):
     """Nulls, empty and very long texts, ties, repeated rows, and extra columns with clashing names."""
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     df = spark.createDataFrame(ROWS, schema)
-    for c in ("slot", "size", "fp", "bucket", "component", "node", "_h", "_group", "shard", "i"):
-        from pyspark.sql import functions as F
-
-        df = df.withColumn(c, F.lit("clash"))
+    names = (Path(__file__).parent.parent.parent / "loomwright" / "llm").glob("*.py")
+    clash = {x for p in names for x in re.findall(r"""alias\("(\w+)"\)|withColumn\("(\w+)\"""", p.read_text()) for x in x if x} | {"_id", "_host", "_q", "_found", "_doc", "_cut", "_n", "row", "rid"}
+    df = df.select("*", *[F.lit("clash").alias(c) for c in sorted(clash - {x.lower() for x in df.columns})])
     return df.repartition(3)
 
 

@@ -81,11 +81,55 @@ def test_sliced_links_and_blocks(spark, monkeypatch):
     # one bucket that is cut into many blocks gives the same components
     monkeypatch.setattr(simhash, "BLOCK", 16)
     near = [(int(i), int(f)) for i, f in enumerate(np.uint64(12345) ^ (np.uint64(1) << np.arange(64, dtype=np.uint64)))]
-    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs)
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words=3: docs)
     df = spark.createDataFrame([(i, f - 2**64 if f >> 63 else f) for i, f in near], "doc_id long, fp long")
     assert {r.component_id for r in simhash.near_duplicates(df).collect()} == {0}
 
 
+def test_links_through_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words=3: docs)
+    df = spark.createDataFrame([(1, 0), (None, 7), (3, 63), (None, 1 << 40), (9, -1)], "doc_id long, fp long")
+    assert {(r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(df).collect()} == {(1, 0, 1), (None, 7, 1), (3, 63, 1), (None, 1 << 40, 1), (9, -1, 9)}
+
+
+def slow_similar(a, b, n=5):
+    grams = lambda t: {tuple(w[i : i + n]) for w in [slow_words(t.lower())] for i in range(max(1, len(w) - n + 1))}
+    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+
+def near_copies(seed=3, groups=40):
+    """(doc_id, text): texts with near copies, several to a text, of similarities about 0.7 to 1, far from the others."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(groups):
+        w = [f"w{i}" for i in rng.integers(0, 3000, rng.integers(80, 500))]
+        out.append(" ".join(w))
+        for _ in range(int(rng.integers(0, 5))):
+            c = list(w)
+            for i in rng.integers(0, len(c), rng.integers(0, 2 + len(c) // 40)):
+                c[i] = f"x{rng.integers(0, 10_000)}"
+            out.append(" ".join(c))
+    return [(int(i), t) for i, t in zip(rng.permutation(len(out)), out)]
+
+
+def test_keep_first_of_similar(spark):
+    """Every group of texts linked at 0.8 is found but for few, none is joined below it, and one text of each stays."""
+    rows = near_copies()
+    ids, text = [d for d, _ in rows], dict(rows)
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if slow_similar(text[a], text[b]) >= 0.8]
+    low = slow_components(ids, links)
+    got = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {d for d in ids if low[d] == d}
+    assert len(links) > 40 and first <= got and len(got - first) <= 0.05 * (len(ids) - len(first))
+
+
+def test_sampled_masks():
+    for n in (0, 1000, 10**7):
+        tables = simhash.sampled_masks(n)
+        assert len({m.bit_count() for m in tables}) == 1 and tables[0].bit_count() >= 10
+    assert simhash.sampled_masks(10**7)[0].bit_count() > 10 and len(simhash.sampled_masks(10**7)) > len(simhash.sampled_masks(0))
+
+
 def whole_ids(text):
     return tokens.loaded(tokens.TOKENIZER).tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -213,7 +257,7 @@ def slow_counts(text):
     windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
     hit = {i + k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)}
     lines = [x for x in text.split("\n") if slow_words(x)]
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), len(lines)
 
 
 @pytest.mark.parametrize("name", ["docs", "odd"])
@@ -225,6 +269,7 @@ def test_quality(name, request):
         c = slow_counts(t)
         want[(d, *c, c[0] < 50 or 100 * c[4] > 50 * c[0])] += 1
     assert Counter((r.doc_id, *(r[c] for c in quality.COUNTS), r.base_failed) for r in got) == want
+    assert got[0].__fields__[:8] == ['doc_id', 'n_words', 'word_chars', 'n_symbols', 'n_dup_lines', 'n_repeat_words', 'base_failed', 'kept']
     assert not any(r.kept and r.base_failed for r in got)
     if name == "docs":
         assert all(r.kept != r.base_failed for r in got)
@@ -234,10 +279,19 @@ def test_quality(name, request):
 
 
 def test_host_verdicts(spark):
-    rows = [("good", False)] * 95 + [("good", True)] * 5 + [("bad", True)] * 97 + [("bad", False)] * 3 + [("tiny", True)] + [(f"h{i}", i % 10 == 0) for i in range(40) for _ in range(20)]
-    got = {r.source: r for r in quality.host_verdicts(spark.createDataFrame(rows, "source string, base_failed boolean")).collect()}
-    assert got["bad"].rejected and not got["good"].rejected
-    assert not got["tiny"].rejected and got["tiny"].rate < 1  # one failure says little of a host
+    """A host that mostly fails loses its good rows too; one failure says little of a host; a rule beside the base ones can reject."""
+    rng = np.random.default_rng(0)
+    long = lambda: " ".join(f"w{i}" for i in rng.permutation(10_000)[:60])
+    marked = lambda: " ".join(f"#$%w{i}" for i in rng.permutation(10_000)[:60])
+    rows = [("good", long())] * 95 + [("good", "short")] * 5 + [("bad", "short")] * 90 + [("bad", long())] * 10 + [("tiny", "short"), ("tiny", long())]
+    rows += [("signs", marked()) for _ in range(40)] + [(f"h{i}", long() if i % 10 or k else "short") for i in range(40) for k in range(20)] + [(None, long())]
+    df = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(rows)], "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in quality.quality(df).collect()}
+    lost = Counter(s for i, (s, _) in enumerate(rows) if not got[i].base_failed and not got[i].kept)
+    assert lost == {"bad": 10, "signs": 40}
+    assert {r.doc_id for r in quality.keep_good(df).collect()} == {i for i, r in got.items() if r.kept}
+    few = spark.createDataFrame([(0, "one", "short"), (1, "one", long())], "doc_id long, source string, text string")
+    assert [r.doc_id for r in quality.keep_good(few).collect()] == [1]
 
 
 @pytest.mark.parametrize("name", ["docs", "odd"])
