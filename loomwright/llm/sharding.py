@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slots, text_or_empty
+from .common import broadcast_if_small, materialise, slots, text_or_empty
 
 SHARDS = 24
-#: Groups above a shard's share by this count are placed one by one; smaller ones go in this many bundles a shard. Both bound what one task places.
-FINENESS = 512
 
 
 class FreeTree:
@@ -58,74 +57,95 @@ class FreeTree:
         return best
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """Bin of each size (which must not rise), tightest bin first; None when more than `most` bins are needed."""
+def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[list[tuple[int, int]]] | None:
+    """For each (size, count), sizes falling: (bin, how many of them) in the order of placing, each into the tightest bin that takes it.
+
+    Groups of one size are alike, and the tightest bin stays so while it takes more of them, so a step places as many as
+    fit there. None when more than `most` bins are needed.
+    """
     tree, bins, out = FreeTree(), 0, []
-    for s in sizes:
-        if (got := tree.tightest(s)) is None:
-            if bins == most or s > capacity:
-                return None
-            got, bins = (capacity, bins), bins + 1
-        out.append(got[1])
-        tree.add(got[0] - s, got[1])
+    for s, left in sizes:
+        own = []
+        while left:
+            if (got := tree.tightest(s)) is None:
+                if bins == most or s > capacity:
+                    return None
+                got, bins = (capacity, bins), bins + 1
+            n = min(left, got[0] // s)
+            own.append((got[1], n))
+            tree.add(got[0] - n * s, got[1])
+            left -= n
+        out.append(own)
     return out
 
 
-def place(sizes: list[int], shards: int) -> list[int]:
-    """Shard of each size: the least capacity found at which best-fit-decreasing needs at most that many shards.
+def place(sizes: list[tuple[int, int]], shards: int) -> list[list[tuple[int, int]]]:
+    """(shard, how many) for each (size, count), sizes falling: the least capacity found at which best-fit-decreasing needs at most that many shards.
 
-    A size at or above the mean of what is left has a shard to itself, so that the rest stays even.
+    A group at or above the mean of what is left has a shard to itself, so that the rest stays even.
     """
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    shard, left, rest = [0] * len(sizes), shards, sum(sizes)
-    while order and left > 1 and sizes[order[0]] * left >= rest:
-        left -= 1
-        shard[order[0]] = left
-        rest -= sizes[order.pop(0)]
-    falling = [sizes[i] for i in order]
-    low = max([-(-rest // left), *falling[:1]])
-    best = best_fit_decreasing(falling, low, left)
+    out: list[list[tuple[int, int]]] = []
+    todo, left, rest = list(sizes), shards, sum(s * n for s, n in sizes)
+    alone: list[list[tuple[int, int]]] = []
+    while todo and left > 1 and todo[0][0] * left >= rest:
+        s, n = todo[0]
+        own = []
+        while n and left > 1 and s * left >= rest:
+            left, n, rest = left - 1, n - 1, rest - s
+            own.append((left, 1))
+        alone.append(own)
+        if n:
+            todo[0] = (s, n)
+            break
+        todo.pop(0)
+    low = max([-(-rest // left), *(s for s, _ in todo[:1])])
+    best = best_fit_decreasing(todo, low, left)
     if best is None:
         high = low + max(1, low // 64)
-        while (best := best_fit_decreasing(falling, high, left)) is None:
+        while (best := best_fit_decreasing(todo, high, left)) is None:
             high *= 2
-        for _ in range(10):
+        for _ in range(8):
             if low + 1 >= high:
                 break
-            if (got := best_fit_decreasing(falling, mid := (low + high) // 2, left)) is None:
+            if (got := best_fit_decreasing(todo, mid := (low + high) // 2, left)) is None:
                 low = mid
             else:
                 high, best = mid, got
-    for i, b in zip(order, best, strict=True):
-        shard[i] = b
-    return shard
+    if len(alone) + len(best) > len(sizes):  # a size of which some stand alone and some do not
+        out, best = [*alone[:-1], alone[-1] + best[0]], best[1:]
+    else:
+        out = alone
+    return out + best
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row, by law `bytes`: shards near equal in bytes.
 
-    Rows of equal text stay together. A text whose copies hold a shard's share or more has a shard to itself, and the
-    others share the rest evenly. Null texts are sized as empty (8 bytes) and stay with empty ones. Repeated rows and ids
-    are rows each. An empty table gives an empty one.
+    Rows of equal text stay together and are one group, placed by the bytes of all its rows. What one task places is
+    how many groups there are of each size: different sizes add up to the total at least, so there are at most
+    sqrt(2 * total bytes) of them, however many groups. A group's number among those of its size tells its shard.
+
+    A text whose copies hold a shard's share or more has a shard to itself, and the others share the rest evenly. Null
+    texts are sized as empty (8 bytes) and stay with empty ones. Repeated rows and ids are rows each. Other columns are
+    left out, whatever their names. An empty table gives an empty one.
     """
     if shards < 1:
         raise ValueError("at least one shard")
     t = text_or_empty()
-    rows = materialise(docs.select(F.col("doc_id").cast("long"), (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.md5(t).alias("_text")), "sized")
-    groups = materialise(rows.groupBy("_text").agg(F.sum("size").alias("bytes")), "groups")
-    total, n = (x or 0 for x in rows.agg(F.sum("size"), F.count(F.lit(1))).first())
-    least, bundles = max(1, total // (shards * FINENESS)), shards * FINENESS
-    bundle = F.pmod(F.xxhash64("_text"), F.lit(bundles))
-    large = groups.where(F.col("bytes") > least).select(F.col("_text").alias("item"), "bytes")
-    small = groups.where(F.col("bytes") <= least).groupBy(bundle.cast("string").alias("item")).agg(F.sum("bytes").alias("bytes"))
+    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.md5(t).alias("text_md5")), "sized")
+    groups = materialise(rows.groupBy("text_md5").agg(F.sum("size").alias("bytes")), "groups")
+    classes = materialise(groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")), "sizes")
 
     def placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = pd.concat([pd.DataFrame({"item": [], "bytes": []}), *parts]).sort_values("item")  # at most 2 * shards * FINENESS rows
-        yield pd.DataFrame({"item": x["item"].astype(str), "shard": pd.Series(place(x["bytes"].astype(int).tolist(), shards), index=x.index, dtype="int32")})
-
-    items = materialise(large.unionByName(small).coalesce(1).mapInPandas(placed, "item string, shard int"), "placed")
-    by_text = F.broadcast(items.where(F.length("item") == 32).select(F.col("item").alias("_text"), F.col("shard").alias("_own")))  # bounded as above
-    by_bundle = F.broadcast(items.where(F.length("item") < 32).select(F.col("item").alias("_item"), F.col("shard").alias("_shared")))
-    at = rows.join(by_text, "_text", "left").withColumn("_item", bundle.cast("string")).join(by_bundle, "_item", "left").withColumn("shard", F.coalesce("_own", "_shared"))
-    got = slots(at.select("doc_id", "size", "text_crc32", "shard"), ["shard"], ["doc_id", "text_crc32"], n // shards)
+        x = pd.concat([pd.DataFrame({"bytes": [], "n": []}), *parts]).astype("int64").sort_values("bytes", ascending=False)
+        found = place(list(zip(x["bytes"].tolist(), x["n"].tolist(), strict=True)), shards)
+        yield pd.DataFrame({"bytes": x["bytes"], "to": [[s for s, _ in own] for own in found], "upto": [list(accumulate(n for _, n in own)) for own in found]})
+
+    plan = materialise(classes.coalesce(1).mapInPandas(placed, "bytes long, to array<int>, upto array<long>"), "placed")
+    n = rows.count()
+    numbered = slots(groups, ["bytes"], ["text_md5"], n)
+    at = F.size(F.filter("upto", lambda u: u <= F.col("slot"))) + 1
+    where = materialise(numbered.join(broadcast_if_small(plan), "bytes").select(F.col("text_md5").alias("md5"), F.element_at("to", at).alias("shard")), "shards")
+    known = rows.join(broadcast_if_small(where), F.col("text_md5") == F.col("md5")).select("doc_id", "size", "text_crc32", "shard")
+    got = slots(known, ["shard"], ["doc_id", "text_crc32"], n // shards)
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

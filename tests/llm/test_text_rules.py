@@ -233,23 +233,31 @@ def test_sharding(name, request):
 
 def test_best_fit_decreasing():
     rng = np.random.default_rng(0)
-    sizes = sorted(rng.integers(1, 60, 400).tolist(), reverse=True)
-    got = sharding.best_fit_decreasing(sizes, 100)
+    sizes = sorted(Counter(rng.integers(1, 60, 400).tolist()).items(), reverse=True)
     free: list[int] = []
-    for s, b in zip(sizes, got):  # each went to the tightest bin of the time
-        fit = [f for f in free if f >= s]
-        if b == len(free):
-            assert not fit
-            free.append(100)
-        else:
-            assert free[b] == min(fit)
-        free[b] -= s
-    placed = sharding.place([5000, *sizes], 5)
-    assert placed.count(placed[0]) == 1  # a group above a share stands alone
-    load = Counter()
-    for s, b in zip(sizes, placed[1:]):
-        load[b] += s
-    assert max(load.values()) - min(load.values()) <= 0.02 * max(load.values())
+    for (s, n), own in zip(sizes, sharding.best_fit_decreasing(sizes, 100)):
+        assert sum(k for _, k in own) == n
+        for b in (b for b, k in own for _ in range(k)):  # each went to the tightest bin of the time
+            fit = [f for f in free if f >= s]
+            if b == len(free):
+                assert not fit
+                free.append(100)
+            else:
+                assert free[b] == min(fit)
+            free[b] -= s
+    assert sharding.best_fit_decreasing(sizes, 100, len(free) - 1) is None
+    for first in ([(5000, 1)], [(5000, 2)], []):  # groups above a share stand alone
+        placed = sharding.place([*first, *sizes], 6)
+        load = Counter()
+        for (s, _), own in zip([*first, *sizes], placed, strict=True):
+            for b, k in own:
+                load[b] += s * k
+        big = {b for (s, _), own in zip([*first, *sizes], placed) for b, _ in own if s == 5000}
+        rest = [v for b, v in load.items() if b not in big]
+        assert sum(load.values()) == sum(s * n for s, n in [*first, *sizes]) and all(load[b] == 5000 for b in big) and len(big) == sum(n for _, n in first)
+        assert max(rest) - min(rest) <= 0.02 * max(rest) and len(load) == 6
+    some = sharding.place([(100, 3)], 2)  # of three equal groups one stands alone, and two share the other shard
+    assert sorted(k for _, k in some[0]) == [1, 2] and sharding.place([], 3) == []
 
 
 def slow_counts(text):
