@@ -10,8 +10,8 @@ from .common import WORD, broadcast_if_small, materialise, slots
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: Words in a block, block slots in an output shard, and slots that one task lays out at a time.
-BLOCK, SHARD, CHUNK = 128, 8192, 16_384
+#: Most words in a block, block slots in an output shard, positions that are looked up by one key, and shards that are summed together.
+BLOCK, SHARD, CHUNK, TOGETHER = 128, 8192, 16_384, 1024
 SEED, ROUNDS = 42, 16
 
 
@@ -45,101 +45,164 @@ def targets(sized: DataFrame, source: str = "source", weights: tuple[int, ...] =
     return x.select("sid", source, "source_size", F.least(F.col("cap"), F.col("w") * F.coalesce("level", F.lit(0.0))).alias("target"))
 
 
-def layout(plan: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(sid, slot, block, shard, place): which block of its source each slot of the mix takes, and where it stands in the output.
+def planned(sized: DataFrame, source: str, block: int = BLOCK) -> DataFrame:
+    """`targets` with how a source is cut and taken: (.., len, blocks, passes, n, trim).
 
-    A source's slots go through its blocks in passes, each pass by its own permutation, so no block is taken more often
-    than the target's multiple, rounded up. One permutation of all slots deals them to shards of SHARD places: how many a
-    source gets in a shard is a multinomial draw that is conditioned on the sources' totals, so the totals stay exact.
+    A source's words are cut into blocks of equal length `len`, the last a little shorter. Its n slots are `passes` over all
+    blocks and, for what is left of the target, some blocks of one more pass, of which the last gives its first `trim`
+    words (0: all). So taken words miss the target by less than a block, and by at most one in so many as len or blocks is.
     """
-    size, target = F.col("source_size"), F.col("target")
-    tasks = 1 + int((plan.agg(F.sum("target")).first()[0] or 0) / block / CHUNK)
-    blocks = F.ceil(size / block).cast("long")
-    passes = F.when(size > 0, F.floor(target / size)).otherwise(0).cast("long")
-    rest = F.least(blocks, F.round((target - passes * size) / block).cast("long"))
-    x = plan.withColumn("blocks", blocks).withColumn("n", F.when(size > 0, passes * blocks + rest).otherwise(0).cast("long"))
-    by_sid = W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)
-    x = x.withColumn("base", F.coalesce(F.sum("n").over(by_sid), F.lit(0))).withColumn("all", F.sum("n").over(W.partitionBy())).where("n > 0")
-    x = x.select("sid", "blocks", "n", "base", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))).alias("chunk")).repartition(tasks, "sid", "chunk")
-    first = F.col("chunk") * CHUNK
-    x = x.select("sid", "blocks", "base", "all", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("n")) - 1)).alias("slot"))
+    return cut_up(targets(sized, source), block)
+
+
+def cut_up(plan: DataFrame, block: int = BLOCK) -> DataFrame:
+    size, some = F.col("source_size"), F.greatest(F.col("source_size"), F.lit(1))
+    x = plan.withColumn("len", F.greatest(F.ceil(size / F.greatest(F.ceil(size / block), F.lit(1))), F.lit(1)).cast("long"))
+    x = x.withColumn("blocks", F.ceil(size / F.col("len")).cast("long")).withColumn("words", F.round("target").cast("long"))
+    x = x.withColumn("passes", F.floor(F.col("words") / some).cast("long")).withColumn("rest", F.col("words") - F.col("passes") * size)
+    x = x.withColumn("trim", F.pmod("rest", "len")).withColumn("n", F.col("passes") * F.col("blocks") + F.floor(F.col("rest") / F.col("len")).cast("long") + (F.col("trim") > 0).cast("long"))
+    return x.withColumn("n", F.when(size > 0, F.col("n")).otherwise(0)).drop("words", "rest")
+
+
+def running(df: DataFrame, group: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Adds to each row what `value` sums to over the rows of its group of lower `order`, a dense number: by runs of TOGETHER numbers, then within each."""
+    x = df.withColumn("run", F.floor(F.col(order) / TOGETHER))
+    sums = x.groupBy(*group, "run").agg(F.sum(value).alias("all"))
+    at = W.partitionBy(*group).orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*group, "run", F.coalesce(F.sum("all").over(at), F.lit(0)).alias("lower"))
+    within = W.partitionBy(*group, "run").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    x = x.withColumn("inner", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return x.join(sums, [*group, "run"]).withColumn(name, F.col("lower") + F.col("inner")).drop("run", "inner", "lower")
+
+
+def owned(positions: DataFrame, ranges: DataFrame) -> DataFrame:
+    """positions (with column p) with the sid of the range (sid, low, high) that holds p; ranges don't overlap.
+
+    Ranges are cut where multiples of CHUNK are, and both sides meet by p div CHUNK.
+    """
+    cells = ranges.where("high > low").select("sid", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / CHUNK), F.floor((F.col("high") - 1) / CHUNK))).alias("cell"))
+    cells = cells.groupBy("cell").agg(F.collect_list(F.struct("low", "high", "sid")).alias("held"))
+    x = positions.withColumn("cell", F.floor(F.col("p") / CHUNK)).join(broadcast_if_small(materialise(cells, "cells")), "cell")
+    mine = F.filter("held", lambda r: (r["low"] <= F.col("p")) & (F.col("p") < r["high"]))
+    return x.withColumn("sid", F.element_at(mine, 1)["sid"]).drop("cell", "held", "p")
+
+
+def drawn(plan: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(shard, sid, c): a multinomial draw of each output shard's slots among the sources, by their shares of all slots."""
+    x = plan.withColumn("high", F.sum("n").over(W.orderBy("sid"))).select("sid", (F.col("high") - F.col("n")).alias("low"), "high")
+    total = plan.agg(F.sum("n")).first()[0] or 0
+    at = plan.sparkSession.range(0, total, 1, 1 + int(total // (16 * CHUNK)))
+    p = F.pmod(F.xxhash64(F.lit(SEED), F.lit(-1), "id"), F.lit(max(1, total)))
+    return owned(at.select(F.floor(F.col("id") / shard).alias("shard"), p.alias("p")), x).groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("c"))
+
+
+def shares(plan: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(shard, sid, m): the draw, mended so that each source has its n slots in all.
+
+    A source drawn too often gives up slots of its shards in proportion; these go to the sources drawn too seldom, in
+    the order of a permutation. About as many change as the root of all slots; a shard's number of slots stays.
+    """
+    c = materialise(drawn(plan, shard), "drawn")
+    had = c.groupBy("sid").agg(F.sum("c").alias("had"))
+    off = materialise(plan.select("sid", "n").join(had, "sid", "left").select("sid", F.coalesce("had", F.lit(0)).alias("had"), F.greatest(F.col("n") - F.coalesce("had", F.lit(0)), F.lit(0)).alias("short"), F.greatest(F.coalesce("had", F.lit(0)) - F.col("n"), F.lit(0)).alias("over")), "off")
+    upto = lambda v: F.floor(v * F.col("over") / F.col("had")).cast("long")
+    x = running(c, ["sid"], "shard", "c", "before").join(broadcast_if_small(off), "sid")
+    x = materialise(x.select("shard", "sid", "c", (upto(F.col("before") + F.col("c")) - upto(F.col("before"))).alias("gives")), "given")
+    freed = running(x.groupBy("shard").agg(F.sum("gives").alias("f")).withColumn("one", F.lit(0)), ["one"], "shard", "f", "low").where("f > 0")
+    total = off.agg(F.sum("short")).first()[0] or 0
+    slots_ = freed.select("shard", F.explode(F.sequence("low", F.col("low") + F.col("f") - 1)).alias("x"))
+    wants = off.withColumn("high", F.sum("short").over(W.orderBy("sid"))).select("sid", (F.col("high") - F.col("short")).alias("low"), "high")
+    gained = owned(slots_.select("shard", permuted(F.col("x"), F.lit(max(1, total)), F.lit(SEED), F.lit(-2)).alias("p")), wants)
+    both = x.select("shard", "sid", (F.col("c") - F.col("gives")).alias("m")).unionByName(gained.select("shard", "sid", F.lit(1).cast("long").alias("m")))
+    return both.groupBy("shard", "sid").agg(F.sum("m").alias("m")).where("m > 0")
+
+
+def layout(plan: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(sid, slot, block, shard, words): which block of its source each slot of the mix takes, in which output shard, and how many of its words (0: all).
+
+    A source's slots, numbered shard after shard, go through its blocks in passes, each pass by its own keyed
+    permutation, so no block is taken more often than the target's multiple, rounded up.
+    """
+    m = materialise(shares(plan, shard), "shares")
+    x = running(m, ["sid"], "shard", "m", "first").join(broadcast_if_small(plan.select("sid", "blocks", "n", "trim")), "sid")
+    x = x.select("sid", "shard", "blocks", "n", "trim", F.explode(F.sequence("first", F.col("first") + F.col("m") - 1)).alias("slot"))
     pass_ = F.floor(F.col("slot") / F.col("blocks")).cast("long")
-    place = permuted(F.col("base") + F.col("slot"), F.col("all"), F.lit(SEED), F.lit(-1))
-    x = x.select("sid", "slot", permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.lit(SEED), F.col("sid"), pass_).alias("block"), place.alias("_p"))
-    return x.select("sid", "slot", "block", F.floor(F.col("_p") / SHARD).cast("long").alias("shard"), F.pmod("_p", F.lit(SHARD)).alias("place"))
+    block = permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.lit(SEED), F.col("sid"), pass_)
+    return x.select("sid", "slot", block.alias("block"), "shard", F.when(F.col("slot") == F.col("n") - 1, F.col("trim")).otherwise(0).alias("words"))
 
 
-def _streamed(rows: DataFrame, source: str, rows_: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with sid, source_size, target and `before`, the words of their source that stand before them; the plan)."""
-    plan = materialise(targets(rows, source), "targets")
-    small = broadcast_if_small(plan.withColumnRenamed(source, "_source"))
-    known = rows.join(small, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
-    return slots(known, ["sid"], ["doc_id", "size"], rows_, "size"), plan
+def _taken(streamed: DataFrame, plan: DataFrame) -> DataFrame:
+    """(rid, low, high, times, shard): stretches of each row's words, by their place in the source, and how often the mix takes them.
+
+    streamed has rid, sid, size and `before`, the words of the source that stand before the row.
+    """
+    known = streamed.where("size > 0").join(broadcast_if_small(plan.select("sid", "len")), "sid")
+    end, size = F.col("before") + F.col("size"), F.col("len")
+    cut = known.select("rid", "sid", "len", "before", end.alias("end"), F.explode(F.sequence(F.floor(F.col("before") / size), F.floor((end - 1) / size))).alias("block"))
+    slots_ = layout(plan)
+    whole = F.col("words") == 0
+    taken = slots_.groupBy("sid", "block").agg(F.sum(whole.cast("long")).alias("times"), F.max("words").alias("trim"), F.min("shard").alias("shard"))
+    x = cut.join(taken.hint("merge"), ["sid", "block"])  # a few sources make many slots, which statistics don't tell
+    low, high = F.greatest("before", F.col("block") * F.col("len")), F.least("end", (F.col("block") + 1) * F.col("len"))
+    mid = F.least(F.greatest(F.col("block") * F.col("len") + F.col("trim"), low), high)
+    part = lambda a, b, n: F.struct(a.alias("low"), b.alias("high"), n.alias("times"))
+    parts = F.array(part(low, mid, F.col("times") + 1), part(mid, high, F.col("times")))
+    x = x.select("rid", "shard", F.explode(F.filter(parts, lambda r: (r["high"] > r["low"]) & (r["times"] > 0))).alias("r"))
+    return x.select("rid", "r.low", "r.high", "r.times", "shard")
 
 
-def _blocks(streamed: DataFrame, plan: DataFrame) -> DataFrame:
-    """(sid, before, block, words, times, shard): the blocks that each document with words reaches into."""
-    at, end = F.col("before"), F.col("before") + F.col("size")
-    cut = streamed.where("size > 0").select("sid", "before", "size", F.explode(F.sequence(F.floor(at / BLOCK), F.floor((end - 1) / BLOCK))).alias("block"))
-    words = F.least(F.col("before") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest("before", F.col("block") * BLOCK)
-    taken = layout(plan).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("shard"))
-    return cut.select("sid", "before", "block", words.alias("words")).join(taken.hint("merge"), ["sid", "block"])  # a few sources make many slots, which statistics don't tell
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _sized(docs: DataFrame, source: str, *columns: str) -> DataFrame:
-    return docs.select(*columns, source, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def _streamed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rid, sid, size, before) of rows (rid, doc_id, source, size, h), and the plan."""
+    plan = materialise(planned(rows, "source"), "plan")
+    small = broadcast_if_small(plan.select(F.col("source").alias("of"), "sid"))
+    known = rows.join(small, F.col("source").eqNullSafe(F.col("of"))).select("rid", "doc_id", "h", "sid", "size")
+    return materialise(slots(known, ["sid"], ["doc_id", "size", "h"], rows.count(), "size").select("rid", "sid", "size", "before"), "streamed"), plan
 
 
 def mix(docs: DataFrame, source: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken, first_shard) of every row: how many of its words the mix takes.
 
     The words of each source, document after document, are packed into blocks; slots of the mix take blocks, and a
-    document's words are taken as often as their blocks. A source's taken words miss its target by less than two blocks.
+    document's words are taken as often as their blocks. A source's taken words miss its target by less than a block.
     Null texts have size 0 and nothing taken (first_shard null); null sources are one source, last. Repeated rows and
-    null ids are rows each. Reruns agree. An empty table gives an empty one.
+    null ids are rows each, in any order among themselves. Other columns are left out, whatever their names. Reruns
+    agree. A text's words are counted in one task, however long. An empty table gives an empty one.
     """
-    rows = materialise(_sized(docs.select(F.col("doc_id").cast("long"), "text", source), source, "doc_id"), "sized")
-    streamed, plan = _streamed(rows, source, rows.count())
-    streamed = materialise(streamed.select("doc_id", "size", "sid", "source_size", "target", "before"), "streamed")
-    took = _blocks(streamed, plan).groupBy("sid", "before").agg(F.sum(F.col("words") * F.col("times")).alias("_taken"), F.min("shard").alias("first_shard"))
-    some = streamed.where("size > 0").join(took, ["sid", "before"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
-    none = streamed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_shard"))
-    return some.unionByName(none)
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).alias("source"), _size().alias("size"), F.xxhash64("text").alias("h"))
+    rows = materialise(x.withColumn("rid", F.monotonically_increasing_id()), "sized")
+    streamed, plan = _streamed(rows)
+    took = _taken(streamed, plan).groupBy("rid").agg(F.sum((F.col("high") - F.col("low")) * F.col("times")).alias("t"), F.min("shard").alias("first_shard"))
+    small = broadcast_if_small(plan.select(F.col("source").alias("of"), "source_size", "target"))
+    out = rows.join(took, "rid", "left").join(small, F.col("source").eqNullSafe(F.col("of")))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("t", F.lit(0)).cast("long").alias("taken"), "first_shard")
 
 
 def mixed_documents(docs: DataFrame, source: str = "source") -> DataFrame:
     """docs' columns, a row for each document and pass of the mix that takes words of it: its text where all are taken, else those of the blocks taken.
 
-    The n-th row of a document holds the words that are taken n times or more, with the blanks before each;
-    n_chars follows the text. Documents without words are in no block and go.
+    The n-th row of a document holds the words that are taken n times or more, with the blanks before each; n_chars, if
+    there is one, follows the text. Documents without words are in no block and go. Rows are written once with a number
+    of their own, so that rows that repeat an id or a text are told apart; other columns stay, whatever their names.
     """
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(source).alias("_src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    bare = materialise(_sized(docs.select(F.col("doc_id").cast("long"), "text", source), source, "doc_id"), "sized")
-    plan = materialise(targets(bare, source), "targets")
-    n = bare.count()
-    small = broadcast_if_small(plan.withColumnRenamed(source, "_source"))
-    streamed = slots(bare.join(small, F.col(source).eqNullSafe(F.col("_source"))).drop("_source"), ["sid"], ["doc_id", "size"], n, "size")
-    streamed = materialise(streamed.select("sid", "doc_id", "size", "before"), "streamed")
-    took = _blocks(streamed, plan).groupBy("sid", "before").agg(F.collect_list(F.struct("block", "words", "times")).alias("_b"))
-    # rows of one (source, doc_id, size) are told apart by their order among themselves
-    key = ["sid", "doc_id", "size"]
-    took = streamed.where("size > 0").join(took, ["sid", "before"]).withColumn("_copy", F.row_number().over(W.partitionBy(*key).orderBy("before")))
-    took = took.select(*[F.col(c).alias(f"_{c}") for c in key], "before", "_copy", "_b")
-    own = rows.where("size > 0").join(small, F.col("_src").eqNullSafe(F.col("_source"))).select("_row", *key)
-    repeated = took.where("_copy > 1").select(*[F.col(f"_{c}").alias(f"_r{c}") for c in key]).distinct()
-    many = broadcast_if_small(materialise(repeated, "repeated"))
-    told = (F.col("sid") == F.col("_rsid")) & F.col("doc_id").eqNullSafe(F.col("_rdoc_id")) & (F.col("size") == F.col("_rsize"))
-    number = F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64("_row.text")))
-    own = own.join(many, told, "left_anti").withColumn("copy", F.lit(1)).unionByName(own.join(many, told, "left_semi").withColumn("copy", number))
-    same = (F.col("sid") == F.col("_sid")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("size") == F.col("_size")) & (F.col("copy") == F.col("_copy"))
-    x = own.join(took, same)
-    parts = F.regexp_extract_all("_row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    x = x.select("_row", "before", "size", "_b", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("_b", lambda b: b["times"])))).alias("_pass"))
-    x = x.withColumn("_taken", F.array_sort(F.filter("_b", lambda b: b["times"] >= F.col("_pass"))))
-    whole = F.aggregate("_taken", F.lit(0).cast("long"), lambda s, b: s + b["words"]) == F.col("size")
-    x = x.withColumn("_parts", F.when(~whole, parts))
-    piece = lambda b: F.array_join(F.slice("_parts", (F.greatest(b["block"] * BLOCK - F.col("before"), F.lit(0)) + 1).cast("int"), b["words"].cast("int")), "")
-    text = F.when(F.col("_parts").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform("_taken", piece), ""))
-    x = x.select("_row", text.alias("_text"))
-    return x.select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_row.{c}").alias(c) for c in names])
+    x = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(source).alias("source"), _size().alias("size"), F.xxhash64("text").alias("h"))
+    rows = materialise(x.withColumn("rid", F.monotonically_increasing_id()), "sized")
+    streamed, plan = _streamed(rows.select("rid", "doc_id", "source", "size", "h"))
+    took = _taken(streamed, plan).join(streamed.select("rid", "before"), "rid")
+    took = took.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct((F.col("low") - F.col("before")).alias("low"), (F.col("high") - F.col("before")).alias("high"), "times"))).alias("b"))
+    x = rows.select("rid", "row", "size").join(took, "rid")
+    x = x.select("row", "size", "b", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("b", lambda b: b["times"])))).alias("n"))
+    x = x.withColumn("taken", F.filter("b", lambda b: b["times"] >= F.col("n")))
+    whole = F.aggregate("taken", F.lit(0).cast("long"), lambda s, b: s + b["high"] - b["low"]) == F.col("size")
+    parts = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    x = x.withColumn("parts", F.when(~whole, parts))
+    piece = lambda b: F.array_join(F.slice("parts", (b["low"] + 1).cast("int"), (b["high"] - b["low"]).cast("int")), "")
+    text = F.when(F.col("parts").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform("taken", piece), ""))
+    x = x.select("row", text.alias("new"))
+    row = F.col("row").withField("text", F.col("new"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("new").cast(docs.schema["n_chars"].dataType))
+    return x.select(row.alias("row")).select("row.*")

@@ -165,7 +165,7 @@ def test_mixing(name, request):
         taken[of[(round(r.target, 4), r.source_size)]] += r.taken
     for s in set(of.values()):
         twins = sum(target[t] for t in order if (round(target[t], 4), size[t]) == (round(target[s], 4), size[s]))
-        assert abs(taken[s] - twins) < 2 * mixing.BLOCK, s
+        assert abs(taken[s] - twins) <= mixing.BLOCK * sum((target[t], size[t]) == (target[s], size[s]) for t in order), s
     key = lambda rs: Counter((r.doc_id, r.size, r.source_size, r.taken) for r in rs)
     assert key(got) == key(mixing.mix(df.repartition(4)).collect())  # reruns agree
     texts = mixing.mixed_documents(df)
@@ -185,13 +185,39 @@ def test_mixing(name, request):
     assert all(any(Counter(slow_words(t)) <= Counter(slow_words(u)) for u in have[d]) for d, ts in whole.items() for t in ts)
 
 
-def test_layout_is_whole(spark):
-    plan = spark.createDataFrame([(0, "a", 1000, 2500.0), (1, "b", 90, 270.0), (2, "c", 0, 0.0), (3, "d", 5000, 300.0)], "sid int, source string, source_size long, target double")
-    rows = mixing.layout(plan, 10).collect()
-    times = Counter((r.sid, r.block) for r in rows)
-    assert set(times) >= {(0, b) for b in range(100)} and {times[(0, b)] for b in range(100)} <= {2, 3} and sum(times[(0, b)] for b in range(100)) == 250
-    assert all(times[(1, b)] == 3 for b in range(9)) and sum(n for (s, _), n in times.items() if s == 3) == 30
-    assert sorted((r.shard, r.place) for r in rows) == [(k // mixing.SHARD, k % mixing.SHARD) for k in range(len(rows))]
+def test_layout_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    monkeypatch.setattr(mixing, "TOGETHER", 3)
+    plan = spark.createDataFrame([(0, "a", 1000, 2505.0), (1, "b", 90, 270.0), (2, "c", 0, 0.0), (3, "d", 5000, 300.0), (4, "e", 7, 10.0)], "sid int, source string, source_size long, target double")
+    plan = mixing.cut_up(plan, 10)
+    rows = mixing.layout(plan, 16).collect()
+    of = {r.sid: r for r in plan.collect()}
+    slots, times, words = defaultdict(list), Counter(), Counter()
+    for r in rows:
+        slots[r.sid].append(r.slot)
+        times[(r.sid, r.block)] += 1
+        words[r.sid] += r.words or min(of[r.sid].len, of[r.sid].source_size - r.block * of[r.sid].len)
+    assert all(sorted(slots[s]) == list(range(of[s].n)) for s in of) and words == {0: 2505, 1: 270, 3: 300, 4: 10}
+    assert {times[(0, b)] for b in range(100)} == {2, 3} and all(times[(1, b)] == 3 for b in range(9)) and times[(4, 0)] == 2
+    size = Counter(r.shard for r in rows)
+    assert all(size[k] == 16 for k in range(max(size))) and sum(size.values()) == sum(r.n for r in of.values())
+
+
+def test_shards_are_multinomial(spark):
+    """Counts of a source in a shard vary as a multinomial's do, about its share, and totals are exact."""
+    plan = spark.createDataFrame([(0, 50_000), (1, 30_000), (2, 20_000)], "sid int, n long")
+    got = mixing.shares(plan, 100).collect()
+    total, per = Counter(), defaultdict(dict)
+    for r in got:
+        total[r.sid] += r.m
+        per[r.shard][r.sid] = r.m
+    assert total == {0: 50_000, 1: 30_000, 2: 20_000} and len(per) == 1000 and all(sum(x.values()) == 100 for x in per.values())
+    for s, p in ((0, 0.5), (1, 0.3), (2, 0.2)):
+        m = np.array([x.get(s, 0) for x in per.values()])
+        assert abs(m.var() / (100 * p * (1 - p)) - 1) < 0.2
+    both = np.array([[x.get(0, 0), x.get(1, 0)] for x in per.values()])
+    assert abs(np.cov(both.T)[0, 1] / (-100 * 0.5 * 0.3) - 1) < 0.25
+    assert {(r.shard, r.sid): r.m for r in got} == {(r.shard, r.sid): r.m for r in mixing.shares(plan.repartition(3), 100).collect()}
 
 
 def digest(found):
