@@ -14,7 +14,7 @@ from .common import BLANKS, broadcast_if_small, by_text, materialise
 
 SYMBOLS = b"#*$%&|<>"
 #: A host is rejected when, for some rule, its shrunken share of failing documents less CERTAIN standard deviations of
-#: its posterior is this or more. A host of few documents has a wide posterior and so none that is.
+#: its posterior is this or more, and no less than the hosts' mean: where most hosts fail, none is rejected for that.
 HOST_RATE, CERTAIN = 0.5, 2.0
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 #: What each rule counts as a failure: too short, mostly repeated, over one sign in ten a symbol, over a third of lines repeated.
@@ -77,7 +77,7 @@ def host_verdicts(facts: DataFrame, host: str = "host") -> DataFrame:
         strength = min(max(spread / between - 1, 1.0), 1000.0)
         rate = (F.col(k) + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
         rates.append(rate)
-        bad = bad | (rate - CERTAIN * F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(strength) + 1)) >= HOST_RATE)
+        bad = bad | (rate - CERTAIN * F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(strength) + 1)) >= F.lit(max(HOST_RATE, mean)))
     return hosts.select(host, "n", F.array(*rates).alias("rates"), bad.alias("rejected"))
 
 

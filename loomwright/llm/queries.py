@@ -70,8 +70,8 @@ h AS (SELECT source, count(*) AS n, [count(*) FILTER (n_words < 50), count(*) FI
 e AS (SELECT source, n, unnest([1, 2, 3, 4]) AS rule, unnest(ks) AS k FROM h),
 m AS (SELECT rule, least(greatest(avg(k / n), 1e-3), 1 - 1e-3) AS mean, var_pop(k / n) AS v, avg(1 / n) AS inv FROM e GROUP BY 1),
 s AS (SELECT rule, mean, least(greatest(mean * (1 - mean) / greatest(v - mean * (1 - mean) * inv, 1e-4 * mean * (1 - mean)) - 1, 1), 1000) AS strength FROM m),
-q AS (SELECT source, n + strength AS t, (k + mean * strength) / (n + strength) AS rate FROM e JOIN s USING (rule)),
-bad AS (SELECT DISTINCT source FROM q WHERE rate - 2 * sqrt(rate * (1 - rate) / (t + 1)) >= 0.5)
+q AS (SELECT source, mean, n + strength AS t, (k + mean * strength) / (n + strength) AS rate FROM e JOIN s USING (rule)),
+bad AS (SELECT DISTINCT source FROM q WHERE rate - 2 * sqrt(rate * (1 - rate) / (t + 1)) >= greatest(0.5, mean))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM b.source) AS kept, n_lines FROM b"""
 
 SQL: dict[str, str] = {"op4_quality": _OP4}
