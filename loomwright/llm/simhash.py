@@ -19,39 +19,52 @@ RADIUS = 3
 #: The 64 bits are cut into this many bands; two fingerprints that differ in RADIUS bits agree on at least BANDS - RADIUS of them.
 BANDS = 5
 #: Near-duplicates that `keep_first` looks for: their shingles' similarity, the chance that a pair of just that similarity is
-#: in no common bucket, how many bits it may differ in, and how many of a fingerprint's links in a bucket are verified.
-SIMILARITY, MISSED, WIDE, NEAREST = 0.8, 0.02, 18, 2
+#: in no common bucket, in how many of 64 bits it may differ, and of 128, and how many of a fingerprint's links in a bucket are looked at.
+SIMILARITY, MISSED, WIDE, WIDER, NEAREST = 0.8, 0.05, 16, 30, 2
 #: Larger buckets are cut into blocks of about this many fingerprints, and pairs of blocks are compared.
 BLOCK = 4096
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """Majority bits of the XXH64 of all word shingles, repeats included; 0 without a word."""
+def majority(text: str, words: int, digest: Callable[[bytes, int], bytes], width: int = 64) -> np.ndarray:
+    """The bits, as 64-bit words, that are set in over half the digests of all word shingles, repeats included; none without a word."""
     w = text.encode().lower().split()  # bytes: only A-Z are lowered and only ASCII blanks part words
-    if not w:
-        return 0
-    h = xxhash.xxh64_intdigest
-    if len(w) < words:
-        hashes = [h(b" ".join(w), SEED)]
-    else:
-        hashes = [h(b" ".join(s), SEED) for s in zip(*(w[i:] for i in range(words)))]
-    n = len(hashes)
-    bits = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):  # a very long text takes little memory
-        part = np.array(hashes[i : i + (1 << 16)], dtype="<u8")
-        bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(bits * 2 > n, bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, h, fp) of every row; fp holds the 64 bits as a signed long, h is a hash of the text that tells rows of one doc_id apart."""
+    grams = [b" ".join(s) for s in zip(*(w[i:] for i in range(words)))] if len(w) >= words else [b" ".join(w)] if w else []
+    bits = np.zeros(width, np.int64)
+    for i in range(0, len(grams), 1 << 16):  # a very long text takes little memory
+        part = np.frombuffer(b"".join(digest(g, SEED) for g in grams[i : i + (1 << 16)]), np.uint8).reshape(-1, width // 8)
+        bits += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(bits * 2 > len(grams), bitorder="little").view("<u8")
+
+
+def _xxh64(gram: bytes, seed: int) -> bytes:
+    return xxhash.xxh64_digest(gram, seed)[::-1]  # least byte first
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    """Majority bits of the XXH64 of all word shingles."""
+    return int(majority(text, words, _xxh64)[0])
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            fp = np.fromiter((fingerprint(t.as_py() or "") for t in x["text"]), np.uint64, x.num_rows)
+            yield pa.RecordBatch.from_arrays([x["doc_id"], pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(rows, "doc_id long, fp long")
+
+
+def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, h, fp, more) of every row: 128 majority bits in two longs, and a hash of the text that tells rows of one doc_id apart."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            fp = np.fromiter((fingerprint(t.as_py() or "", words) for t in x["text"]), np.uint64, x.num_rows)
-            yield pa.RecordBatch.from_arrays([x["doc_id"], x["h"], pa.array(fp.view(np.int64))], names=["doc_id", "h", "fp"])
+            both = np.array([majority(t.as_py() or "", words, xxhash.xxh3_128_digest, 128) for t in x["text"]], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([x["doc_id"], x["h"], pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "h", "fp", "more"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("h")).mapInArrow(rows, "doc_id long, h long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("h")).mapInArrow(rows, "doc_id long, h long, fp long, more long")
 
 
 def masks(radius: int = RADIUS, bands: int = BANDS) -> list[int]:
@@ -148,7 +161,7 @@ def sampled_masks(rows: int, similarity: float = SIMILARITY, missed: float = MIS
     tables that a pair of that similarity shares none with a chance of `missed`, over the bits in which such pairs differ.
     """
     apart = angle(similarity)
-    bits = max(10, math.ceil(math.log2(max(1, rows) / 256)))
+    bits = max(10, math.ceil(math.log2(max(1, rows) / 512)))
     differ = [math.comb(64, d) * apart**d * (1 - apart) ** (64 - d) for d in range(65)]
     share = [math.comb(64 - d, bits) / math.comb(64, bits) for d in range(65)]
     tables = 1
@@ -220,7 +233,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     their fingerprint, null if no row of the component has an id. Repeated rows and ids stay as they are. Other columns
     are left out, whatever their names. A very long text is hashed in one task, in parts. An empty table gives an empty one.
     """
-    fps = materialise(fingerprints(docs).select("doc_id", "fp"), "fp")
+    fps = materialise(fingerprints(docs), "fp")
     reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     found = components(compared(reps, masks(), RADIUS))
     linked = materialise(reps.join(found, reps.fp == found.node).select("node", "component", "rep"), "linked")
@@ -272,17 +285,20 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY)
 
     Texts are near-duplicates when the Jaccard similarity of their word shingles is at least `similarity`. Candidates
     come from SimHash fingerprints of those shingles: tables of drawn bits, as many as the chance MISSED to miss such a
-    pair takes, buckets compared bit-sliced, and from each the NEAREST links within WIDE bits; exact similarity decides
-    on them. Texts of equal fingerprints are one group.
+    pair takes, buckets compared bit-sliced, and from each the NEAREST links within WIDE of 64 bits and WIDER of 128; exact
+    similarity decides on them. Texts of equal fingerprints are one group.
 
     Null texts count as empty. Of rows that repeat a doc_id and a text, any one stays. Columns stay as they are, whatever
     their names. Only ids and hashes move to find what goes. An empty table gives an empty one.
     """
-    fps = materialise(fingerprints(docs, words), "fp")
-    kinds = materialise(fps.select("fp").distinct(), "kinds")
+    fps = materialise(wide_fingerprints(docs, words), "fp")
+    kinds = materialise(fps.groupBy("fp").agg(F.min("more").alias("more")), "kinds")
     tables = sampled_masks(kinds.count(), similarity)
     pairs = compared(kinds, tables, WIDE, NEAREST)
     pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    two = kinds.select(F.col("fp").alias("a"), F.col("more").alias("more_a")), kinds.select(F.col("fp").alias("b"), F.col("more").alias("more_b"))
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) + F.bit_count(F.col("more_a").bitwiseXOR(F.col("more_b")))
+    pairs = materialise(pairs.join(two[0], "a").join(two[1], "b").where(apart <= WIDER).select("a", "b"), "close")
     found = broadcast_if_small(materialise(components(similar(pairs, docs, fps, words, similarity)), "components"))
     group = F.coalesce("component", "fp")
     placed = fps.join(found, fps.fp == found.node, "left").groupBy(group.alias("group"), "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
