@@ -5,141 +5,137 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialise
 
-#: A run has at least this many sentences and SOME words, or MANY words; nearly all passages of over 50 words hold such a run.
-SENTENCES, SOME, MANY = 3, 20, 30
-#: A sentence ends after its stops, at a line feed, and before a capital after a blank: a passage that was pasted into a
-#: sentence starts a sentence of its own.
-_EDGE = re.compile(r"[.!?。！？；]+[\"'”’)\]]*\s*|\n\s*|(?<=\s)(?=[A-ZÀ-ÖØ-Þ])")
-#: A sentence of more than LONG words is also cut before words whose hash with the word before is 0 modulo EVERY: a
-#: passage inside it has the same cuts whatever stands around, about one in EVERY words.
-LONG, EVERY = 12, 5
+#: A run is so many consecutive sentences with so many words at least; fewer words are common phrases.
+SENTENCES, WORDS = 3, 10
+#: A sentence ends after its stops before a blank, after Chinese and Japanese stops, and at a line feed.
+_EDGE = re.compile(r"[.!?]+[\"'”’)\]]*(?=\s)\s*|[。！？；]+[\"'”’)\]]*\s*|\n\s*")
+#: A sentence of more than LONG words is cut before words whose hash with the word before is 0 modulo EVERY: what stands
+#: around a passage does not move the cuts inside it, so that passages of few or no stops make sentences of their own.
+LONG, EVERY = 16, 5
 #: Chinese and Japanese signs are words each, as these are written without blanks.
-_SIGNS = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_WORD, _ANY_WORD = re.compile(r"\w+"), re.compile(rf"[{_SIGNS}]|[^\W{_SIGNS}]+")
+_SIGNS = "぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+_SIGN, _PLAIN, _MIXED = re.compile(f"[{_SIGNS}]"), re.compile(r"\S+"), re.compile(rf"[{_SIGNS}]|[^\s{_SIGNS}]+")
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _words(text: str) -> re.Pattern:
-    return _WORD if text.isascii() else _ANY_WORD
+def sentences(text: str) -> tuple[list[int], list[int], list[int]]:
+    """(where sentences and the pieces of long ones start, and the text's length; their hashes; their words).
 
-
-def _inner(text: str, a: int, b: int, word: re.Pattern) -> list[int]:
-    """Content-defined cuts inside the sentence text[a:b]."""
-    found = list(word.finditer(text, a, b))
-    if len(found) <= LONG:
-        return []
-    h = xxhash.xxh32_intdigest
-    low = [m[0].lower() for m in found]
-    return [m.start() for m, x, y in zip(found[1:], low, low[1:], strict=False) if h(f"{x} {y}") % EVERY == 0]
-
-
-def sentences(text: str) -> list[int]:
-    """Where sentences and the pieces of long ones start, and the text's length; 0 alone for an empty text."""
-    cuts = [0]
-    for m in _EDGE.finditer(text):
-        if m.end() > cuts[-1]:
-            cuts.append(m.end())
-    if cuts[-1] < len(text):
-        cuts.append(len(text))
-    word = _words(text)
-    return [0, *(c for a, b in zip(cuts, cuts[1:], strict=False) for c in (*_inner(text, a, b, word), b))]
-
-
-def runs(text: str) -> list[tuple[int, int, int]]:
-    """(hash, first, last) of every least run of sentences that starts or that ends at some sentence.
-
-    Runs are hashed by their words in lower case, so that blanks and stops at their ends don't matter. Runs that
-    start at a sentence cover a shared passage but for its end, and runs that end at one cover that.
+    A sentence is hashed by its words in lower case, whatever blanks part them.
     """
-    cuts = sentences(text)
-    word = _words(text)
-    bare = [" ".join(word.findall(text[a:b].lower())) for a, b in zip(cuts, cuts[1:], strict=False)]
-    words = [x.count(" ") + 1 if x else 0 for x in bare]
-    n, ends, found = len(words), set(), []
-    if sum(words) < SOME:
-        return []
-    to, have = 0, 0
-    for i in range(n):
-        while to < n and not (have >= SOME and to - i >= SENTENCES or have >= MANY):
-            have += words[to]
-            to += 1
-        if have >= SOME and to - i >= SENTENCES or have >= MANY:
-            found.append((i, to - 1))
-            ends.add((i, to - 1))
-        else:
-            break
-        have -= words[i]
-    at, have = n - 1, 0
-    for j in range(n - 1, -1, -1):
-        while at >= 0 and not (have >= SOME and j - at >= SENTENCES or have >= MANY):
-            have += words[at]
-            at -= 1
-        if not (have >= SOME and j - at >= SENTENCES or have >= MANY):
-            break
-        if (at + 1, j) not in ends:
-            found.append((at + 1, j))
-        have -= words[j]
-    h = xxhash.xxh3_64_intdigest
-    out = []
-    for i, j in found:
-        v = h(" ".join(x for x in bare[i : j + 1] if x))
-        out.append((v - (1 << 64) if v >> 63 else v, i, j))
-    return out
+    cuts, hashes, words = [0], [], []
+    parts = _MIXED if not text.isascii() and _SIGN.search(text) else _PLAIN
+    h64, h32 = xxhash.xxh3_64_intdigest, xxhash.xxh32_intdigest
+    edges = [m.end() for m in _EDGE.finditer(text)]
+    if text and (not edges or edges[-1] < len(text)):
+        edges.append(len(text))
+    at = 0
+    for to in edges:
+        piece = text[at:to].lower()
+        w = piece.split() if parts is _PLAIN else parts.findall(piece)
+        if len(w) > LONG:
+            inner = [k for k in range(1, len(w)) if h32(w[k - 1] + " " + w[k]) % EVERY == 0]
+            starts = [m.start() for m in parts.finditer(text, at, to)] if inner else []
+            if len(starts) == len(w):  # lower case may part a word of odd letters in other ways
+                for a, b in zip([0, *inner], [*inner, len(w)], strict=True):
+                    hashes.append(h64(" ".join(w[a:b])))
+                    words.append(b - a)
+                cuts.extend(starts[k] for k in inner)
+                cuts.append(to)
+                at = to
+                continue
+        hashes.append(h64(" ".join(w)))
+        words.append(len(w))
+        cuts.append(to)
+        at = to
+    return cuts, hashes, words
+
+
+def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, number of its first sentence, whether it stood before in the text) of every run of SENTENCES sentences with WORDS words."""
+    _, hashes, words = sentences(text)
+    n = len(hashes) - SENTENCES + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+    h, w = np.array(hashes, np.uint64), np.array(words)
+    run, many = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    for k in range(SENTENCES):
+        run = (run ^ h[k : n + k]) * _M1
+        run ^= run >> np.uint64(29)
+        run *= _M2
+        many += w[k : n + k]
+    at = np.flatnonzero(many >= WORDS)
+    run = run[at].view(np.int64)
+    again = np.ones(len(run), bool)
+    again[np.unique(run, return_index=True)[1]] = False
+    return run, at.astype(np.int32), again
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
         for at in range(0, x.num_rows, 500):
-            ids, h, a, b = [], [], [], []
-            for d, t in zip(x["doc_id"].slice(at, 500).to_pylist(), x["text"].slice(at, 500).to_pylist(), strict=True):
-                for v, i, j in runs(t or ""):
-                    ids.append(d), h.append(v), a.append(i), b.append(j)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["doc_id", "h", "i", "j"])
+            some = x.slice(at, 500)
+            got = [runs(t or "") for t in some["text"].to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]))
+            h, i, again = (np.concatenate(c) for c in zip(*got, strict=True))
+            yield pa.RecordBatch.from_arrays([some["doc_id"].take(row), some["th"].take(row), pa.array(h), pa.array(i), pa.array(again)], names=["doc_id", "th", "h", "i", "again"])
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, i, j) of each run of sentences that stands earlier in the corpus: in a lower doc_id, or before in the same text."""
-    every = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull()).mapInArrow(_runs, "doc_id long, h long, i int, j int")
-    first = every.groupBy("h").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = broadcast_if_small(materialise(first.select(F.col("h").alias("_h"), F.col("first.doc_id").alias("_d"), F.col("first.i").alias("_i")), "first-runs"))
-    return every.join(first, F.col("h") == F.col("_h")).where((F.col("doc_id") != F.col("_d")) | (F.col("i") != F.col("_i"))).select("doc_id", "i", "j")
+    """(doc_id, th, i): each run of sentences that stood earlier, in the same text or in a text before it.
+
+    Texts are in the order of doc_id, nulls last, and of a hash `th` of the text. Runs are written once; repeats in a
+    text are told where it is read, so only the first of each goes through the shuffle, and a text's place is one number
+    there, which is summed up before it.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("th"))
+    every = materialise(texts.mapInArrow(_runs, "doc_id long, th long, h long, i int, again boolean"), "runs")
+    place = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("th").bitwiseAND(F.lit((1 << 32) - 1)).cast("decimal(10,0)")
+    once = every.where("not again").select("doc_id", "th", "h", "i", place.alias("place"))
+    first = once.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select(F.col("h").alias("of"), "first")
+    later = once.join(broadcast_if_small(materialise(first, "first-runs")), F.col("h") == F.col("of")).where("place > first")
+    return later.select("doc_id", "th", "i").unionByName(every.where("again").select("doc_id", "th", "i"))
 
 
-def _without(text: str, removed: list[tuple[int, int]]) -> tuple[int, int, str]:
-    """(sentences, removed sentences, what is left)."""
-    cuts = sentences(text)
-    n = len(cuts) - 1
-    gone = bytearray(n)
-    for i, j in removed:
-        gone[i : j + 1] = b"\1" * (j + 1 - i)
-    return n, sum(gone), "".join(text[cuts[k] : cuts[k + 1]] for k in range(n) if not gone[k])
+def _without(text: str, removed: list[int]) -> tuple[int, int, str]:
+    """(sentences, removed sentences, what is left) when runs start at the sentences `removed`."""
+    cuts, _, words = sentences(text)
+    n = len(words)
+    gone = np.zeros(n, bool)
+    for i in removed:
+        gone[i : i + SENTENCES] = True
+    return n, int(gone.sum()), "".join(text[cuts[k] : cuts[k + 1]] for k in range(n) if not gone[k])
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
     """docs' columns with `text` less its repeated sentences, `n_sentences` and `n_removed`; pieces of long sentences count as sentences.
 
-    A sentence goes when a run that covers it stands earlier in the corpus, by (doc_id, sentence). The first place of
-    a passage stays. Null texts stay null; rows with a null doc_id are neither matched nor changed; rows that repeat
-    a doc_id and a text count as one place, so all of them stay or change alike. An empty table gives an empty one.
+    Every run of SENTENCES consecutive sentences is hashed and joined with all others; a sentence goes when a run that
+    covers it stood earlier, in the order of doc_id (nulls last), then of the text's hash, then of sentences. The first
+    place of a passage stays. Rows that share a doc_id but not the text are texts of their own; rows that repeat both
+    are one place, so all of them stay or change alike. Null texts stay null, with no sentences. Input columns of the
+    two new names are replaced; all others stay, whatever their names. A text is cut whole in one task, however long. An
+    empty table gives an empty one.
     """
-    named = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    hits = repeated_runs(docs).groupBy("doc_id").agg(F.collect_set(F.struct("i", "j")).alias("_runs")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.select(*named).join(hits, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    hits = repeated_runs(docs).groupBy("doc_id", "th").agg(F.collect_set("i").alias("runs")).select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), "runs")
+    rows = docs.drop("n_sentences", "n_removed").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.xxhash64("text").alias("row_th"))
+    found = broadcast_if_small(materialise(hits, "hits"))
+    x = rows.join(found, F.col("row_id").eqNullSafe(F.col("hit_id")) & (F.col("row_th") == F.col("hit_th")), "left").select("row", "runs")
 
     @F.arrow_udf("struct<n:int,removed:int,text:string>")
-    def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
-        n, gone, left = [], [], []
-        for t, r in zip(texts, found, strict=True):
-            t, r = t.as_py(), r.as_py()
-            got = _without(t or "", [(x["i"], x["j"]) for x in r or ()])
-            n.append(got[0]), gone.append(got[1]), left.append(None if t is None else got[2])
-        return pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(gone, pa.int32()), pa.array(left, pa.string())], names=["n", "removed", "text"])
-
-    out = joined.withColumn("_cut", cut.asNondeterministic()("text", "_runs"))
-    return out.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(c) for c in named], F.col("_cut.n").alias("n_sentences"), F.col("_cut.removed").alias("n_removed"))
+    def cut(texts: pa.Array, starts: pa.Array) -> pa.Array:
+        got = [_without(t.as_py() or "", s.as_py() or []) for t, s in zip(texts, starts, strict=True)]
+        left = pa.array([g[2] if t.is_valid else None for g, t in zip(got, texts, strict=True)], pa.string())
+        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32()), left], names=["n", "removed", "text"])
+
+    x = x.select("row", cut.asNondeterministic()("row.text", "runs").alias("cut"))
+    row: Column = F.col("row").withField("text", F.col("cut.text"))
+    return x.select(row.alias("row"), F.col("cut.n").alias("n"), F.col("cut.removed").alias("removed")).select("row.*", F.col("n").alias("n_sentences"), F.col("removed").alias("n_removed"))
