@@ -103,7 +103,7 @@ def _term_spans(found: DataFrame, docs: DataFrame) -> DataFrame:
     hit = placed.where("word is not null").withColumn("term", F.lower("word")).join(marks, ["key", "term"])
     start = F.col("end") - F.length("word")
     span = F.struct(start.alias("start"), F.lit(4).alias("k"), F.col("end"), F.when(F.col("share") >= REMOVE, F.lit("remove")).otherwise("generalise").alias("value"))
-    return hit.groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("terms"))
+    return materialise(hit.groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("terms")), "term-spans")
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -127,7 +127,8 @@ def find_personal(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) of every row, from its whole text.
 
     spans has what the patterns find and, as `term`, words that give away a value found in the same text. Null texts are
-    empty. Equal texts have equal spans; repeated rows are rows each. An empty table gives an empty one.
+    empty. Equal texts have equal spans; repeated rows are rows each. Other columns are left out, whatever their names. A
+    text is scanned in one task, however long. An empty table gives an empty one.
     """
     x = spans(docs)
     n = lambda k: F.size(F.filter("spans", lambda s: s["k"] == k)).cast("long")
