@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stable_id
 from ..operators import catalog, chunking, context, evaluation, retrieval
+from ..operators.tables import broadcast_if_small, written
 from ..sources.html import pages_text
 from ..streaming.latency import windowed
 from .registry import query, t
@@ -37,8 +38,8 @@ def html_pages(spark, sf_dir):
     return pages_text(t(spark, sf_dir, "pages"))
 
 
-def _bm25(spark, sf_dir, variant="okapi", k=10, among=None):
-    return retrieval.bm25(t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), k, variant, among)
+def _bm25(spark, sf_dir, variant="okapi", k=10, among=None, table=None):
+    return retrieval.bm25(t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), k, variant, among, table)
 
 
 def _bm25_sql(variant: str, k: int, name: str = "hits", among: str = "true") -> str:
@@ -69,7 +70,8 @@ u AS (SELECT query_id, doc_id, rank, 0 AS route FROM a UNION ALL SELECT query_id
 f AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score, min(route * 1000 + rank) AS first FROM u GROUP BY 1, 2)
 SELECT query_id, doc_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS rank FROM f) WHERE rank <= 10""")
 def rrf_fusion(spark, sf_dir):
-    x = retrieval.rrf([_bm25(spark, sf_dir, "okapi", 50), _bm25(spark, sf_dir, "lucene", 50)])
+    table = retrieval.term_table(t(spark, sf_dir, "documents"))
+    x = retrieval.rrf([_bm25(spark, sf_dir, v, 50, table=table) for v in ("okapi", "lucene")])
     return x.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
@@ -179,11 +181,11 @@ def chat_history(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    chunks = chunking.fixed_chunks(t(spark, sf_dir, "documents"))
+    chunks = written(chunking.fixed_chunks(t(spark, sf_dir, "documents")), "chunks")
     q = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     named = chunks.select(F.col("vector_id").alias("doc_id"), F.col("content").alias("text"))
-    hits = retrieval.bm25(named, q, 10).select("query_id", F.col("doc_id").alias("vector_id"), "score", "rank")
-    return hits.join(chunks, "vector_id")
+    hits = written(retrieval.bm25(named, q, 10).select("query_id", F.col("doc_id").alias("vector_id"), "score", "rank"), "hits")
+    return written(chunks.join(broadcast_if_small(hits), "vector_id"), "hit-chunks")
 
 
 @query()

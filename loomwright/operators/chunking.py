@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, stable_id
+from .tables import spread
 
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", "，")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """(doc_id, content) without documents that are empty once clean."""
-    return docs.select("doc_id", clean(F.col("text")).alias("content")).where("content <> ''")
+    """(doc_id, content) without documents that are empty once clean: told by their text, as a condition on the content would clean it twice."""
+    return spread(docs.select("doc_id", "text")).where(F.col("text").rlike("(?U)[^\\s\\x1c-\\x1f]")).select("doc_id", clean(F.col("text")).alias("content"))
 
 
 def fixed_chunks(docs: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
@@ -24,8 +25,9 @@ def fixed_chunks(docs: DataFrame, size: int = 800, overlap: int = 120) -> DataFr
         raise ValueError("overlap must be from 0 to size - 1")
     step = size - overlap
     at = F.posexplode(F.sequence(F.lit(0), F.length("content") - 1, F.lit(step))).alias("chunk_index", "start_offset")
-    piece = F.regexp_replace(F.substring(F.col("content"), F.col("start_offset") + 1, F.lit(size)), "(?U)^\\s+|\\s+$", "")
-    x = cleaned(docs).select("doc_id", "content", at).select("doc_id", "chunk_index", "start_offset", (F.col("start_offset") + size).alias("end_offset"), piece.alias("content")).where("content <> ''")
+    raw = F.substring(F.col("content"), F.col("start_offset") + 1, F.lit(size))
+    x = cleaned(docs).select("doc_id", "content", at).select("doc_id", "chunk_index", "start_offset", (F.col("start_offset") + size).alias("end_offset"), raw.alias("raw")).where(F.col("raw").rlike("(?U)\\S"))
+    x = x.select("doc_id", "chunk_index", "start_offset", "end_offset", F.regexp_replace("raw", "(?U)^\\s+|\\s+$", "").alias("content"))
     return named(x)
 
 
@@ -70,10 +72,10 @@ def recursive_chunks(docs: DataFrame, size: int = 800, overlap: int = 120) -> Da
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for i in range(x.num_rows):
-                got = split_text(x["content"][i].as_py(), size, overlap)
-                n = len(got)
-                yield pa.RecordBatch.from_arrays([x["doc_id"].take(pa.array([i] * n, pa.int64())), pa.array(range(n), pa.int32()), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.string())], names=["doc_id", "chunk_index", "start_offset", "end_offset", "content"])
+            got = [(i, n, *g) for i, text in enumerate(x["content"].to_pylist()) for n, g in enumerate(split_text(text, size, overlap))]
+            row, *columns = zip(*got, strict=True) if got else ((),) * 5
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([x["doc_id"].take(pa.array(row, pa.int64())), *map(pa.array, columns, kinds)], names=["doc_id", "chunk_index", "start_offset", "end_offset", "content"])
 
     x = cleaned(docs).mapInArrow(cut, "doc_id long, chunk_index int, start_offset int, end_offset int, content string")
     return named(x)

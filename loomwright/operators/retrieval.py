@@ -13,15 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
-
-
-#: Rows of a side that may be broadcast once they are counted.
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """df for broadcast if its counted rows are few; beyond that Spark joins by shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+from .tables import broadcast_if_small, spread, written
 
 
 def top(scored: DataFrame, k: int, key: str = "doc_id", score: str = "score") -> DataFrame:
@@ -30,37 +22,44 @@ def top(scored: DataFrame, k: int, key: str = "doc_id", score: str = "score") ->
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, variant: str = "okapi", among: DataFrame | None = None) -> DataFrame:
+def term_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, dl, term, tf), written once: the terms of each text and its length in terms. A text without terms has one row, with a null term; a null text has none."""
+    toks = spread(docs.select("doc_id", "text")).where("text is not null").select("doc_id", terms(F.col("text")).alias("t"))
+    each = toks.select("doc_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term"))  # lengths first: else each row of explode carries the array
+    return written(each.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, variant: str = "okapi", among: DataFrame | None = None, table: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): Okapi (idf floored at a quarter of the mean) or Lucene weighting.
 
-    One pass counts what the weights need of all documents: their lengths and, for the floor, every term's documents, by term
-    within each task before the shuffle. The next keeps only terms of queries before it counts and shuffles. A doc filter
-    (`among`) restricts hits, not the statistics. Repeated query terms count each; hits at or under 0 go after the cut.
+    Weights come from the term table of all documents, which several searches may share; only terms of queries are
+    joined and shuffled further, and the queries' side is broadcast if it is small, so that a common term is no hot key.
+    `among` restricts hits, not the statistics: doc_ids for all queries, or (query_id, doc_id) for each. Repeated query
+    terms count each; hits at or under 0 go after the cut.
     """
     k1, b = (1.5, 0.75) if variant == "okapi" else (1.2, 0.75)
-    toks = docs.select("doc_id", terms(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), "t")  # lengths first: else each row of explode carries the array
-    n, told = docs.agg(F.count(F.lit(1)), F.count("text")).first()
+    table = term_table(docs) if table is None else table
+    n = docs.count()
+    # each text counts once: by its rows' share of its length
+    told, total = table.agg(F.sum(F.when(F.col("dl") == 0, 1.0).otherwise(F.col("tf") / F.col("dl"))), F.sum(F.when(F.col("dl") > 0, F.col("tf")))).first()
 
     def idf(df: Column) -> Column:
         ratio = (F.lit(float(n)) - df + 0.5) / (df + 0.5)
         return F.log(ratio if variant == "okapi" else 1 + ratio)
 
+    known = table.where("term is not null")
+    weight = idf(F.col("df"))
     if variant == "okapi":
-        each = toks.select("dl", F.posexplode_outer(F.array_distinct("t")).alias("i", "term"))  # plain explode would match texts twice, to filter empty arrays
-        terms_ = each.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("i") == 0, F.col("dl"))).alias("dl"))
-        total, mean = terms_.agg(F.sum("dl"), F.avg(idf(F.col("df")))).first()
-        floor = 0.25 * float(mean or 0.0)
-        weight = F.when(idf(F.col("df")) < 0, F.lit(floor)).otherwise(idf(F.col("df")))
-    else:
-        total, weight = toks.agg(F.sum("dl")).first()[0], idf(F.col("df"))
-    avgdl = float(total or 0) / told if total else 1.0
+        mean = known.groupBy("term").agg(F.count(F.lit(1)).alias("df")).agg(F.avg(idf(F.col("df")))).first()[0]
+        weight = F.when(weight < 0, F.lit(0.25 * float(mean or 0.0))).otherwise(weight)
+    avgdl = float(total or 0) / round(told) if total else 1.0
     q = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = broadcast_if_small(q.select("term").distinct())
-    tf = toks.select("doc_id", "dl", F.explode_outer("t").alias("term")).join(asked, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = known.join(broadcast_if_small(q.select("term").distinct()), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = tf.join(q.join(df, "term").withColumn("idf", weight), "term")
+    hits = tf.join(broadcast_if_small(written(q.join(df, "term").select("query_id", "term", "qtf", weight.alias("idf")), "asked")), "term")
     if among is not None:
-        hits = hits.join(among.select("doc_id").distinct(), "doc_id", "left_semi")
+        keys = [c for c in ("query_id", "doc_id") if c in among.columns]
+        hits = hits.join(among.select(*keys).distinct(), keys, "left_semi")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     return top(hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")), k).where("score > 0")
 
@@ -97,10 +96,19 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, among: DataFrame
     rows = base.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
     part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, rows.count() // 4096))).cast("int")
     parts = rows.groupBy(part.alias("part")).agg(F.collect_list(F.struct("vec_id", "v")).alias("vs"))  # about 4096 vectors each
-    met = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, n // 256) - 1)))).join(packed, "block")
+    met = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, n // 256) - 1)))).join(broadcast_if_small(written(packed, "queries")), "block")
     return top(met.mapInArrow(_block_tops(k), _SCORED), k, "vec_id")
 
 
+def dense_allowed(vectors: DataFrame, queries: DataFrame, allowed: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, vec_id, score, rank): inner products of each query with the vectors that `allowed`(query_id, vec_id) lets it see, and no others."""
+    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
+    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).where("q is not null")
+    met = allowed.select("query_id", "vec_id").distinct().join(q, "query_id").join(v, "vec_id")
+    score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return top(met.select("query_id", "vec_id", score.alias("score")), k, "vec_id")
+
+
 #: Vectors that the lists' centres are fitted on, those of the lowest hashes; every vector is listed.
 FITTED = 50_000
 
@@ -175,5 +183,5 @@ def reranked(hits: DataFrame, score: Column, k: int = 10, key: str = "doc_id") -
 
 def term_statistics(docs: DataFrame) -> DataFrame:
     """(term, df, tf): documents that have a term, and times it stands in them."""
-    tf = docs.select("doc_id", F.explode_outer(terms(F.col("text"))).alias("term")).where("term is not null").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = spread(docs.select("doc_id", "text")).select("doc_id", F.explode_outer(terms(F.col("text"))).alias("term")).where("term is not null").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
