@@ -80,6 +80,18 @@ def json_items(reply: Column, schema: str) -> Column:
     return F.coalesce(whole, read(F.nullif(F.regexp_extract(bare, r"(?s)\[.*\]", 0), F.lit(""))), F.from_json(F.lit("[]"), f"array<{schema}>"))
 
 
+def json_object(reply: Column, schema: str) -> Column:
+    """The object in a reply, fenced or amid other words; null where there is none."""
+    bare = F.regexp_replace(F.regexp_replace(strip(reply), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    found = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    return F.when(found != "", F.from_json(found, schema))
+
+
+def real_claim(claim: Column) -> Column:
+    """A claim without blanks at its ends; null if no more than two code points are left."""
+    return F.when(F.length(strip(claim)) > 2, strip(claim))
+
+
 def needs_many(reply: Column) -> Column:
     """Whether a reply asks for several queries; a denial counts before an assent, silence as a denial."""
     return F.when(reply.contains("不需要"), False).when(reply.contains("需要"), True).otherwise(False)

@@ -90,10 +90,10 @@ def bumped_tokens(spark, sf_dir):
     return x.select(F.col("c_custkey").alias("user_id"), (1 + F.coalesce("held", F.lit(0))).alias("token_version"))
 
 
-@query("""SELECT user_id, event_type AS action, count(*) AS n, max(left(props, 16)) AS detail FROM events WHERE event_type IN ('error', 'signup') AND value > 10 GROUP BY 1, 2""")
+@query("""SELECT user_id, event_type AS action, count(*) AS n, max(left(props, 1024)) AS detail FROM events WHERE event_type IN ('error', 'signup') AND value > 10 GROUP BY 1, 2""")
 def audit_counts(spark, sf_dir):
     x = t(spark, sf_dir, "events").where("event_type in ('error', 'signup') and value > 10")
-    return x.groupBy("user_id", F.col("event_type").alias("action")).agg(F.count(F.lit(1)).alias("n"), F.max(F.left("props", F.lit(16))).alias("detail"))
+    return x.groupBy("user_id", F.col("event_type").alias("action")).agg(F.count(F.lit(1)).alias("n"), F.max(F.left("props", F.lit(1024))).alias("detail"))
 
 
 @query("""SELECT event_id, sha256(concat_ws('|', 'v2', 'default', 'u' || user_id, CASE WHEN event_id % 2 = 0 THEN 'chat,doc' ELSE 'none' END, CASE event_id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'none' ELSE sha256('a,b') END,
@@ -111,7 +111,7 @@ def cache_survivors(spark, sf_dir):
     return catalog.survivors(t(spark, sf_dir, "events"), "event_type", "user_id", "ts", 50)
 
 
-@query("SELECT source, count(*) AS n, bit_xor(CAST('0x' || substr(sha256(concat_ws('|', doc_id, text)), 1, 15) AS BIGINT)) AS digest FROM documents GROUP BY 1")
+@query("SELECT source, count(*) AS n, bit_xor(CAST('0x' || substr(sha256(concat_ws('|', doc_id, text)), 1, 15) AS BIGINT)) AS digest, CAST(sum(CAST('0x' || substr(sha256(concat_ws('|', doc_id, text)), 1, 15) AS BIGINT)) AS VARCHAR) AS total FROM documents GROUP BY 1")
 def corpus_digests(spark, sf_dir):
     return catalog.fingerprint(t(spark, sf_dir, "documents"), "source", ["doc_id", "text"])
 

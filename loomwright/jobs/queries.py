@@ -10,7 +10,7 @@ from ..operators import catalog, chunking, context, evaluation, retrieval
 from ..operators.tables import broadcast_if_small, written
 from ..sources.html import pages_text
 from ..streaming.latency import windowed
-from .registry import query, t
+from .registry import SQL, query, t
 
 _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace({0}, chr(160), ' '), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
 _DOCS = f"c AS (SELECT doc_id, {_CLEAN.format('text')} AS content FROM documents), d AS (SELECT * FROM c WHERE content <> '')"
@@ -42,11 +42,11 @@ def _bm25(spark, sf_dir, variant="okapi", k=10, among=None, table=None):
     return retrieval.bm25(t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), k, variant, among, table)
 
 
-def _bm25_sql(variant: str, k: int, name: str = "hits", among: str = "true") -> str:
+def _bm25_sql(variant: str, k: int, name: str = "hits", among: str = "true", documents: str = "documents") -> str:
     k1, b = (1.5, 0.75) if variant == "okapi" else (1.2, 0.75)
     idf = "CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {n}_idf) ELSE raw END" if variant == "okapi" else "raw"
     raw = "ln((n - df + 0.5) / (df + 0.5))" if variant == "okapi" else "ln(1 + (n - df + 0.5) / (df + 0.5))"
-    return f"""{name}_tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+    return f"""{name}_tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {documents}),
 {name}_len AS (SELECT doc_id, len(w) AS dl FROM {name}_tok), {name}_stat AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl FROM {name}_len),
 {name}_tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM {name}_tok) GROUP BY 1, 2),
 {name}_idf AS (SELECT term, {raw} AS raw FROM (SELECT term, count(*) AS df FROM {name}_tf GROUP BY 1), {name}_stat),
@@ -144,17 +144,6 @@ def reconcile_stores(spark, sf_dir):
     return catalog.reconcile(t(spark, sf_dir, "documents"), t(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("""WITH u AS (SELECT c_custkey AS user_id, c_nationkey AS role FROM customer), d AS (SELECT o_orderkey AS doc_id, o_custkey AS owner FROM orders),
-g AS (SELECT DISTINCT l_orderkey AS doc_id, l_suppkey AS principal_id, CASE WHEN l_linenumber % 2 = 0 THEN 'user' ELSE 'role' END AS principal_type FROM lineitem WHERE l_linenumber <= 2)
-SELECT user_id, doc_id FROM d JOIN u ON owner = user_id UNION SELECT user_id, doc_id FROM g JOIN u ON principal_type = 'user' AND principal_id = user_id UNION SELECT user_id, doc_id FROM g JOIN u ON principal_type = 'role' AND principal_id = role""")
-def readable_documents(spark, sf_dir):
-    users = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("role"))
-    docs = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("owner"))
-    kind = F.when(F.col("l_linenumber") % 2 == 0, "user").otherwise("role").alias("principal_type")
-    grants = t(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("principal_id"), kind).distinct()
-    return catalog.readable(docs, users, grants)
-
-
 @query("""WITH l AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events), v AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS samples FROM l WHERE n <= 1000 GROUP BY 1)
 SELECT event_type, samples, v[CAST(floor(0.5 * (samples - 1)) AS INTEGER) + 1] AS p50, v[CAST(floor(0.95 * (samples - 1)) AS INTEGER) + 1] AS p95, v[CAST(floor(0.99 * (samples - 1)) AS INTEGER) + 1] AS p99 FROM v""")
 def latency_percentiles(spark, sf_dir):
@@ -188,14 +177,26 @@ def _hits(spark, sf_dir):
     return written(chunks.join(broadcast_if_small(hits), "vector_id"), "hit-chunks")
 
 
-@query()
+_KEPT = f"""k AS ({SQL['fixed_chunks']}), named AS (SELECT vector_id AS doc_id, content AS text FROM k), {_bm25_sql('okapi', 10, 'hits', documents='named')},
+h AS (SELECT query_id, k.*, hits.score, rank, row_number() OVER (PARTITION BY query_id ORDER BY round(hits.score, 9) DESC, chunk_id) AS n, CASE WHEN length(k.content) < 3 THEN [k.content] ELSE list_distinct(list_transform(range(1, length(k.content) - 1), lambda i: substr(k.content, i, 3))) END AS g FROM hits JOIN k ON k.vector_id = hits.doc_id),
+near AS (SELECT a.query_id, b.n, list(a.n) AS l FROM h a JOIN h b ON a.query_id = b.query_id AND a.n < b.n WHERE a.doc_id = b.doc_id AND least(a.end_offset - a.start_offset, b.end_offset - b.start_offset) > 0
+AND greatest(0, least(a.end_offset, b.end_offset) - greatest(a.start_offset, b.start_offset)) >= 0.5 * least(a.end_offset - a.start_offset, b.end_offset - b.start_offset) OR len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.85 GROUP BY 1, 2),
+fold AS (WITH RECURSIVE w AS (SELECT query_id, n, [n] AS kept FROM h WHERE n = 1 UNION ALL SELECT w.query_id, h.n, CASE WHEN len(list_intersect(kept, coalesce(l, []))) = 0 THEN list_append(kept, h.n) ELSE kept END
+FROM w JOIN h ON h.query_id = w.query_id AND h.n = w.n + 1 LEFT JOIN near ON near.query_id = h.query_id AND near.n = h.n) SELECT * FROM w),
+kept AS (SELECT h.* FROM h JOIN (SELECT query_id, unnest(arg_max(kept, n)) AS n FROM fold GROUP BY 1) USING (query_id, n))"""
+
+
+@query(f"WITH {_KEPT} SELECT query_id, chunk_id, doc_id, CAST(rank AS INTEGER) AS rank FROM kept")
 def context_deduplicated(spark, sf_dir):
     return context.without_duplicates(_hits(spark, sf_dir)).select("query_id", "chunk_id", "doc_id", "rank")
 
 
-@query()
+@query(f"""WITH {_KEPT}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY chunk_index) AS i FROM kept),
+f AS (WITH RECURSIVE w AS (SELECT query_id, doc_id, i, chunk_index AS head, end_offset AS e, 1 AS grp FROM o WHERE i = 1 UNION ALL SELECT w.query_id, w.doc_id, o.i, CASE WHEN j THEN head ELSE o.chunk_index END, CASE WHEN j THEN greatest(e, o.end_offset) ELSE o.end_offset END, CASE WHEN j THEN grp ELSE grp + 1 END
+FROM w JOIN (SELECT * FROM o) o ON o.query_id = w.query_id AND o.doc_id = w.doc_id AND o.i = w.i + 1, LATERAL (SELECT abs(o.chunk_index - head) = 1 OR abs(o.start_offset - e) <= 5 AS j)) SELECT * FROM w)
+SELECT query_id, doc_id, min(start_offset) AS start_offset, max(end_offset) AS end_offset, round(max(score), 5) AS score, list(chunk_id ORDER BY i) AS chunk_ids, string_agg(content, '' ORDER BY i) AS content FROM o JOIN f USING (query_id, doc_id, i) GROUP BY query_id, doc_id, grp""")
 def context_merged(spark, sf_dir):
-    return context.merged_neighbours(context.without_duplicates(_hits(spark, sf_dir)))
+    return context.merged_neighbours(context.without_duplicates(_hits(spark, sf_dir))).withColumn("score", F.round("score", 5))
 
 
 @query(f"""WITH {_DENSE}, e AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS z, count(*) OVER w AS n FROM h WINDOW w AS (PARTITION BY query_id)),

@@ -30,9 +30,13 @@ def insert_ignore(new: DataFrame, existing: DataFrame, keys: list[str], order: l
     return first.join(existing.select(*keys), keys, "left_anti")
 
 
-def upsert(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """existing with the rows of new in place of those of the same keys."""
-    return existing.join(new.select(*keys), keys, "left_anti").unionByName(new)
+def upsert(new: DataFrame, existing: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """existing with the rows of new in place of those of the same keys; of rows of new that share a key, the last by `order`."""
+    last = new
+    if order:
+        by = [F.col(c).desc() for c in order]
+        last = new.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).where("_n = 1").drop("_n")
+    return existing.join(new.select(*keys), keys, "left_anti").unionByName(last)
 
 
 def reconcile(truth: DataFrame, store: DataFrame, key: str) -> DataFrame:
@@ -43,17 +47,41 @@ def reconcile(truth: DataFrame, store: DataFrame, key: str) -> DataFrame:
     return x.agg(F.count(F.when(F.col("t").isNotNull() & F.col("s").isNotNull(), 1)).alias("both"), F.count(F.when(F.col("s").isNull(), 1)).alias("missing"), F.count(F.when(F.col("t").isNull(), 1)).alias("orphan"))
 
 
-def readable(docs: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
-    """(user_id, doc_id) that a user may read: own documents, and those granted to the user or to a role of theirs.
+def readable(docs: DataFrame, users: DataFrame, grants: DataFrame, permission: str = "read") -> DataFrame:
+    """(tenant, user_id, doc_id): what users may read in their tenant.
 
-    docs(doc_id, owner), users(user_id, role), grants(doc_id, principal_type, principal_id). Each way is an equi-join; the
-    ways are united and made distinct. Documents without an owner are open to all and are not listed by user.
+    docs(doc_id, tenant, owner), users(user_id, tenant, role, superadmin), grants(doc_id, principal_type, principal_id,
+    permission). A user reads own documents and those that a grant of that permission gives to the user or to a role of
+    theirs. Documents without an owner are open to all of their tenant: one row each, with a null user_id, rather than
+    one for each user. A superadmin has one row with a null doc_id: no filter. Each way is an equi-join.
     """
-    own = docs.join(users.select("user_id").distinct(), F.col("owner") == F.col("user_id")).select("user_id", "doc_id")
-    held = grants.join(docs.select("doc_id"), "doc_id", "left_semi")
-    by_user = held.where("principal_type = 'user'").join(users.select("user_id").distinct(), F.col("principal_id") == F.col("user_id")).select("user_id", "doc_id")
-    by_role = held.where("principal_type = 'role'").join(users, F.col("principal_id") == F.col("role")).select("user_id", "doc_id")
-    return own.unionByName(by_user).unionByName(by_role).distinct()
+    d = docs.select("doc_id", "tenant", "owner")
+    who = users.where("not superadmin").select("user_id", "tenant", "role").distinct()
+    known = who.select("user_id", "tenant").distinct()
+    names = ["tenant", "user_id", "doc_id"]
+    g = grants.where(F.col("permission") == permission).select("doc_id", "principal_type", "principal_id").distinct().join(d.select("doc_id", "tenant"), "doc_id")
+    own = d.withColumnRenamed("owner", "user_id").join(known, ["user_id", "tenant"], "left_semi").select(*names)
+    by_user = g.where("principal_type = 'user'").withColumnRenamed("principal_id", "user_id").join(known, ["user_id", "tenant"], "left_semi").select(*names)
+    by_role = g.where("principal_type = 'role'").withColumnRenamed("principal_id", "role").join(who, ["role", "tenant"]).select(*names)
+    everyone = d.where("owner is null").select("tenant", F.lit(None).cast(users.schema["user_id"].dataType).alias("user_id"), "doc_id")
+    admins = users.where("superadmin").select("tenant", "user_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"))
+    return own.unionByName(by_user).unionByName(by_role).unionByName(everyone).unionByName(admins).distinct()
+
+
+def visible(requests: DataFrame, may_read: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id): the documents that each request's search may look at: what its user may read, and its scope, in its tenant.
+
+    requests(query_id, tenant, user_id, scope), may_read as `readable` gives it, docs(doc_id, tenant). scope is an array of
+    doc_ids: null is no restriction, an empty one leaves nothing.
+    """
+    asks = requests.select("query_id", "tenant", "user_id", "scope")
+    free = may_read.where("doc_id is null").select("tenant", "user_id")
+    listed = asks.join(may_read.where("doc_id is not null and user_id is not null"), ["tenant", "user_id"]).select("query_id", "scope", "doc_id")
+    others = asks.join(free, ["tenant", "user_id"], "left_anti")
+    open_ = others.join(may_read.where("user_id is null").select("tenant", "doc_id"), "tenant").select("query_id", "scope", "doc_id")
+    all_ = asks.join(free, ["tenant", "user_id"], "left_semi").join(docs.select("tenant", "doc_id"), "tenant").select("query_id", "scope", "doc_id")
+    every = listed.unionByName(open_).unionByName(all_)
+    return every.where(F.col("scope").isNull() | F.array_contains("scope", F.col("doc_id"))).select("query_id", "doc_id").distinct()
 
 
 def may(asked: DataFrame, docs: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
@@ -94,6 +122,41 @@ def resolved(docs: DataFrame, ledger: DataFrame, doc: str, version: str, bump: b
     return docs.join(top, doc, "left").withColumn("version", F.coalesce(F.col("_active") + (1 if bump else 0), F.lit(1))).drop("_active")
 
 
+def repairs(truth: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """(key, action): ids to `add` to the store, and ids to `drop` from it, so that it has those of the truth."""
+    t, s = truth.select(key).distinct(), store.select(key).distinct()
+    return t.join(s, key, "left_anti").withColumn("action", F.lit("add")).unionByName(s.join(t, key, "left_anti").withColumn("action", F.lit("drop")))
+
+
+def recorded(chunks: DataFrame, keys: list[str], vector: str = "vector_id") -> DataFrame:
+    """A ledger row for each of keys, such as document, strategy and version: how many different vectors it has."""
+    return chunks.groupBy(*keys).agg(F.count_distinct(vector).alias("chunk_count"))
+
+
+def index_status(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, doc: str, vector: str) -> DataFrame:
+    """(doc, n_chunks, n_vectors, status) of every document: `missing` without chunks, `partial` while some lack a vector, else `ready`."""
+    have = chunks.select(doc, vector).join(vectors.select(F.col(vector).alias("_v")).distinct(), F.col(vector) == F.col("_v"), "left")
+    n = have.groupBy(doc).agg(F.count(F.lit(1)).alias("n_chunks"), F.count("_v").alias("n_vectors"))
+    x = docs.select(doc).join(n, doc, "left").select(doc, F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"))
+    return x.withColumn("status", F.when(F.col("n_chunks") == 0, "missing").when(F.col("n_vectors") < F.col("n_chunks"), "partial").otherwise("ready"))
+
+
+def reusable(corpus: DataFrame, cache: DataFrame, model: str, normalise: bool, dim: int) -> DataFrame:
+    """corpus(id, hash) with `embedding` from the cache, null where it must be encoded anew.
+
+    A cached row serves if its model, normalisation, text hash and dimension all agree. cache(id, hash, model, normalise,
+    embedding); ids are unique in it.
+    """
+    fits = cache.where((F.col("model") == model) & (F.col("normalise") == F.lit(normalise)) & (F.size("embedding") == dim)).select("id", "hash", "embedding")
+    return corpus.select("id", "hash").join(fits, ["id", "hash"], "left")
+
+
+def vector_errors(rows: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
+    """rows with `error`: why a vector can't be added (`missing`, `dimension`, `not a number`), null if it can."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    return rows.withColumn("error", F.when(F.col(vector).isNull(), "missing").when(F.size(vector) != dim, "dimension").when(bad, "not a number"))
+
+
 def without(rows: DataFrame, deleted: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that no deleted key has: a delete, and its cascade to a child table."""
     return rows.join(deleted.select(*keys), keys, "left_anti")
@@ -123,7 +186,7 @@ def survivors(log: DataFrame, group: str, key: str, at: str, most: int) -> DataF
 def fingerprint(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
     """(group, n, digest): a digest of a group's rows in any order, from one hash of each row."""
     row = F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).cast("binary"), 256), 1, 15), 16, 10).cast("long")
-    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("digest"))
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("digest"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("total"))  # equal rows cancel in an xor, not in a sum
 
 
 def named_documents(asked: DataFrame, docs: DataFrame) -> DataFrame:

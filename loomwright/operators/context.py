@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import compressed, grams, jaccard
+from ..functions.text import citations, compressed, grams, jaccard
 
 
 def without_duplicates(hits: DataFrame, overlap: float = 0.5, similar: float = 0.85) -> DataFrame:
-    """Hits (query_id, chunk_id, doc_id, start_offset, end_offset, content, score) that repeat no kept hit of higher score.
+    """Hits (query_id, chunk_id, doc_id, start_offset, end_offset, content, score) that repeat no kept hit of higher score; ties, to nine places, by chunk_id.
 
     Repeated: of one document with spans that share at least `overlap` of the shorter, or 3-gram sets at least `similar`.
     A query's hits are few (a top-k), so the greedy choice is a fold over one array.
     """
-    h = F.struct((-F.col("score")).alias("order"), "chunk_id", "doc_id", "start_offset", "end_offset", grams(F.col("content")).alias("g"))
+    h = F.struct((-F.round("score", 9)).alias("order"), "chunk_id", "doc_id", "start_offset", "end_offset", grams(F.col("content")).alias("g"))
     lists = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(h)).alias("hs"))
 
     def same(a: Column, b: Column) -> Column:
@@ -140,3 +140,32 @@ def dialogue(turns: DataFrame, last: int = 10, chars: int = 2000) -> DataFrame:
     x = turns.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= last).groupBy("conv_id")
     lines = x.agg(F.sort_array(F.collect_list(F.when(said.isNotNull(), F.struct(-F.col("_n"), said.alias("line"))))).alias("ls"))
     return lines.select("conv_id", F.when(F.size("ls") > 0, F.array_join("ls.line", "\n")).otherwise("（无）").alias("dialogue"))
+
+
+def cited(answers: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, place, number, chunk_id, doc_id, start_offset, end_offset, preview): the chunks that answers cite.
+
+    answers(query_id, answer), chunks(query_id, number, chunk_id, doc_id, start_offset, end_offset, content) with numbers
+    from 1. Each number counts once, in order of first mention; numbers that no chunk has are passed over, and keep
+    their place. A preview is the first 50 code points.
+    """
+    x = answers.select("query_id", F.posexplode(citations(F.col("answer"))).alias("place", "number"))
+    return x.join(chunks, ["query_id", "number"]).select("query_id", "place", "number", "chunk_id", "doc_id", "start_offset", "end_offset", F.substring("content", 1, 50).alias("preview"))
+
+
+def messages(system: str, turns: DataFrame, asked: DataFrame) -> DataFrame:
+    """(conv_id, messages): an array of (role, content): the system text, what `history` keeps of the turns, and context and question.
+
+    asked(conv_id, context, question) has a row for each conversation to go on; turns are those before the question.
+    """
+    message = lambda role, text: F.struct(role.alias("role"), text.alias("content"))
+    said = history(turns).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
+    now = F.concat(F.lit("上下文：\n"), F.col("context"), F.lit("\n\n问题："), F.col("question"))
+    before = F.coalesce(F.transform("ts", lambda m: message(m["role"], m["text"])), F.array().cast("array<struct<role:string,content:string>>"))
+    every = F.concat(F.array(message(F.lit("system"), F.lit(system))), before, F.array(message(F.lit("user"), now)))
+    return asked.join(said, "conv_id", "left").select("conv_id", every.alias("messages"))
+
+
+def final_score(rerank: Column, score: Column) -> Column:
+    """The score that a hit is shown with: the reranker's, else the search's, else 0."""
+    return F.coalesce(rerank.cast("double"), score.cast("double"), F.lit(0.0))

@@ -138,3 +138,45 @@ def test_grants(spark):
     asked = spark.createDataFrame([(7, 1, "write"), (8, 1, "read"), (8, 1, "write"), (9, 1, "write"), (9, 2, "read"), (9, 2, "write"), (9, 3, "read")], "user_id int, doc_id int, permission string")
     got = {tuple(r)[:3]: r.allowed for r in catalog.may(asked, docs, users, grants).collect()}
     assert [got[tuple(r)] for r in asked.collect()] == [True, True, False, True, True, False, False]
+
+
+def test_readable_and_visible(spark):
+    docs = spark.createDataFrame([(1, "a", 7), (2, "a", None), (3, "b", 7), (4, "a", 9), (5, "b", None)], "doc_id long, tenant string, owner long")
+    users = spark.createDataFrame([(7, "a", 1, False), (8, "a", 2, False), (1, "a", 1, True)], "user_id long, tenant string, role long, superadmin boolean")
+    grants = spark.createDataFrame([(4, "role", 2, "read"), (4, "user", 7, "write"), (1, "user", 8, "manage"), (3, "user", 8, "read")], "doc_id long, principal_type string, principal_id long, permission string")
+    may = catalog.readable(docs, users, grants)
+    # another tenant's documents, and grants to write or manage, give nothing to read; ownerless ones are all users' of their tenant
+    assert {tuple(r) for r in may.collect()} == {("a", 7, 1), ("a", 8, 4), ("a", None, 2), ("b", None, 5), ("a", 1, None)}
+    rows = [(1, "a", 7, None), (2, "a", 7, [2, 4, 5]), (3, "a", 7, []), (4, "a", 1, None), (5, "a", 8, [4]), (6, "a", 99, None)]
+    asks = spark.createDataFrame(rows, "query_id long, tenant string, user_id long, scope array<long>")
+    got = {tuple(r) for r in catalog.visible(asks, may, docs).collect()}
+    assert got == {(1, 1), (1, 2), (2, 2), (4, 1), (4, 2), (4, 4), (5, 4), (6, 2)}
+    texts = spark.createDataFrame([(i, "apple") for i in range(1, 6)], "doc_id long, text string").unionByName(spark.createDataFrame([(9, "pear pear plum"), (10, "fig")] + [(i, "kiwi") for i in range(20, 30)], "doc_id long, text string"))
+    hits = retrieval.bm25(texts, asks.select("query_id", F.lit("apple").alias("text")), among=catalog.visible(asks, may, docs)).collect()
+    assert {(r.query_id, r.doc_id) for r in hits} == got
+
+
+def test_cited(spark):
+    schema = "query_id long, number int, chunk_id string, doc_id string, start_offset int, end_offset int, content string"
+    chunks = spark.createDataFrame([(1, 1, "c0", "d", 0, 48, "x" * 60), (1, 2, "c1", "d", 48, 90, "y")], schema)
+    for answer, want in (("so [2], and [1\uff0c2] \u30101\u30012\u3011", ["c1", "c0"]), ("[9] and [1]", ["c0"]), ("[x] none", []), ("", []), ("[99999999999999999999]", [])):
+        got = context.cited(spark.createDataFrame([(1, answer)], "query_id long, answer string"), chunks).orderBy("place").collect()
+        assert [r.chunk_id for r in got] == want and all(len(r.preview) <= 50 for r in got)
+
+
+def test_messages_and_objects(spark):
+    from loomwright.functions.text import json_object, real_claim
+
+    turns = spark.createDataFrame([(1, 0, "user", " hi "), (1, 1, "tool", "no"), (1, 2, "assistant", "yes")], "conv_id long, turn int, role string, text string")
+    asked = spark.createDataFrame([(1, "[1] c", "q"), (2, "", "r")], "conv_id long, context string, question string")
+    got = {r.conv_id: [tuple(m) for m in r.messages] for r in context.messages("S", turns, asked).collect()}
+    last = lambda c, q: ("user", f"\u4e0a\u4e0b\u6587\uff1a\n{c}\n\n\u95ee\u9898\uff1a{q}")
+    assert got == {1: [("system", "S"), ("user", "hi"), ("assistant", "yes"), last("[1] c", "q")], 2: [("system", "S"), last("", "r")]}
+    for reply, want in (('{"score": 0.5}', 0.5), ('```json\n{"score": 1}\n```', 1.0), ('well: {"score": 0.25} so', 0.25), ("none", None)):
+        assert one(spark, json_object(F.lit(reply), "score double")["score"]) == want
+    assert [one(spark, real_claim(F.lit(x))) for x in (" abc ", " ab ", "")] == ["abc", None, None]
+
+
+def test_upsert_takes_the_last(spark):
+    new, old = spark.createDataFrame([(1, "n", 1), (1, "m", 2), (2, "z", 1)], "k int, v string, at int"), spark.createDataFrame([(1, "o", 0), (3, "p", 0)], "k int, v string, at int")
+    assert sorted(tuple(r) for r in catalog.upsert(new, old, ["k"], ["at"]).collect()) == [(1, "m", 2), (2, "z", 1), (3, "p", 0)]
