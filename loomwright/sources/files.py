@@ -18,7 +18,7 @@ try:
 except ImportError:  # then PDF files have an error in place of content
     pypdf = None
 
-#: Larger files are left out.
+#: Larger files are not read.
 MOST_BYTES = 50 << 20
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _SCHEMA = "document_id string, file_name string, file_path string, file_type string, title string, n_parts int, n_tables int, content string, error string"
@@ -72,15 +72,15 @@ def _document(kind: str, raw: bytes) -> tuple[str | None, int, int, str]:
 
 
 def read_folder(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("txt", "html", "docx", "pdf")) -> DataFrame:
-    """A row for each file of these kinds in the folder and those below it, of at most MOST_BYTES.
+    """A row for each file of these kinds in the folder and those below it.
 
-    The kind is the suffix, in either case. A file that can't be read has no content and tells why in `error`, so that
-    one broken file doesn't end a large job. Spark passes over files without a byte. A folder without any such file raises ValueError.
+    The kind is the suffix, in either case. A file that can't be read, or has over MOST_BYTES, has no content and tells
+    why in `error`, so that one broken file doesn't end a large job. Spark passes over files without a byte. A folder without any such file raises ValueError.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.regexp_extract("path", "[^/]*$", 0)
-    files = files.where(F.col("length") <= MOST_BYTES).select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("kind"), "content").where(F.col("kind").isin(*kinds))
-    if files.select("path").isEmpty():
+    every = files.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("kind"), "length", "content").where(F.col("kind").isin(*kinds))
+    if every.select("path").isEmpty():
         raise ValueError(f"no {', '.join(kinds)} file in {folder}")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,10 @@ def read_folder(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("txt
                 rows.append(own)
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return files.mapInArrow(read, _SCHEMA)
+    found = every.where(F.col("length") <= MOST_BYTES).select("path", "name", "kind", "content").mapInArrow(read, _SCHEMA)
+    large = every.where(F.col("length") > MOST_BYTES)
+    own = {"document_id": F.regexp_replace("name", r"\.[^.]*$", ""), "file_name": F.col("name"), "file_path": F.col("path"), "file_type": F.col("kind"), "error": F.concat(F.lit("too large: "), F.col("length").cast("string"), F.lit(" bytes"))}
+    return found.unionByName(large.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in found.schema.fields]))
 
 
 _ARROW = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in _SCHEMA.split(", ")])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwright.operators import catalog, evaluation, retrieval
-from loomwright.sources import files
+from loomwright.sources import datasets, files
 
 _NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -23,7 +23,9 @@ def p(text: str) -> str:
     return f"<w:p><w:r><w:t>{text}</w:t></w:r></w:p>"
 
 
-def test_folder(spark, tmp_path):
+def test_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MOST_BYTES", 4000)
+    (tmp_path / "huge.txt").write_text("x" * 5000)
     (tmp_path / "in").mkdir()
     (tmp_path / "a.txt").write_text("première\nligne")
     (tmp_path / "empty.txt").write_text("")
@@ -33,7 +35,8 @@ def test_folder(spark, tmp_path):
     (tmp_path / "odd.txt").write_bytes(b"\xff\xfe\xff")
     (tmp_path / "x.csv").write_text("1,2")
     got = {r.file_name: r for r in files.read_folder(spark, str(tmp_path)).collect()}
-    assert set(got) == {"a.txt", "b.HTML", "c.docx", "broken.docx", "odd.txt"}
+    assert got["huge.txt"].content is None and got["huge.txt"].error == "too large: 5000 bytes" and got["huge.txt"].document_id == "huge"
+    assert set(got) - {"huge.txt"} == {"a.txt", "b.HTML", "c.docx", "broken.docx", "odd.txt"}
     assert got["a.txt"].content == "première\nligne" and got["a.txt"].document_id == "a"
     assert got["b.HTML"].title == "T" and "y" not in got["b.HTML"].content and got["b.HTML"].file_type == "html"
     assert got["c.docx"].content == "one\n\ntwo\n\nk\tv" and (got["c.docx"].n_parts, got["c.docx"].n_tables) == (2, 1)
@@ -42,6 +45,23 @@ def test_folder(spark, tmp_path):
         files.read_folder(spark, str(tmp_path), ("pdf",))
 
 
+def test_evaluation_data(spark, tmp_path):
+    lines = ['{"id": "a", "query": "q", "gold": {"documents": [{"document_id": "d", "spans": [{"start": 1, "end": 5}]}, {"document_id": "e", "relevance": 2}], "answers": ["x"]}, "metadata": {"k": "v"}, "more": 1}', '{"id": "b", "history": [{"role": "user", "content": "h"}]}']
+    (tmp_path / "s.jsonl").write_text("\n".join(lines))
+    (tmp_path / "s.json").write_text("[" + ",\n".join(lines) + "]")
+    got = datasets.read_samples(spark, str(tmp_path / "s.jsonl"))
+    assert got.collect() == datasets.read_samples(spark, str(tmp_path / "s.json"), lines=False).collect()
+    gold = [tuple(r) for r in datasets.gold_documents(got).collect()]
+    assert [(g[0], g[1], g[2], [tuple(s) for s in g[3]]) for g in gold] == [("a", "d", 1.0, [(1, 5)]), ("a", "e", 2.0, [])]
+    (tmp_path / "q.json").write_text('{"q1": {"d": 1, "e": 0.5}, "q2": ["f", "g"], "q3": {}}')
+    assert sorted(map(tuple, datasets.read_qrels(spark, str(tmp_path / "q.json")).collect())) == [("q1", "d", 1.0), ("q1", "e", 0.5), ("q2", "f", 1.0), ("q2", "g", 1.0)]
+    (tmp_path / "m.json").write_text('{"name": "n", "size": 3, "files": {"a": 1}}')
+    assert {(r.key, r.value) for r in datasets.read_manifest(spark, str(tmp_path / "m.json")).collect()} == {("name", "n"), ("size", "3"), ("files", '{"a":1}')}
+    spans = '[{"query": "q", "relevant_spans": [{"start": 0, "end": 9}]}]'
+    (tmp_path / "spans.json").write_text(spans)
+    assert datasets.read_samples(spark, str(tmp_path / "spans.json"), False, datasets.SPANS).first().relevant_spans[0].end == 9
+
+
 def test_reports(spark, tmp_path):
     rows = spark.createDataFrame([(1, 'say "a",\nb'), (2, "x" * 205), (3, None)], "id long, answer string")
     files.write_report(evaluation.report(rows, "answer"), str(tmp_path / "r"))
