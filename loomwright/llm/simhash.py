@@ -176,8 +176,8 @@ def angle(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _links(radius: int, nearest: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links in sorted buckets: a spanning forest of them, or those of each fingerprint to its `nearest` ones."""
+def _links(radius: int, wider: int | None, nearest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links in sorted buckets: a spanning forest of them or, with `wider`, those of each fingerprint to its `nearest` ones by 128 bits, if within that many."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["bucket", "i", "j"]
@@ -187,38 +187,44 @@ def _links(radius: int, nearest: int | None) -> Callable[[Iterator[pa.RecordBatc
             size = np.diff(starts)[big]
             if not len(size):
                 continue
-            fp = t["fp"].to_numpy()[np.repeat(big, np.diff(starts))]
-            a, b = sliced_links(fp.view(np.uint64), np.concatenate([[0], np.cumsum(size)]), radius)
-            if nearest is None:
+            take = np.repeat(big, np.diff(starts))
+            fp = t["fp"].to_numpy()[take].view(np.uint64)
+            a, b = sliced_links(fp, np.concatenate([[0], np.cumsum(size)]), radius)
+            if wider is None:
                 label = forest(len(fp), a, b)
                 a = np.flatnonzero(label != np.arange(len(fp)))
                 b = label[a]
             else:
-                a, b = np.concatenate([a, b]), np.concatenate([b, a])
-                order = np.lexsort((b, np.bitwise_count(fp[a] ^ fp[b]), a))
+                more = t["more"].to_numpy()[take].view(np.uint64)
+                apart = np.bitwise_count(fp[a] ^ fp[b]) + np.bitwise_count(more[a] ^ more[b])
+                near = apart <= wider
+                a, b, apart = np.concatenate([a[near], b[near]]), np.concatenate([b[near], a[near]]), np.tile(apart[near], 2)
+                order = np.lexsort((b, apart, a))
                 a, b = a[order], b[order]
-                place = np.arange(len(a)) - np.searchsorted(a, a)
-                a, b = a[place < nearest], b[place < nearest]
-            yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
+                first = np.arange(len(a)) - np.searchsorted(a, a) < nearest
+                a, b = a[first], b[first]
+            yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["a", "b"])
 
     return links
 
 
-def compared(fps: DataFrame, tables: list[int], radius: int, nearest: int | None = None) -> DataFrame:
+def compared(fps: DataFrame, tables: list[int], radius: int, wider: int | None = None, nearest: int = 0) -> DataFrame:
     """(a, b): links between different values of fp (written once) that agree on all bits of one of the tables' masks and differ in at most `radius`.
 
-    Large buckets are cut into blocks, and pairs of blocks are compared, so that no task gets a whole one.
+    With `wider`, fps has `more`, another 64 bits, and links that differ in more than that of all 128 bits fall out where
+    they are found; of the rest each fingerprint gives its `nearest` in a bucket. Large buckets are cut into blocks, and pairs of blocks are compared, so that no task gets a whole one.
     """
     signed = [m - (1 << 64) if m >> 63 else m for m in tables]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    buckets = fps.select("fp", F.explode(keys).alias("bucket"))
+    own = [c for c in ("fp", "more") if c in fps.columns]
+    buckets = fps.select(*own, F.explode(keys).alias("bucket"))
     hot = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
     )
-    blocks = buckets.join(broadcast_if_small(materialise(hot, "hot")), "bucket", "left").select("bucket", "fp", F.explode(pairs).alias("p")).select("bucket", "p.i", "p.j", "fp")
-    return blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_links(radius, nearest), "a long, b long")
+    blocks = buckets.join(broadcast_if_small(materialise(hot, "hot")), "bucket", "left").select("bucket", *own, F.explode(pairs).alias("p")).select("bucket", "p.i", "p.j", *own)
+    return blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_links(radius, wider, nearest), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -294,11 +300,8 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY)
     fps = materialise(wide_fingerprints(docs, words), "fp")
     kinds = materialise(fps.groupBy("fp").agg(F.min("more").alias("more")), "kinds")
     tables = sampled_masks(kinds.count(), similarity)
-    pairs = compared(kinds, tables, WIDE, NEAREST)
+    pairs = compared(kinds, tables, WIDE, WIDER, NEAREST)
     pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    two = kinds.select(F.col("fp").alias("a"), F.col("more").alias("more_a")), kinds.select(F.col("fp").alias("b"), F.col("more").alias("more_b"))
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) + F.bit_count(F.col("more_a").bitwiseXOR(F.col("more_b")))
-    pairs = materialise(pairs.join(two[0], "a").join(two[1], "b").where(apart <= WIDER).select("a", "b"), "close")
     found = broadcast_if_small(materialise(components(similar(pairs, docs, fps, words, similarity)), "components"))
     group = F.coalesce("component", "fp")
     placed = fps.join(found, fps.fp == found.node, "left").groupBy(group.alias("group"), "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))

@@ -138,6 +138,7 @@ def encoded(texts: pa.Array, end_id: int, name: str = TOKENIZER) -> Iterator[tup
         ids, edge = encode(texts.slice(at, to - at), name)
         yield at, np.insert(ids, edge[1:], np.uint32(end_id)), edge + np.arange(len(edge))
         at = to
+    pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
 
 def pieces(docs: DataFrame, size: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
