@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import citations, compressed, coverage, entity, json_items, needs_many, query_variants, sentences
 from ..operators import chunking, context, evaluation, retrieval
-from .queries import _DENSE, _DOCS, _bm25, _bm25_sql, _hits
+from .queries import _DENSE, _DOCS, _MERGED, _bm25, _bm25_sql, _hits
 from .registry import query, t
 
 _SENTENCES = r"""list_filter(regexp_extract_all({0}, '[^。！？；\n.!?]*[。！？；\n.!?]+|[^。！？；\n.!?]+$'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> '')"""
@@ -165,6 +165,15 @@ def reply_readings(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", needs_many(judged).alias("many"), entity(named).alias("entity"))
 
 
-@query()
+@query(f"""WITH {_MERGED}, e AS (SELECT m.*, greatest(0, 3072 - length(b.text)) AS budget, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, m.doc_id, start_offset) AS rank, count(*) OVER w AS n,
+exp(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END) AS x FROM merged m JOIN benchmark b ON item_id = query_id WINDOW w AS (PARTITION BY query_id)),
+c AS (SELECT *, greatest(floor(budget * x / sum(x) OVER (PARTITION BY query_id)), least(16, greatest(floor(budget / (2 * n)), 1))) AS c FROM e),
+caps AS (SELECT *, CAST(CASE WHEN sum(c) OVER (PARTITION BY query_id) > budget THEN floor(c * budget / sum(c) OVER (PARTITION BY query_id)) ELSE c END AS BIGINT) AS cap, {_SENTENCES.format('content')} AS l FROM c),
+parts AS (SELECT query_id, rank, budget, n, cap, content, unnest(CASE WHEN len(l) > 0 THEN l ELSE [content] END) AS x, unnest(range(greatest(len(l), 1))) AS i FROM caps),
+sums AS (SELECT *, sum(length(x)) OVER (PARTITION BY query_id, rank ORDER BY i) AS used FROM parts),
+cut AS (SELECT query_id, rank, any_value(budget) AS budget, any_value(n) AS n, CASE WHEN length(any_value(content)) <= any_value(cap) THEN any_value(content) ELSE coalesce(string_agg(x, '' ORDER BY i) FILTER (used <= cap), left(min(x) FILTER (i = 0), CAST(any_value(cap) AS INTEGER))) END AS content FROM sums GROUP BY 1, 2),
+fits AS (WITH RECURSIVE w AS (SELECT query_id, 0 AS rank, 0 AS used, 0 AS skipped, CAST([] AS VARCHAR[]) AS parts FROM cut WHERE rank = 1 UNION ALL SELECT w.query_id, cut.rank, CASE WHEN used + length(content) <= budget THEN used + length(content) ELSE used END, CASE WHEN used + length(content) <= budget THEN skipped ELSE skipped + 1 END, CASE WHEN used + length(content) <= budget THEN list_append(parts, content) ELSE parts END
+FROM w JOIN cut ON cut.query_id = w.query_id AND cut.rank = w.rank + 1) SELECT * FROM w), last AS (SELECT query_id, arg_max(used, rank) AS used, arg_max(skipped, rank) AS skipped, arg_max(parts, rank) AS parts FROM fits GROUP BY 1)
+SELECT query_id, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: '[' || i || '] ' || parts[i]), chr(10) || chr(10)) AS context, CAST(used AS INTEGER) AS used, CAST(skipped AS INTEGER) AS skipped, (SELECT count(*) FROM h WHERE h.query_id = last.query_id) AS n_input, (SELECT count(*) FROM merged WHERE merged.query_id = last.query_id) AS n_merged, CAST(len(parts) AS INTEGER) AS n_final FROM last""")
 def built_contexts(spark, sf_dir):
     return context.build(_hits(spark, sf_dir), t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))

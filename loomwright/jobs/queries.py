@@ -191,10 +191,13 @@ def context_deduplicated(spark, sf_dir):
     return context.without_duplicates(_hits(spark, sf_dir)).select("query_id", "chunk_id", "doc_id", "rank")
 
 
-@query(f"""WITH {_KEPT}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY chunk_index) AS i FROM kept),
+_MERGED = f"""{_KEPT}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY chunk_index) AS i FROM kept),
 f AS (WITH RECURSIVE w AS (SELECT query_id, doc_id, i, chunk_index AS head, end_offset AS e, 1 AS grp FROM o WHERE i = 1 UNION ALL SELECT w.query_id, w.doc_id, o.i, CASE WHEN j THEN head ELSE o.chunk_index END, CASE WHEN j THEN greatest(e, o.end_offset) ELSE o.end_offset END, CASE WHEN j THEN grp ELSE grp + 1 END
-FROM w JOIN (SELECT * FROM o) o ON o.query_id = w.query_id AND o.doc_id = w.doc_id AND o.i = w.i + 1, LATERAL (SELECT abs(o.chunk_index - head) = 1 OR abs(o.start_offset - e) <= 5 AS j)) SELECT * FROM w)
-SELECT query_id, doc_id, min(start_offset) AS start_offset, max(end_offset) AS end_offset, round(max(score), 5) AS score, list(chunk_id ORDER BY i) AS chunk_ids, string_agg(content, '' ORDER BY i) AS content FROM o JOIN f USING (query_id, doc_id, i) GROUP BY query_id, doc_id, grp""")
+FROM w JOIN (SELECT * FROM o) o ON o.query_id = w.query_id AND o.doc_id = w.doc_id AND o.i = w.i + 1, LATERAL (SELECT abs(o.chunk_index - head) = 1 OR abs(o.start_offset - e) <= 5 AS j)) SELECT * FROM w),
+merged AS (SELECT query_id, doc_id, min(start_offset) AS start_offset, max(end_offset) AS end_offset, max(score) AS score, list(chunk_id ORDER BY i) AS chunk_ids, string_agg(content, '' ORDER BY i) AS content FROM o JOIN f USING (query_id, doc_id, i) GROUP BY query_id, doc_id, grp)"""
+
+
+@query(f"WITH {_MERGED} SELECT query_id, doc_id, start_offset, end_offset, round(score, 5) AS score, chunk_ids, content FROM merged")
 def context_merged(spark, sf_dir):
     return context.merged_neighbours(context.without_duplicates(_hits(spark, sf_dir))).withColumn("score", F.round("score", 5))
 
