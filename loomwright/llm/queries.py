@@ -33,7 +33,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = spans.dedup_spans(table(spark, sf_dir, "documents"))
-    return x.select("doc_id", "text", "n_sentences", "n_removed")
+    return x.select("doc_id", "text", "n_removed")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

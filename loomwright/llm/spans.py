@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise
+from .common import materialise
 
 #: A run is so many consecutive sentences with so many words at least; fewer words are common phrases.
 SENTENCES, WORDS = 3, 10
@@ -86,56 +86,58 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = [runs(t or "") for t in some["text"].to_pylist()]
             row = pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]))
             h, i, again = (np.concatenate(c) for c in zip(*got, strict=True))
-            yield pa.RecordBatch.from_arrays([some["doc_id"].take(row), some["th"].take(row), pa.array(h), pa.array(i), pa.array(again)], names=["doc_id", "th", "h", "i", "again"])
+            yield pa.RecordBatch.from_arrays([some["place"].take(row), pa.array(h), pa.array(i), pa.array(again)], names=["place", "h", "i", "again"])
+
+
+def _place() -> Column:
+    """A text's place in the order of doc_id, nulls last, and then of a hash of the text, as one number: doc_id * 2**60 and 60 bits of the hash."""
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    return (id_.cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)") + F.xxhash64("text").bitwiseAND(F.lit((1 << 60) - 1)).cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, i): each run of sentences that stood earlier, in the same text or in a text before it.
+    """(place, i): each run of sentences that stood earlier, in the same text or in one of a lower place.
 
-    Texts are in the order of doc_id, nulls last, and of a hash `th` of the text. Runs are written once; repeats in a
-    text are told where it is read, so only the first of each goes through the shuffle, and a text's place is one number
-    there, which is summed up before it.
+    Runs are written once; repeats in a text are told where it is read, so only the first of each goes through the
+    shuffle, where the least place is taken before and after.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("th"))
-    every = materialise(texts.mapInArrow(_runs, "doc_id long, th long, h long, i int, again boolean"), "runs")
-    place = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("th").bitwiseAND(F.lit((1 << 32) - 1)).cast("decimal(10,0)")
-    once = every.where("not again").select("doc_id", "th", "h", "i", place.alias("place"))
-    first = once.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select(F.col("h").alias("of"), "first")
-    later = once.join(broadcast_if_small(materialise(first, "first-runs")), F.col("h") == F.col("of")).where("place > first")
-    return later.select("doc_id", "th", "i").unionByName(every.where("again").select("doc_id", "th", "i"))
+    every = materialise(docs.select(_place().alias("place"), F.col("text")).mapInArrow(_runs, "place decimal(38,0), h long, i int, again boolean"), "runs")
+    once = every.where("not again").select("place", "h", "i")
+    first = once.groupBy("h").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("of"), "first")
+    later = once.join(first, F.col("h") == F.col("of")).where("place > first")
+    return later.select("place", "i").unionByName(every.where("again").select("place", "i"))
 
 
-def _without(text: str, removed: list[int]) -> tuple[int, int, str]:
-    """(sentences, removed sentences, what is left) when runs start at the sentences `removed`."""
+def _without(text: str, removed: list[int]) -> tuple[int, str]:
+    """(removed sentences, what is left) when runs start at the sentences `removed`."""
     cuts, _, words = sentences(text)
     n = len(words)
     gone = np.zeros(n, bool)
     for i in removed:
         gone[i : i + SENTENCES] = True
-    return n, int(gone.sum()), "".join(text[cuts[k] : cuts[k + 1]] for k in range(n) if not gone[k])
+    return int(gone.sum()), "".join(text[cuts[k] : cuts[k + 1]] for k in range(n) if not gone[k])
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
-    """docs' columns with `text` less its repeated sentences, `n_sentences` and `n_removed`; pieces of long sentences count as sentences.
+    """docs' columns with `text` less its repeated sentences, and `n_removed`; pieces of long sentences count as sentences.
 
     Every run of SENTENCES consecutive sentences is hashed and joined with all others; a sentence goes when a run that
     covers it stood earlier, in the order of doc_id (nulls last), then of the text's hash, then of sentences. The first
     place of a passage stays. Rows that share a doc_id but not the text are texts of their own; rows that repeat both
-    are one place, so all of them stay or change alike. Null texts stay null, with no sentences. Input columns of the
-    two new names are replaced; all others stay, whatever their names. A text is cut whole in one task, however long. An
+    are one place, so all of them stay or change alike. Null texts stay null, with nothing removed. An input column
+    n_removed is replaced; all others stay, whatever their names. A text is cut whole in one task, however long. An
     empty table gives an empty one.
     """
-    hits = repeated_runs(docs).groupBy("doc_id", "th").agg(F.collect_set("i").alias("runs")).select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), "runs")
-    rows = docs.drop("n_sentences", "n_removed").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.xxhash64("text").alias("row_th"))
-    found = broadcast_if_small(materialise(hits, "hits"))
-    x = rows.join(found, F.col("row_id").eqNullSafe(F.col("hit_id")) & (F.col("row_th") == F.col("hit_th")), "left").select("row", "runs")
+    hits = repeated_runs(docs).groupBy("place").agg(F.collect_set("i").alias("runs")).withColumnRenamed("place", "hit")
+    rows = docs.drop("n_removed").select(F.struct("*").alias("row"), _place().alias("place"))
+    x = rows.join(hits, F.col("place") == F.col("hit"), "left").select("row", "runs")
 
-    @F.arrow_udf("struct<n:int,removed:int,text:string>")
+    @F.arrow_udf("struct<removed:int,text:string>")
     def cut(texts: pa.Array, starts: pa.Array) -> pa.Array:
-        got = [_without(t.as_py() or "", s.as_py() or []) for t, s in zip(texts, starts, strict=True)]
-        left = pa.array([g[2] if t.is_valid else None for g, t in zip(got, texts, strict=True)], pa.string())
-        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32()), left], names=["n", "removed", "text"])
+        got = [_without(t.as_py(), s.as_py()) if t.is_valid else (0, None) for t, s in zip(texts, starts, strict=True)]
+        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.string())], names=["removed", "text"])
 
-    x = x.select("row", cut.asNondeterministic()("row.text", "runs").alias("cut"))
-    row: Column = F.col("row").withField("text", F.col("cut.text"))
-    return x.select(row.alias("row"), F.col("cut.n").alias("n"), F.col("cut.removed").alias("removed")).select("row.*", F.col("n").alias("n_sentences"), F.col("removed").alias("n_removed"))
+    hit = F.col("runs").isNotNull()
+    x = x.select("row", hit.alias("hit"), cut.asNondeterministic()(F.when(hit, F.col("row.text")), "runs").alias("cut"))  # texts without a hit don't go to Python
+    row = F.col("row").withField("text", F.when(F.col("hit"), F.col("cut.text")).otherwise(F.col("row.text")))
+    return x.select(row.alias("row"), F.col("cut.removed").alias("removed")).select("row.*", F.col("removed").alias("n_removed"))

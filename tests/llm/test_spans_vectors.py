@@ -70,7 +70,7 @@ def slow_sentences(text):
 
 
 def slow_dedup(rows):
-    """(doc_id, text left, sentences, removed) by lists of words; texts of one doc_id in the order given."""
+    """(doc_id, text left, removed) by lists of words; texts of one doc_id in the order given."""
     seen, out = {}, Counter()
     for place, (d, t) in enumerate(rows):
         cut = slow_sentences(t or "")
@@ -79,7 +79,7 @@ def slow_dedup(rows):
             run = tuple(w for _, w in cut[i : i + 3])
             if sum(map(len, run)) >= 10 and seen.setdefault(run, (d, t, i)) != (d, t, i):
                 gone |= {i, i + 1, i + 2}
-        out[(d, None if t is None else "".join(s for k, (s, _) in enumerate(cut) if k not in gone), len(cut), len(gone))] += 1
+        out[(d, None if t is None else "".join(s for k, (s, _) in enumerate(cut) if k not in gone), len(gone))] += 1
     return out
 
 
@@ -87,9 +87,9 @@ def slow_dedup(rows):
 def test_spans(name, request):
     df = request.getfixturevalue(name)
     got = spans.dedup_spans(df)
-    assert got.columns == [c for c in df.columns if c not in ("n_sentences", "n_removed")] + ["n_sentences", "n_removed"]
+    assert got.columns == [c for c in df.columns if c != "n_removed"] + ["n_removed"]
     rows = sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0))
-    assert Counter((r.doc_id, r.text, r.n_sentences, r.n_removed) for r in got.collect()) == slow_dedup(rows)
+    assert Counter((r.doc_id, r.text, r.n_removed) for r in got.collect()) == slow_dedup(rows)
 
 
 def test_spans_by_row(spark):
