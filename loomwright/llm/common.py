@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Bytes of a side that may be broadcast once they are summed.
-BROADCAST_BYTES = 16 << 20
+#: Bytes of a side that may be broadcast once they are summed; the table that a join makes of them takes some three times that.
+BROADCAST_BYTES = 8 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
