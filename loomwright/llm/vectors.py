@@ -17,7 +17,7 @@ COSINE = 0.98
 #: Rows of a cell on average, and rows of the sample for each codeword at least; the sample on which the two codebooks are
 #: fitted has SAMPLE rows, or more for more codewords, up to MOST_SAMPLE. On how many of them the recall is measured, and
 #: the recall to reach.
-IN_CELL, PER_CODE, SAMPLE, MOST_SAMPLE, PROBED, RECALL = 512, 8, 4000, 65_536, 1000, 0.999
+IN_CELL, PER_CODE, SAMPLE, MOST_SAMPLE, PROBED, RECALL = 512, 8, 4000, 65_536, 1000, 0.995
 #: Rows of one cell that meet in one task.
 BLOCK = 2048
 
