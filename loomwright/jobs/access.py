@@ -64,6 +64,30 @@ def dense_visible(spark, sf_dir):
     return x.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("""WITH u AS (SELECT c_custkey AS user_id, c_nationkey AS role, c_custkey % 50 = 0 AS superadmin FROM customer), d AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS owner FROM orders),
+g AS (SELECT DISTINCT l_orderkey AS doc_id, l_suppkey AS principal_id, CASE WHEN l_linenumber % 2 = 0 THEN 'user' ELSE 'role' END AS principal_type FROM lineitem WHERE l_linenumber % 3 = 0),
+a AS (SELECT DISTINCT l_suppkey AS user_id, l_orderkey + l_linenumber % 2 AS doc_id FROM lineitem UNION SELECT o_custkey, o_orderkey FROM orders)
+SELECT a.*, s.user_id IS NOT NULL OR coalesce(owner = a.user_id, false) OR owner IS NOT NULL AND (EXISTS (SELECT 1 FROM g WHERE g.doc_id = a.doc_id AND principal_type = 'user' AND principal_id = a.user_id) OR EXISTS (SELECT 1 FROM g JOIN u ON principal_id = role WHERE g.doc_id = a.doc_id AND principal_type = 'role' AND u.user_id = a.user_id)) AS may_delete,
+s.user_id IS NOT NULL OR coalesce(owner = a.user_id, false) AS may_manage FROM a LEFT JOIN d ON d.doc_id = a.doc_id LEFT JOIN (SELECT user_id FROM u WHERE superadmin) s ON s.user_id = a.user_id""")
+def manageable_documents(spark, sf_dir):
+    users = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("long").alias("role"), (F.col("c_custkey") % 50 == 0).alias("superadmin"))
+    docs = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("owner"))
+    lines = t(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "user").otherwise("role").alias("principal_type")
+    right = F.when(F.col("l_linenumber") % 3 == 0, "delete").otherwise("read").alias("permission")
+    grants = lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("principal_id"), kind, right)
+    asked = lines.select(F.col("l_suppkey").alias("user_id"), (F.col("l_orderkey") + F.col("l_linenumber") % 2).alias("doc_id"))
+    own = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("doc_id"))
+    return catalog.manageable(asked.unionByName(own), docs, users, grants)
+
+
+@query("SELECT event_id, coalesce(CASE WHEN event_id % 4 > 0 THEN event_id % 3 END <> c_nationkey % 3 OR event_id % 4 = 0 OR c_custkey IS NULL, true) AS stale FROM events LEFT JOIN customer ON c_custkey = user_id")
+def stale_tokens(spark, sf_dir):
+    users = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_nationkey") % 3).alias("token_version"))
+    tokens = t(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 3).alias("uv"))
+    return catalog.stale_tokens(tokens, users).select("event_id", "stale")
+
+
 @query("""SELECT doc_id, 'add' AS action FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION SELECT doc_id, 'drop' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
 def store_repairs(spark, sf_dir):
     return catalog.repairs(t(spark, sf_dir, "documents"), t(spark, sf_dir, "labels"), "doc_id")

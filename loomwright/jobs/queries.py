@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_id
@@ -210,10 +209,10 @@ def context_shares(spark, sf_dir):
     return x.select("query_id", "vec_id", "cap", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM (SELECT event_id, event_type, user_id FROM events WHERE event_type <> 'view')) WHERE n <= 500")
+@query("SELECT event_id, event_type, action, user_id, n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM (SELECT event_id, event_type, event_type || '.' || user_id % 3 AS action, user_id FROM events WHERE event_type IN ('click', 'error', 'signup'))) WHERE n > 100 AND n <= 200")
 def audit_pages(spark, sf_dir):
-    x = t(spark, sf_dir, "events").where("event_type <> 'view'").select("event_id", "event_type", "user_id")
-    return x.withColumn("n", F.row_number().over(W.partitionBy("event_type").orderBy(F.col("event_id").desc())).cast("long")).where("n <= 500")
+    x = t(spark, sf_dir, "events").select("event_id", "event_type", F.concat_ws(".", "event_type", F.col("user_id") % 3).alias("action"), "user_id")
+    return catalog.audit_page(x, ["click", "error", "signup"], {}, "event_id", 2, 100, "event_type")
 
 
 @query("SELECT DISTINCT c_custkey AS user_id, r_name AS permission FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")

@@ -103,6 +103,40 @@ def may(asked: DataFrame, docs: DataFrame, users: DataFrame, grants: DataFrame)
     return x.select(*q.columns, allowed.alias("allowed"))
 
 
+def manageable(asked: DataFrame, docs: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
+    """asked(user_id, doc_id) with `may_delete` and `may_manage`: superadmins may do both, owners too, and a grant to `delete` gives the first alone.
+
+    users has superadmin besides what `may` takes. A superadmin needs no document; anyone else is denied an unknown one.
+    """
+    q = asked.select("user_id", "doc_id").distinct()
+    granted = may(q.withColumn("permission", F.lit("delete")), docs, users, grants).select("user_id", "doc_id", "allowed")
+    admins = users.where("superadmin").select("user_id", F.lit(True).alias("_admin")).distinct()
+    x = granted.join(admins, "user_id", "left").join(docs.select("doc_id", "owner"), "doc_id", "left")
+    admin = F.col("_admin").isNotNull()
+    return x.select("user_id", "doc_id", (admin | F.col("allowed")).alias("may_delete"), (admin | F.coalesce(F.col("owner") == F.col("user_id"), F.lit(False))).alias("may_manage"))
+
+
+def stale_tokens(tokens: DataFrame, users: DataFrame) -> DataFrame:
+    """tokens(user_id, uv, ..) with `stale`: those without a version, of another version than their user's, or of no known user."""
+    known = users.select(F.col("user_id").alias("_user"), "token_version")
+    same = F.col("uv").isNotNull() & F.coalesce(F.col("uv") == F.col("token_version"), F.lit(False))
+    return tokens.join(known, F.col("user_id") == F.col("_user"), "left").withColumn("stale", ~same).drop("_user", "token_version")
+
+
+def audit_page(log: DataFrame, allowed: list[str], filters: dict[str, object], order: str, page: int, size: int, by: str | None = None) -> DataFrame:
+    """Page `page` (from 1) of the log, newest `order` first, for each `by` if given.
+
+    An action's type is what stands before its first dot; only allowed types show, `*` being all. filters are equalities.
+    """
+    x = log if "*" in allowed else log.where(F.substring_index("action", ".", 1).isin(*allowed))
+    for column, value in filters.items():
+        x = x.where(F.col(column) == value)
+    if by is None:
+        return x.orderBy(F.col(order).desc()).offset((page - 1) * size).limit(size)
+    n = F.row_number().over(W.partitionBy(by).orderBy(F.col(order).desc()))
+    return x.withColumn("n", n.cast("long")).where((F.col("n") > (page - 1) * size) & (F.col("n") <= page * size))
+
+
 def rolled_back(ledger: DataFrame, targets: DataFrame, doc: str, version: str) -> DataFrame:
     """The ledger without what is newer than a document's target; a target that is not an older version of it changes nothing."""
     top = ledger.groupBy(doc).agg(F.max(version).alias("_active"))
