@@ -138,6 +138,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     def placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x = pd.concat([pd.DataFrame({"bytes": [], "n": []}), *parts]).astype("int64").sort_values("bytes", ascending=False)
+        if x.empty:
+            return
         found = place(list(zip(x["bytes"].tolist(), x["n"].tolist(), strict=True)), shards)
         yield pd.DataFrame({"bytes": x["bytes"], "to": [[s for s, _ in own] for own in found], "upto": [list(accumulate(n for _, n in own)) for own in found]})
 
