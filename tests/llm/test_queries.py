@@ -12,7 +12,7 @@ def test_registered():
     import __spark_entry__ as e
 
     names = [n.split("_")[0] for n in e.queries() if n.startswith("op")]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 11)) and "pipeline" in e.queries()
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14)) and "pipeline" in e.queries()
     assert set(queries.SQL) <= set(e.oracle_sql())
 
 
