@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from .tables import broadcast_if_small, spread, written
+from .terms import counted, idf, postings, query_terms, scored
 
 
 def top(scored: DataFrame, k: int, key: str = "doc_id", score: str = "score") -> DataFrame:
@@ -24,9 +25,7 @@ def top(scored: DataFrame, k: int, key: str = "doc_id", score: str = "score") ->
 
 def term_table(docs: DataFrame) -> DataFrame:
     """(doc_id, dl, term, tf), written once: the terms of each text and its length in terms. A text without terms has one row, with a null term; a null text has none."""
-    toks = spread(docs.select("doc_id", "text")).where("text is not null").select("doc_id", terms(F.col("text")).alias("t"))
-    each = toks.select("doc_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term"))  # lengths first: else each row of explode carries the array
-    return written(each.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
+    return written(postings(counted(docs)), "terms")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, variant: str = "okapi", among: DataFrame | None = None, table: DataFrame | None = None) -> DataFrame:
@@ -35,68 +34,60 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, variant: str = "okapi
     Weights come from the term table of all documents, which several searches may share; only terms of queries are
     joined and shuffled further, and the queries' side is broadcast if it is small, so that a common term is no hot key.
     `among` restricts hits, not the statistics: doc_ids for all queries, or (query_id, doc_id) for each. Repeated query
-    terms count each; hits at or under 0 go after the cut.
+    terms count each; hits at or under 0 go after the cut. `terms.TermStore` keeps the table between searches.
     """
-    k1, b = (1.5, 0.75) if variant == "okapi" else (1.2, 0.75)
     table = term_table(docs) if table is None else table
     n = docs.count()
     # each text counts once: by its rows' share of its length
     told, total = table.agg(F.sum(F.when(F.col("dl") == 0, 1.0).otherwise(F.col("tf") / F.col("dl"))), F.sum(F.when(F.col("dl") > 0, F.col("tf")))).first()
-
-    def idf(df: Column) -> Column:
-        ratio = (F.lit(float(n)) - df + 0.5) / (df + 0.5)
-        return F.log(ratio if variant == "okapi" else 1 + ratio)
-
     known = table.where("term is not null")
-    weight = idf(F.col("df"))
+    mean = 0.0
     if variant == "okapi":
-        mean = known.groupBy("term").agg(F.count(F.lit(1)).alias("df")).agg(F.avg(idf(F.col("df")))).first()[0]
-        weight = F.when(weight < 0, F.lit(0.25 * float(mean or 0.0))).otherwise(weight)
-    avgdl = float(total or 0) / round(told) if total else 1.0
-    q = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+        mean = known.groupBy("term").agg(F.count(F.lit(1)).alias("df")).agg(F.avg(idf(F.col("df"), n, variant))).first()[0] or 0.0
+    q = query_terms(queries)
     tf = known.join(broadcast_if_small(q.select("term").distinct()), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = tf.join(broadcast_if_small(written(q.join(df, "term").select("query_id", "term", "qtf", weight.alias("idf")), "asked")), "term")
-    if among is not None:
-        keys = [c for c in ("query_id", "doc_id") if c in among.columns]
-        hits = hits.join(among.select(*keys).distinct(), keys, "left_semi")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return top(hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")), k).where("score > 0")
+    return top(scored(q, tf, df, n, float(total or 0) / round(told) if total else 1.0, float(mean), variant, among), k).where("score > 0")
 
 
 _SCORED = "query_id long, vec_id long, score double"
 
 
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix, without an object for each."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
 def _block_tops(k: int):
     """Rows of queries `qs` and vectors `vs` to the k best vectors of each query of the row."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for i in range(x.num_rows):
-                qs, vs = x["qs"][i].as_py(), x["vs"][i].as_py()
-                s = np.array([a["q"] for a in qs]) @ np.array([a["v"] for a in vs]).T
-                ids = np.array([a["vec_id"] for a in vs])
+                qs, vs = x["qs"][i].values, x["vs"][i].values
+                s = _matrix(qs.field("q")) @ _matrix(vs.field("v")).T
+                ids = vs.field("vec_id").to_numpy()
                 out = [np.lexsort((ids, -r))[:k] for r in s]
                 m = [len(o) for o in out]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([a["query_id"] for a in qs], m)), pa.array(ids[np.concatenate(out)]), pa.array(np.concatenate([r[o] for r, o in zip(s, out, strict=True)]))], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qs.field("query_id").to_numpy(), m)), pa.array(ids[np.concatenate(out)]), pa.array(np.concatenate([r[o] for r, o in zip(s, out, strict=True)]))], names=["query_id", "vec_id", "score"])
 
     return score
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, among: DataFrame | None = None) -> DataFrame:
-    """(query_id, vec_id, score, rank): exact inner products of a stated query set against all rows, in blocks.
+    """(query_id, vec_id, score, rank): exact inner products of a stated query set against all rows of the same length, in blocks.
 
     About 256 queries and 4096 vectors meet at a time; each such block keeps k vectors of each query, so few rows leave a task.
     """
     base = vectors if among is None else vectors.join(among.select("vec_id").distinct(), "vec_id", "left_semi")
-    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q"))
+    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).where("q is not null")
     n = q.count()
-    numbered = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, n // 256))).cast("int"))
-    packed = numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+    numbered = q.select("*", F.size("q").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(max(1, n // 256))).cast("int").alias("block"))
+    packed = numbered.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
     rows = base.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
     part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, rows.count() // 4096))).cast("int")
-    parts = rows.groupBy(part.alias("part")).agg(F.collect_list(F.struct("vec_id", "v")).alias("vs"))  # about 4096 vectors each
-    met = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, n // 256) - 1)))).join(broadcast_if_small(written(packed, "queries")), "block")
+    parts = rows.groupBy(F.size("v").alias("dim"), part.alias("part")).agg(F.collect_list(F.struct("vec_id", "v")).alias("vs"))  # about 4096 vectors each
+    met = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, n // 256) - 1)))).join(broadcast_if_small(written(packed, "queries")), ["dim", "block"])
     return top(met.mapInArrow(_block_tops(k), _SCORED), k, "vec_id")
 
 
@@ -120,7 +111,7 @@ def _nearest(rows: DataFrame, key: str, value: str, centres: np.ndarray, n: int)
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                far = half - np.array(x[value].to_pylist()) @ centres.T
+                far = half - _matrix(x[value]) @ centres.T
                 near = np.argsort(far, axis=1, kind="stable")[:, :n]
                 take = pa.array(np.repeat(np.arange(x.num_rows), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([x[key].take(take), x[value].take(take), pa.array(near.ravel().astype(np.int32))], names=[key, value, "list"])

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,18 +15,22 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 16 << 20
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as Parquet in the folder of spark.checkpoint.dir, read back; where that is unset on one machine, in a folder of its own."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
+def folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; where that is unset, one of its own on one machine, elsewhere an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-loomwright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+        at = "file://" + tempfile.mkdtemp(prefix="spark-loomwright-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as Parquet in the shared folder, read back: lineage ends here."""
+    path = f"{folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
