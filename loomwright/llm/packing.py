@@ -39,51 +39,86 @@ def best_fit(lengths: list[int], cap: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(a: list[int], b: list[int], room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
-    """What moves from a to b and back so that b gains most within its room: (gain, places in a, places in b)."""
-    best: tuple[int, tuple[int, ...], tuple[int, ...]] = (0, (), ())
-    x, y = np.array(a), np.append(b, 0)  # the last place stands for nothing: a plain move
-    one = x[:, None] - y[None, :]
-    one[one > room] = -1
-    i, j = divmod(int(one.argmax()), len(y))
-    if one[i, j] > best[0]:
-        best = (int(one[i, j]), (i,), (j,) if j < len(b) else ())
-    if len(a) > 1 and best[0] < room:
-        p, q = np.triu_indices(len(a), 1)
-        two = (x[p] + x[q])[:, None] - y[None, :]
-        two[two > room] = -1
-        i, j = divmod(int(two.argmax()), len(y))
-        if two[i, j] > best[0]:
-            best = (int(two[i, j]), (int(p[i]), int(q[i])), (j,) if j < len(b) else ())
-    return best
-
-
-def local_search(bins: list[list[int]], lengths: list[int], cap: int) -> list[list[int]]:
-    """Exchanges one for one, two for one, or moves, from the emptiest bins into fuller ones.
-
-    An exchange is made when the sum of squared fills grows, so fills drift apart until bins are empty and go. Ends when
-    there are as few bins as the total allows, or when a whole pass over the bins changes nothing: no bin can give.
+def least_bins(lengths: np.ndarray, cap: int) -> int:
+    """Bins that any packing needs: for the total, for items of which at most k share a bin, and for the room that items over half leave beside them."""
+    n = np.sort(lengths)
+    sums = np.concatenate([[0], np.cumsum(n)])
+    least = -(-int(sums[-1]) // cap)
+    for k in range(1, 9):
+        over = len(n) - int(np.searchsorted(n, cap // (k + 1), "right"))  # k + 1 of these are over the size
+        least = max(least, -(-over // k))
+    half = int(np.searchsorted(n, cap // 2, "right"))
+    for small in np.unique(n[:half]):  # those over cap - small have no room for what is as long as small or longer
+        low, high = int(np.searchsorted(n, small)), int(np.searchsorted(n, cap - small, "right"))
+        room = (high - half) * cap - int(sums[high] - sums[half])
+        least = max(least, len(n) - half + max(0, -(-(int(sums[half] - sums[low]) - room) // cap)))
+    return least
+
+
+def local_search(bins: list[list[int]], lengths: list[int], cap: int, slack: int = 0) -> list[list[int]]:
+    """Moves an item from one underfull bin to another, or one or two for one of the other's, from the emptiest bins on.
+
+    Of all exchanges that a bin can make, that by which the sum of squared fills grows most is made, so fills drift apart
+    until bins are empty and go. Every item is a slot that takes an incoming length between its own and that and its bin's
+    room; a bin meets all slots at once, and again only those of bins that changed since, unless it changed itself. Ends
+    when there are at most `slack` bins more than `least_bins`, or when no bin can give.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // cap)
-    moved = True
-    while moved and sum(map(bool, bins)) > least:
+    size = np.array(lengths, np.int64)
+    n, bins = len(size), [list(b) for b in bins]
+    fill = np.array([size[b].sum() for b in bins], np.int64)
+    own = np.concatenate([size, np.zeros(len(bins), np.int64)])  # the last slot of each bin takes an item for nothing
+    of = np.concatenate([np.zeros(n, np.int64), np.arange(len(bins))])
+    for b, members in enumerate(bins):
+        of[members] = b
+    room = cap - fill[of]
+    when = np.zeros(len(own), np.int64)  # when a slot's bin last changed
+    changed, tried = np.zeros(len(bins), np.int64), np.full(len(bins), -1)
+    now, left, least, moved = 0, len(bins), least_bins(size, cap) + slack, True
+
+    def best(a: int, among: np.ndarray) -> tuple[tuple[int, ...], int] | None:
+        """(items that go, slot that takes them) of the greatest gain."""
+        y, r = own[among], room[among]
+        f = cap - r - fill[a]
+        items = bins[a]
+        pairs = np.triu_indices(len(items), 1)
+        for go in ([(i,) for i in range(len(items))], list(zip(*(p.tolist() for p in pairs), strict=True))):
+            x = np.array([sum(size[items[i]] for i in g) for g in go], np.int64)
+            x, first = np.unique(x, return_index=True)
+            step = max(1, (1 << 20) // len(y))
+            top, found = 0, None
+            for i in range(0, len(x), step):
+                gain = x[i : i + step, None] - y
+                worth = np.where((gain > 0) & (gain <= r) & (f + gain > 0), gain * (f + gain), 0)
+                k = int(worth.argmax())
+                if worth.flat[k] > top:
+                    top, found = worth.flat[k], (tuple(items[j] for j in go[first[i + k // len(y)]]), int(among[k % len(y)]))
+            if found:
+                return found
+        return None
+
+    while moved and left > least:
         moved = False
-        open_ = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < cap), key=lambda k: fill[k])
-        for a in open_:
-            if not bins[a]:
-                continue
-            for b in sorted((k for k in open_ if k != a and bins[k] and fill[k] < cap), key=lambda k: -fill[k]):
-                gain, give, take = _exchange([lengths[i] for i in bins[a]], [lengths[i] for i in bins[b]], cap - fill[b])
-                if gain > 0 and fill[b] + gain > fill[a]:
-                    given, taken = [bins[a][i] for i in give], [bins[b][j] for j in take]
-                    bins[a] = [x for x in bins[a] if x not in given] + taken
-                    bins[b] = [x for x in bins[b] if x not in taken] + given
-                    fill[a], fill[b] = fill[a] - gain, fill[b] + gain
-                    moved = True
-                    if not bins[a]:
-                        break
-            if not bins[a] and sum(map(bool, bins)) <= least:
+        for a in np.argsort(fill, kind="stable").tolist():
+            while bins[a] and fill[a] < cap and left > least:
+                open_ = (room > 0) & (of != a)
+                if changed[a] <= tried[a]:
+                    open_ &= when > tried[a]
+                among = np.flatnonzero(open_)
+                tried[a] = now
+                if not len(among) or (got := best(a, among)) is None:
+                    break
+                go, slot = got
+                b, now, moved = int(of[slot]), now + 1, True
+                back = (slot,) if slot < n else ()
+                bins[a] = [i for i in bins[a] if i not in go] + list(back)
+                bins[b] = [i for i in bins[b] if i not in back] + list(go)
+                gain = int(sum(size[i] for i in go) - own[slot])
+                fill[a], fill[b] = fill[a] - gain, fill[b] + gain
+                for k in (a, b):
+                    slots = [*bins[k], n + k]
+                    of[slots], room[slots], when[slots], changed[k] = k, (cap - fill[k]) if bins[k] else 0, now, now
+                left -= not bins[a]
+            if left <= least:
                 break
     return [b for b in bins if b]
 
@@ -92,7 +127,8 @@ def pack(items: DataFrame, size: int = SIZE, length: str = "length", key: tuple[
     """items with sequence_id and offset: as few sequences of at most `size` as it can, gapless from offset 0.
 
     Items are dealt by a hash of their key into groups of about `group`, each packed in one task. Sequences left under
-    97 % full are then taken apart and packed again in fewer groups, until one group is left or it no longer helps.
+    97 % full are then taken apart and packed again in fewer groups, up to three times; while that is to come, a group may
+    keep one sequence more than it needs at least. What the last round leaves stays as it is.
     Lengths must be between 1 and size; null lengths raise an error. Repeated items, and those whose keys are null, are
     items of their own; equal items take any order. Input columns _group, _fill, sequence_id and offset are not kept.
     """
@@ -100,13 +136,13 @@ def pack(items: DataFrame, size: int = SIZE, length: str = "length", key: tuple[
     out = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("_fill", T.LongType())])
     columns = items.columns
 
-    def packed(level: int):
+    def packed(level: int, last: bool):
         def one(k: tuple[pa.Scalar, ...], x: pa.Table) -> pa.Table:
             x = x.take(pc.sort_indices(x, [(c, "ascending") for c in (*key, length)], null_placement="at_start")).select(columns)
             lengths = x[length].to_pylist()
             if min(lengths) < 1 or max(lengths) > size:
                 raise ValueError(f"lengths must be from 1 to {size}")
-            bins = local_search(best_fit(lengths, size), lengths, size)
+            bins = local_search(best_fit(lengths, size), lengths, size, 0 if last else 1)
             no, at, full = (np.zeros(len(lengths), np.int64) for _ in range(3))
             for b, members in enumerate(bins):
                 n = np.array([lengths[i] for i in members])
@@ -122,8 +158,9 @@ def pack(items: DataFrame, size: int = SIZE, length: str = "length", key: tuple[
     groups = max(1, -(-n // group))
     for level in range(4):
         hashed = F.pmod(F.xxhash64(*key, length, F.lit(level)), F.lit(groups)).cast("int")
-        got = left.withColumn("_group", hashed).groupBy("_group").applyInArrow(packed(level), out)
-        if groups == 1 or level == 3:
+        last = groups == 1 or level == 3
+        got = left.withColumn("_group", hashed).groupBy("_group").applyInArrow(packed(level, last), out)
+        if last:
             done = got if done is None else done.unionByName(got)
             break
         got = materialise(got, "packed")

@@ -19,7 +19,7 @@ RADIUS = 3
 #: The 64 bits are cut into this many bands; two fingerprints that differ in RADIUS bits agree on at least BANDS - RADIUS of them.
 BANDS = 5
 #: Near-duplicates that `keep_first` looks for: their shingles' similarity, the chance that a pair of just that similarity is
-#: in no common bucket, in how many of 64 bits it may differ, and of 128, and how many of a fingerprint's links in a bucket are looked at.
+#: in no common bucket, in how many of 64 bits it may differ, and of 128, and how many of a fingerprint's links in a bucket are looked at in the first round.
 SIMILARITY, MISSED, WIDE, WIDER, NEAREST = 0.8, 0.05, 16, 30, 2
 #: Larger buckets are cut into blocks of about this many fingerprints, and pairs of blocks are compared.
 BLOCK = 4096
@@ -177,7 +177,11 @@ def angle(similarity: float) -> float:
 
 
 def _links(radius: int, wider: int | None, nearest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links in sorted buckets: a spanning forest of them or, with `wider`, those of each fingerprint to its `nearest` ones by 128 bits, if within that many."""
+    """Links in sorted buckets: a spanning forest of them or, with `wider`, those of each fingerprint to its `nearest` ones by 128 bits, if within that many.
+
+    Rows with `comp` are linked only to those of another one. A fingerprint that has more links than are given is also
+    linked to itself, as a mark. A link is left out only where both its ends have that mark.
+    """
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["bucket", "i", "j"]
@@ -198,11 +202,15 @@ def _links(radius: int, wider: int | None, nearest: int) -> Callable[[Iterator[p
                 more = t["more"].to_numpy()[take].view(np.uint64)
                 apart = np.bitwise_count(fp[a] ^ fp[b]) + np.bitwise_count(more[a] ^ more[b])
                 near = apart <= wider
+                if "comp" in t.column_names:
+                    comp = t["comp"].to_numpy()[take]
+                    near &= comp[a] != comp[b]
                 a, b, apart = np.concatenate([a[near], b[near]]), np.concatenate([b[near], a[near]]), np.tile(apart[near], 2)
                 order = np.lexsort((b, apart, a))
                 a, b = a[order], b[order]
                 first = np.arange(len(a)) - np.searchsorted(a, a) < nearest
-                a, b = a[first], b[first]
+                more_left = np.unique(a[~first])
+                a, b = np.concatenate([a[first], more_left]), np.concatenate([b[first], more_left])
             yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["a", "b"])
 
     return links
@@ -212,11 +220,12 @@ def compared(fps: DataFrame, tables: list[int], radius: int, wider: int | None =
     """(a, b): links between different values of fp (written once) that agree on all bits of one of the tables' masks and differ in at most `radius`.
 
     With `wider`, fps has `more`, another 64 bits, and links that differ in more than that of all 128 bits fall out where
-    they are found; of the rest each fingerprint gives its `nearest` in a bucket. Large buckets are cut into blocks, and pairs of blocks are compared, so that no task gets a whole one.
+    they are found; of the rest each fingerprint gives its `nearest` in a bucket, and a link to itself where it has others
+    besides; where fps has `comp`, only links to another comp count. Large buckets are cut into blocks, and pairs of blocks are compared, so that no task gets a whole one.
     """
     signed = [m - (1 << 64) if m >> 63 else m for m in tables]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    own = [c for c in ("fp", "more") if c in fps.columns]
+    own = [c for c in ("fp", "more", "comp") if c in fps.columns]
     buckets = fps.select(*own, F.explode(keys).alias("bucket"))
     hot = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -286,13 +295,38 @@ def similar(pairs: DataFrame, docs: DataFrame, fps: DataFrame, words: int, simil
     return x.where(alike("s_a", "s_b")).select("a", "b")
 
 
+def near_components(kinds: DataFrame, docs: DataFrame, fps: DataFrame, tables: list[int], words: int, similarity: float) -> DataFrame:
+    """(node, component) of the fingerprints whose texts are linked, by exact similarity of all that share a bucket and are near.
+
+    In a round each fingerprint gives a few of its nearest in each bucket, their texts are compared, and components are
+    made of all links so far. Those that had more go on to the next round, which looks only at links from one component
+    to another, and at four times as many: near copies are joined by few links, and none that matters is left out.
+    """
+    todo, nearest, links, seen = kinds, NEAREST, None, None
+    while True:
+        found = compared(todo, tables, WIDE, WIDER, nearest)
+        found = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        pairs = found.where("a <> b")
+        new = pairs if seen is None else materialise(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        good = materialise(similar(new, docs, fps, words, similarity), "links")
+        links = good if links is None else materialise(links.unionByName(good), "links")
+        seen = pairs if seen is None else materialise(seen.unionByName(new), "seen")
+        named = materialise(components(links), "components")
+        more = materialise(found.where("a = b").select(F.col("a").alias("fp")), "more")
+        if not more.count():
+            return named
+        own = named.select(F.col("node").alias("fp"), F.col("component").alias("comp"))
+        todo = kinds.join(broadcast_if_small(more), "fp", "left_semi").join(broadcast_if_small(own), "fp", "left")
+        todo, nearest = materialise(todo.select("fp", "more", F.coalesce("comp", "fp").alias("comp")), "todo"), 4 * nearest
+
+
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The first row of each group of near-duplicates, by doc_id (nulls last) and a hash of the text.
 
     Texts are near-duplicates when the Jaccard similarity of their word shingles is at least `similarity`. Candidates
     come from SimHash fingerprints of those shingles: tables of drawn bits, as many as the chance MISSED to miss such a
-    pair takes, buckets compared bit-sliced, and from each the NEAREST links within WIDE of 64 bits and WIDER of 128; exact
-    similarity decides on them. Texts of equal fingerprints are one group.
+    pair takes, buckets compared bit-sliced, and from each all links within WIDE of 64 bits and WIDER of 128 between texts
+    that are not yet in one group; exact similarity decides on them. Texts of equal fingerprints are one group.
 
     Null texts count as empty. Of rows that repeat a doc_id and a text, any one stays. Columns stay as they are, whatever
     their names. Only ids and hashes move to find what goes. An empty table gives an empty one.
@@ -300,9 +334,7 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY)
     fps = materialise(wide_fingerprints(docs, words), "fp")
     kinds = materialise(fps.groupBy("fp").agg(F.min("more").alias("more")), "kinds")
     tables = sampled_masks(kinds.count(), similarity)
-    pairs = compared(kinds, tables, WIDE, WIDER, NEAREST)
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    found = broadcast_if_small(materialise(components(similar(pairs, docs, fps, words, similarity)), "components"))
+    found = broadcast_if_small(near_components(kinds, docs, fps, tables, words, similarity))
     group = F.coalesce("component", "fp")
     placed = fps.join(found, fps.fp == found.node, "left").groupBy(group.alias("group"), "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
     placed = materialise(placed.withColumn("rank", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")), "placed")

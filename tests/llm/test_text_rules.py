@@ -123,6 +123,31 @@ def test_keep_first_of_similar(spark):
     assert len(links) > 40 and first <= got and len(got - first) <= 0.05 * (len(ids) - len(first))
 
 
+def family(seed, size, words, changed):
+    """A text and copies of it with so many words changed in each, which link here and there."""
+    rng = np.random.default_rng(seed)
+    w = [f"w{i}" for i in rng.integers(0, 3000, words)]
+    out = []
+    for _ in range(size):
+        c = list(w)
+        for i in rng.integers(0, words, changed):
+            c[i] = f"x{rng.integers(0, 10**6)}"
+        out.append(" ".join(c))
+    return out
+
+
+@pytest.mark.parametrize("size, words, changed", [(200, 300, 4), (500, 200, 2), (60, 120, 2)])
+def test_keep_first_of_large_families(spark, size, words, changed):
+    """Of many copies of one text, of which a pair in twenty or so is similar enough, the groups are those of brute force."""
+    texts = family(size, size, words, changed)
+    sets = [{tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for t in texts]
+    links = [(i, j) for i in range(size) for j in range(i + 1, size) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    low = slow_components(range(size), links)
+    first = {i for i in range(size) if low[i] == i}
+    got = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert first <= got and len(got - first) <= 0.05 * (size - len(first)), (len(first), len(got), len(links))
+
+
 def test_sampled_masks():
     for n in (0, 1000, 10**7):
         tables = simhash.sampled_masks(n)
@@ -199,6 +224,39 @@ def test_local_search_beats_best_fit():
     assert 0 <= searched < fitted, (searched, fitted)
 
 
+@pytest.mark.parametrize("low, high", [(2049, 4001), (1366, 2049), (1500, 4001), (1, 4097), (900, 1800)])
+def test_local_search_ends_soon(low, high):
+    """A whole group of pieces, of which few or none fit together, takes seconds."""
+    import time
+
+    lengths = np.random.default_rng(1).integers(low, high, packing.GROUP).tolist()
+    first, at = packing.best_fit(lengths, 4096), time.process_time()
+    after = packing.local_search(first, lengths, 4096)
+    assert time.process_time() - at < 15
+    assert packing.least_bins(np.array(lengths), 4096) <= len(after) <= len(first)
+    assert sorted(i for b in after for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 4096 for b in after)
+    if low > 1365 and high < 4001 or low > 2048:
+        assert len(first) == packing.least_bins(np.array(lengths), 4096)
+
+
+def test_least_bins():
+    """Never above what a search through all packings of a few items finds."""
+    rng = np.random.default_rng(5)
+
+    def fewest(items, bins=()):
+        if not items:
+            return len(bins)
+        best = 99
+        for i, b in enumerate(bins):
+            if b + items[0] <= 10:
+                best = min(best, fewest(items[1:], (*bins[:i], b + items[0], *bins[i + 1 :])))
+        return min(best, fewest(items[1:], (*bins, items[0])))
+
+    for _ in range(60):
+        items = sorted(rng.integers(1, 11, rng.integers(1, 8)).tolist(), reverse=True)
+        assert packing.least_bins(np.array(items), 10) <= fewest(items)
+
+
 def test_pack_levels_and_errors(spark, monkeypatch):
     rng = np.random.default_rng(3)
     items = spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(rng.integers(1, 4097, 3000))], "doc_id long, piece int, length long")
