@@ -31,8 +31,8 @@ q AS (SELECT item_id AS query_id, item_id % 2 AS tenant, item_id % 20 AS user_id
 eff AS (SELECT DISTINCT query_id, d.doc_id FROM q JOIN d ON d.tenant = q.tenant WHERE (superadmin OR owner IS NULL OR owner = user_id OR EXISTS (SELECT 1 FROM g WHERE g.doc_id = d.doc_id AND g.principal_id = q.role)) AND (scoped = 0 OR scoped = 1 AND d.doc_id % 2 = d.tenant AND d.doc_id < 500))"""
 
 
-def _seen(spark, sf_dir):
-    """Searches by benchmark texts, for 20 users of two tenants; one in three is in no scope, one in documents under 500, one in none."""
+def _rights(spark, sf_dir):
+    """(requests, docs, users, grants): searches by benchmark texts, for 20 users of two tenants; one in three is in no scope, one in documents under 500, one in none."""
     id_ = F.col("doc_id")
     docs = t(spark, sf_dir, "documents").select("doc_id", (id_ % 2).alias("tenant"), F.when(id_ % 7 != 0, id_ % 20).alias("owner"))
     item = F.col("item_id")
@@ -40,18 +40,19 @@ def _seen(spark, sf_dir):
     users = asks.select("user_id", "tenant", "role", "superadmin").distinct()
     grants = t(spark, sf_dir, "labels").where("toxic = 0").select("doc_id", F.lit("role").alias("principal_type"), (F.col("quality") * 3).cast("long").alias("principal_id"), F.lit("read").alias("permission"))
     some = F.when(F.col("scoped") == 1, F.sequence(F.lit(0).cast("long"), F.lit(499).cast("long"))).when(F.col("scoped") == 2, F.array().cast("array<bigint>"))
-    return catalog.visible(asks.withColumn("scope", some), catalog.readable(docs, users, grants), docs)
+    return asks.withColumn("scope", some), docs, users, grants
 
 
 @query(f"WITH {_SEEN} SELECT query_id, doc_id FROM eff")
 def visible_documents(spark, sf_dir):
-    return _seen(spark, sf_dir)
+    asks, docs, users, grants = _rights(spark, sf_dir)
+    return catalog.visible(asks, catalog.readable(docs, users, grants), docs)
 
 
 @query(f"WITH {_SEEN}, {_bm25_sql('okapi', 10, 'hits', '(query_id, hits_tf.doc_id) IN (SELECT (query_id, doc_id) FROM eff)')} SELECT query_id, doc_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM hits")
 def bm25_visible(spark, sf_dir):
     q = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    x = retrieval.bm25(t(spark, sf_dir, "documents"), q, among=_seen(spark, sf_dir))
+    x = retrieval.bm25(t(spark, sf_dir, "documents"), q, among=catalog.seen(*_rights(spark, sf_dir)))
     return x.select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
@@ -60,7 +61,7 @@ SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank
 def dense_visible(spark, sf_dir):
     v = t(spark, sf_dir, "embeddings")
     queries = v.select(F.col("vec_id").alias("query_id"), "embedding")
-    x = retrieval.dense_allowed(v, queries, _seen(spark, sf_dir).withColumnRenamed("doc_id", "vec_id"))
+    x = retrieval.dense_seen(v, queries, *_rights(spark, sf_dir))
     return x.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import broadcast_if_small, written
+
 
 def active_versions(ledger: DataFrame, doc: str, version: str) -> DataFrame:
     """(doc, active, next): the greatest version of each document and the one to write next."""
@@ -84,22 +86,70 @@ def visible(requests: DataFrame, may_read: DataFrame, docs: DataFrame) -> DataFr
     return every.where(F.col("scope").isNull() | F.array_contains("scope", F.col("doc_id"))).select("query_id", "doc_id").distinct()
 
 
+def who(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """(tenant, user_id, roles, superadmin) of the users that requests(tenant, user_id) name; unknown ones have no role."""
+    known = users.groupBy("tenant", "user_id").agg(F.collect_set("role").alias("roles"), F.bool_or("superadmin").alias("superadmin"))
+    x = requests.select("tenant", "user_id").distinct().join(known, ["tenant", "user_id"], "left")
+    return x.select("tenant", "user_id", F.coalesce("roles", F.array().cast(known.schema["roles"].dataType)).alias("roles"), F.coalesce("superadmin", F.lit(False)).alias("superadmin"))
+
+
+def granted(docs: DataFrame, grants: DataFrame, requests: DataFrame, permission: str = "read") -> DataFrame:
+    """docs(doc_id, tenant, owner) with to_roles and to_users: which roles, and which of the requests' users, a grant lets at each; null for none."""
+    g = grants.where(F.col("permission") == permission)
+    roles = g.where("principal_type = 'role'").groupBy("doc_id").agg(F.collect_set("principal_id").alias("to_roles"))
+    asking = requests.select(F.col("user_id").alias("principal_id")).distinct()
+    users = g.where("principal_type = 'user'").join(asking, "principal_id", "left_semi").groupBy("doc_id").agg(F.collect_set("principal_id").alias("to_users"))
+    return docs.select("doc_id", "tenant", "owner").join(roles, "doc_id", "left").join(users, "doc_id", "left")
+
+
+def seen(requests: DataFrame, docs: DataFrame, users: DataFrame, grants: DataFrame):
+    """A function that keeps the rows of (query_id, doc_id, ..) whose document that request's user may see: what a search has found is tested, and nothing else is listed.
+
+    requests(query_id, tenant, user_id, scope), docs(doc_id, tenant, owner), users(user_id, tenant, role, superadmin),
+    grants(doc_id, principal_type, principal_id, permission). A document is seen in its tenant alone, within the scope
+    (null is no restriction, an empty one leaves nothing), by its owner, by those whom a grant to them or a role of theirs
+    lets read, by superadmins, and by all if it has no owner. Unknown documents and requests have none.
+    """
+    asked = requests.select("query_id", "tenant", "user_id", "scope").join(who(requests, users), ["tenant", "user_id"])
+    asked = asked.select("query_id", F.struct("tenant", "user_id", "scope", "roles", "superadmin").alias("_ask"))
+    rights = granted(docs, grants, requests).select("doc_id", F.struct("tenant", "owner", "to_roles", "to_users").alias("_doc"))
+
+    def keep(rows: DataFrame) -> DataFrame:
+        x = rows.join(broadcast_if_small(written(asked, "requests")), "query_id").join(rights, "doc_id")
+        a, d, yes = F.col("_ask"), F.col("_doc"), lambda c: F.coalesce(c, F.lit(False))
+        in_scope = a["scope"].isNull() | yes(F.array_contains(a["scope"], F.col("doc_id")))
+        lets = a["superadmin"] | d["owner"].isNull() | yes(d["owner"] == a["user_id"]) | yes(F.arrays_overlap(d["to_roles"], a["roles"])) | yes(F.array_contains(d["to_users"], a["user_id"]))
+        return x.where(yes(a["tenant"] == d["tenant"]) & in_scope & lets).select(*rows.columns)
+
+    return keep
+
+
 def may(asked: DataFrame, docs: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
     """asked(user_id, doc_id, permission) with `allowed`.
 
     The owner may do all; a document without an owner is open to read; else a grant to the user or to a role of theirs
     decides. Unknown documents are denied. docs(doc_id, owner), users(user_id, role), grants(doc_id, principal_type,
-    principal_id, permission).
+    principal_id, permission). Where docs and users have `tenant`, a document of another tenant is unknown; where users
+    have `superadmin`, those may do all, on any document.
     """
     q = asked.select("user_id", "doc_id", "permission").distinct()
     g = grants.select("doc_id", "permission", "principal_type", "principal_id").distinct()
     direct = q.join(g.where("principal_type = 'user'"), ["doc_id", "permission"]).where(F.col("principal_id") == F.col("user_id")).select(*q.columns)
     held = q.join(users.select("user_id", "role"), "user_id").join(g.where("principal_type = 'role'").withColumnRenamed("principal_id", "role"), ["doc_id", "permission", "role"]).select(*q.columns)
     granted = direct.unionByName(held).distinct().withColumn("_granted", F.lit(True))
-    x = q.join(docs.select("doc_id", F.coalesce(F.col("owner").cast("string"), F.lit("")).alias("_owner"), F.lit(True).alias("_known")), "doc_id", "left").join(granted, q.columns, "left")
+    tenants = "tenant" in docs.columns and "tenant" in users.columns
+    flags = [F.max("tenant").alias("_of")] if tenants else []
+    flags += [F.bool_or("superadmin").alias("_admin")] if "superadmin" in users.columns else []
+    x = q.join(docs.select("doc_id", F.coalesce(F.col("owner").cast("string"), F.lit("")).alias("_owner"), F.lit(True).alias("_known"), *([F.col("tenant").alias("_in")] if tenants else [])), "doc_id", "left").join(granted, q.columns, "left")
+    if flags:
+        x = x.join(users.groupBy("user_id").agg(*flags), "user_id", "left")
     free = (F.col("_owner") == "") & (F.col("permission") == "read")
     owned = (F.col("_owner") == F.col("user_id").cast("string")) & (F.col("_owner") != "")
     allowed = F.col("_known").isNotNull() & (owned | free | ((F.col("_owner") != "") & F.col("_granted").isNotNull()))
+    if tenants:
+        allowed = allowed & F.coalesce(F.col("_in") == F.col("_of"), F.lit(False))
+    if "superadmin" in users.columns:
+        allowed = allowed | F.coalesce("_admin", F.lit(False))
     return x.select(*q.columns, allowed.alias("allowed"))
 
 
@@ -109,7 +159,7 @@ def manageable(asked: DataFrame, docs: DataFrame, users: DataFrame, grants: Data
     users has superadmin besides what `may` takes. A superadmin needs no document; anyone else is denied an unknown one.
     """
     q = asked.select("user_id", "doc_id").distinct()
-    granted = may(q.withColumn("permission", F.lit("delete")), docs, users, grants).select("user_id", "doc_id", "allowed")
+    granted = may(q.withColumn("permission", F.lit("delete")), docs.select("doc_id", "owner"), users.select("user_id", "role"), grants).select("user_id", "doc_id", "allowed")
     admins = users.where("superadmin").select("user_id", F.lit(True).alias("_admin")).distinct()
     x = granted.join(admins, "user_id", "left").join(docs.select("doc_id", "owner"), "doc_id", "left")
     admin = F.col("_admin").isNotNull()
@@ -253,3 +303,76 @@ def denied(requests: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
     refused = requests.where(F.col("status").isin(401, 403) & ~F.col("path").isin(*excluded))
     cut = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
     return refused.select(F.lit("authz.denied").alias("action"), F.lit("denied").alias("result"), "actor", cut(F.col("path"), 256).alias("resource"), cut(F.col("ip"), 64).alias("ip"), cut(said, 1024).alias("detail"))
+
+
+def permission_sets(users: DataFrame, user_roles: DataFrame, role_permissions: DataFrame, permissions: DataFrame) -> DataFrame:
+    """(user_id, permission), each once: what the roles of users(user_id, superadmin) permit; superadmins have every one of permissions(permission)."""
+    held = users.where("not superadmin").select("user_id").join(user_roles.select("user_id", "role"), "user_id").join(broadcast_if_small(role_permissions.select("role", "permission").distinct()), "role")
+    every = permissions.select("permission").distinct().agg(F.collect_set("permission").alias("ps"))  # codes of a program
+    admins = users.where("superadmin").select("user_id").distinct().withColumn("_one", F.lit(1)).join(F.broadcast(every.withColumn("_one", F.lit(1))), "_one")
+    return held.select("user_id", "permission").distinct().unionByName(admins.select("user_id", F.explode("ps").alias("permission")))
+
+
+def checked_grants(grants: DataFrame, docs: DataFrame, existing: DataFrame) -> DataFrame:
+    """grants(doc_id, principal_type, principal_id, permission) with `error`, null for those to append: `principal`, `permission`, `document` or `exists`, the first that holds; repeats but for one exist too."""
+    keys = ["doc_id", "principal_type", "principal_id", "permission"]
+    n = F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0)))
+    x = grants.select(*keys).withColumn("_n", n).join(docs.select("doc_id", F.lit(True).alias("_known")).distinct(), "doc_id", "left").join(existing.select(*keys, F.lit(True).alias("_there")).distinct(), keys, "left")
+    error = F.when(~F.coalesce(F.col("principal_type").isin("user", "role"), F.lit(False)), "principal").when(~F.coalesce(F.col("permission").isin("read", "write", "delete"), F.lit(False)), "permission").when(F.col("_known").isNull(), "document").when(F.col("_there").isNotNull() | (F.col("_n") > 1), "exists")
+    return x.select(*keys, error.alias("error"))
+
+
+def keyset_page(rows: DataFrame, key: str, after: object | None, size: int) -> DataFrame:
+    """The `size` rows of least key above `after`, in its order: a page by cursor. The bound reaches the scan, and a layout sorted by key is read from there on."""
+    return (rows if after is None else rows.where(F.col(key) > F.lit(after))).orderBy(key).limit(size)
+
+
+def laid_out(rows: DataFrame, key: str, path: str, files: int | None = None) -> DataFrame:
+    """Rows written in files of disjoint ranges of key, sorted in each, and read back: bounds on key skip files and row groups."""
+    ranged = rows.repartitionByRange(files, key) if files else rows.repartitionByRange(key)
+    ranged.sortWithinPartitions(key).write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def keyset_pages(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows with `page`, from 0: which page of `size` rows a cursor over key would show them on; keys are unique.
+
+    Rows are dealt by range and counted within their part; only a row for each part is summed up.
+    """
+    part = written(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()), "ranged")  # part number above, row number below bit 33
+    own = F.shiftright("_at", 33).alias("_part")
+    above = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    base = part.groupBy(own).agg(F.count(F.lit(1)).alias("_n")).select(F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_base"))  # a row a part
+    number = F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return part.join(broadcast_if_small(base), F.shiftright("_at", 33) == F.col("_of")).withColumn("page", F.floor(number / size).cast("long")).select(*rows.columns, "page")
+
+
+def continued_ids(new: DataFrame, existing: DataFrame, order: list[str], key: str = "vector_id") -> DataFrame:
+    """new with `key`: ids that go on, without gaps and in `order`, from one above the greatest that existing has (0 if it has none).
+
+    Rows are numbered within parts of a range, and the parts are summed up: no task gets all rows.
+    """
+    start = existing.agg(F.coalesce(F.max(key) + 1, F.lit(0)).cast("long").alias("start")).first().start
+    part = written(new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    above = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    base = part.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select(F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_base"))
+    number = F.lit(start) + F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return part.join(broadcast_if_small(base), F.shiftright("_at", 33) == F.col("_of")).withColumn(key, number).select(*[c for c in new.columns if c != key], key)
+
+
+def removed_verified(rows: DataFrame, deleted: DataFrame, keys: list[str], path: str) -> dict[str, int]:
+    """Writes rows without those of the deleted keys to path; how many it kept, removed, did not find, and, read again, still has of them.
+
+    Rows are counted in the pass that writes them; only the residue takes another, over the keys of what was written.
+    """
+    from pyspark.sql import Observation
+
+    gone = deleted.select(*keys).distinct().withColumn("_gone", F.lit(True))
+    told = Observation()
+    marked = rows.join(broadcast_if_small(gone), keys, "left")
+    counted_ = marked.observe(told, F.count(F.lit(1)).alias("all"), F.count("_gone").alias("removed"))
+    counted_.where("_gone is null").drop("_gone").write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    back = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    residue = back.join(gone, keys, "left_semi").count()
+    absent = gone.join(rows.select(*keys), keys, "left_anti").count()
+    return {"kept": told.get["all"] - told.get["removed"], "removed": told.get["removed"], "absent": absent, "residue": residue}

@@ -13,8 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from . import catalog
 from .tables import broadcast_if_small, spread, written
-from .terms import counted, idf, postings, query_terms, scored
+from .terms import Among, counted, idf, postings, query_terms, scored
 
 
 def top(scored: DataFrame, k: int, key: str = "doc_id", score: str = "score") -> DataFrame:
@@ -28,12 +29,13 @@ def term_table(docs: DataFrame) -> DataFrame:
     return written(postings(counted(docs)), "terms")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, variant: str = "okapi", among: DataFrame | None = None, table: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, variant: str = "okapi", among: Among = None, table: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): Okapi (idf floored at a quarter of the mean) or Lucene weighting.
 
     Weights come from the term table of all documents, which several searches may share; only terms of queries are
     joined and shuffled further, and the queries' side is broadcast if it is small, so that a common term is no hot key.
-    `among` restricts hits, not the statistics: doc_ids for all queries, or (query_id, doc_id) for each. Repeated query
+    `among` restricts hits, not the statistics: doc_ids for all queries, (query_id, doc_id) for each, or a function that
+    keeps the rows of (query_id, doc_id, score) that may be seen, before the cut. Repeated query
     terms count each; hits at or under 0 go after the cut. `terms.TermStore` keeps the table between searches.
     """
     table = term_table(docs) if table is None else table
@@ -91,13 +93,55 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, among: DataFrame
     return top(met.mapInArrow(_block_tops(k), _SCORED), k, "vec_id")
 
 
-def dense_allowed(vectors: DataFrame, queries: DataFrame, allowed: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, vec_id, score, rank): inner products of each query with the vectors that `allowed`(query_id, vec_id) lets it see, and no others."""
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
-    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).where("q is not null")
-    met = allowed.select("query_id", "vec_id").distinct().join(q, "query_id").join(v, "vec_id")
-    score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return top(met.select("query_id", "vec_id", score.alias("score")), k, "vec_id")
+def _seen_tops(k: int):
+    """Rows of queries `qs` and vectors `vs` of one tenant to the k best vectors that each query's user may see."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for i in range(x.num_rows):
+                qs, vs = x["qs"][i].values, x["vs"][i].values
+                ids, user = vs.field("vec_id").to_numpy(), qs.field("user_id").to_numpy(zero_copy_only=False)
+                owner = vs.field("owner").to_numpy(zero_copy_only=False)
+                ok = (user[:, None] == owner) | vs.field("owner").is_null().to_numpy(zero_copy_only=False) | qs.field("superadmin").to_numpy(zero_copy_only=False)[:, None]
+                for asked, granted in (("roles", "to_roles"), ("own", "to_users")):
+                    have = vs.field(granted).to_pylist()
+                    for j, some in enumerate(qs.field(asked).to_pylist()):
+                        wanted = set(some or ())
+                        if wanted:
+                            ok[j] |= np.fromiter((bool(g) and not wanted.isdisjoint(g) for g in have), bool, len(have))
+                for j, scope in enumerate(qs.field("scope").to_pylist()):
+                    if scope is not None:
+                        ok[j] &= np.isin(ids, scope)
+                s = _matrix(qs.field("q")) @ _matrix(vs.field("v")).T
+                out = []
+                for row, seen in zip(s, ok, strict=True):
+                    at = np.flatnonzero(seen)
+                    out.append(at[np.lexsort((ids[at], -row[at]))[:k]])
+                m = [len(o) for o in out]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qs.field("query_id").to_numpy(), m)), pa.array(ids[np.concatenate(out).astype(np.int64)]), pa.array(np.concatenate([r[o] for r, o in zip(s, out, strict=True)]))], names=["query_id", "vec_id", "score"])
+
+    return score
+
+
+def dense_seen(vectors: DataFrame, queries: DataFrame, requests: DataFrame, docs: DataFrame, users: DataFrame, grants: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, vec_id, score, rank): exact inner products of each query(query_id, embedding) with the vectors that its request's user may see.
+
+    requests, docs, users and grants are those of `catalog.seen`; vec_ids are doc_ids. Rights travel with the vectors and
+    are tested where blocks of a tenant's vectors meet blocks of its queries: no table of what who may see is made, and a
+    tenant of most vectors fills many blocks. Of a document's grants to users only those to users who ask are carried.
+    """
+    asked = requests.select("query_id", "tenant", "user_id", "scope").join(catalog.who(requests, users), ["tenant", "user_id"])
+    q = asked.join(queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")), "query_id").where("q is not null")
+    n = q.count()
+    blocks = max(1, n // 256)
+    q = q.select("tenant", F.size("q").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.struct("query_id", "user_id", "superadmin", "roles", F.array("user_id").alias("own"), "scope", "q").alias("s"))
+    packed = q.groupBy("tenant", "dim", "block").agg(F.collect_list("s").alias("qs"))
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
+    rows = rows.join(catalog.granted(docs, grants, requests).withColumnRenamed("doc_id", "vec_id"), "vec_id")
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, vectors.count() // 4096))).cast("int")
+    parts = rows.groupBy("tenant", F.size("v").alias("dim"), part.alias("part")).agg(F.collect_list(F.struct("vec_id", "owner", "to_roles", "to_users", "v")).alias("vs"))
+    met = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(broadcast_if_small(written(packed, "queries")), ["tenant", "dim", "block"])
+    return top(met.select("qs", "vs").mapInArrow(_seen_tops(k), _SCORED), k, "vec_id")
 
 
 #: Vectors that the lists' centres are fitted on, those of the lowest hashes; every vector is listed.

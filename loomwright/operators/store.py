@@ -63,7 +63,7 @@ class Store:
         bucket = F.pmod(F.xxhash64(self.doc), F.lit(self.buckets)).cast("int")
         deal = F.pmod(F.xxhash64(self.doc, F.lit("deal")), F.lit(8))  # a tenant of most rows fills several tasks a bucket
         data = rows.withColumn("bucket", bucket).repartition(*self.at, deal)
-        data.write.partitionBy(*self.at).parquet(f"{self.path}/data/snapshot={name}")
+        data.write.option("compression", "zstd").partitionBy(*self.at).parquet(f"{self.path}/data/snapshot={name}")
         back = self.spark.read.schema(kinds).parquet(f"{self.path}/data/snapshot={name}")
         if check is not None:
             check(back.drop("bucket"))

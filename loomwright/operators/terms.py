@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ BUCKETS = 64
 K1_B = {"okapi": (1.5, 0.75), "lucene": (1.2, 0.75)}
 
 _POSTINGS = "doc_id long, dl int, term string, tf int, bucket int, version long"
-_DOCS = "doc_id long, dl int, counts array<struct<term string, tf int>>, bucket int, version long"
+_DOCS = "doc_id long, dl int, terms array<string>, bucket int, version long"
 _GONE = "doc_id long, version long"
 _DF = "term string, df long"
 
@@ -43,7 +44,11 @@ def idf(df: Column, n: float, variant: str) -> Column:
     return F.log(ratio if variant == "okapi" else 1 + ratio)
 
 
-def scored(q: DataFrame, tf: DataFrame, df: DataFrame, n: float, avgdl: float, mean: float, variant: str, among: DataFrame | None) -> DataFrame:
+#: What may be hit: doc_ids, (query_id, doc_id), or what keeps of (query_id, doc_id, score) the rows that may be seen.
+Among = DataFrame | Callable[[DataFrame], DataFrame] | None
+
+
+def scored(q: DataFrame, tf: DataFrame, df: DataFrame, n: float, avgdl: float, mean: float, variant: str, among: Among) -> DataFrame:
     """(query_id, doc_id, score): the weights of q(query_id, term, qtf) over tf(doc_id, dl, term, tf), which holds terms of queries alone.
 
     df(term, df) and n are those of all documents; Okapi's negative weights become a quarter of `mean`. The queries' side is broadcast if it is small,
@@ -54,11 +59,12 @@ def scored(q: DataFrame, tf: DataFrame, df: DataFrame, n: float, avgdl: float, m
     if variant == "okapi":
         weight = F.when(weight < 0, F.lit(0.25 * mean)).otherwise(weight)
     hits = tf.join(broadcast_if_small(written(q.join(df, "term").select("query_id", "term", "qtf", weight.alias("idf")), "asked")), "term")
-    if among is not None:
+    if isinstance(among, DataFrame):
         keys = [c for c in ("query_id", "doc_id") if c in among.columns]
         hits = hits.join(among.select(*keys).distinct(), keys, "left_semi")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    found = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return among(found) if callable(among) else found
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -106,18 +112,19 @@ class TermStore:
         ids = written(docs.select("doc_id").unionByName(removed.select("doc_id")).distinct() if removed is not None else docs.select("doc_id"), "ids")
         known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         at = f"version={now}"
-        counted(known).select("*", self._bucket("doc_id")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/docs/{at}")
-        new = self.spark.read.schema(_DOCS).parquet(f"{self.path}/docs").where(F.col("version") == now)
-        some = postings(new).where("term is not null").select("*", self._bucket("term"))
+        counts = written(counted(known), "counts")
+        put = lambda df, name: df.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{name}/{at}")
+        put(counts.select("doc_id", "dl", F.col("counts.term").alias("terms"), self._bucket("doc_id")).repartition("bucket"), "docs")
+        some = postings(counts).where("term is not null").select("*", self._bucket("term"))
         deal = F.pmod(F.xxhash64("doc_id"), F.lit(8))  # a term of most documents fills several tasks
-        some.repartition("bucket", deal).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{at}")
+        put(some.repartition("bucket", deal).sortWithinPartitions("bucket", "term", "doc_id"), "postings")
         ids.write.mode("overwrite").parquet(f"{self.path}/gone/{at}")
-        changes = postings(new).where("term is not null").select("term", F.lit(1).alias("d"))
-        n, total = new.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        changes = counts.select(F.explode("counts.term").alias("term"), F.lit(1).alias("d"))
+        n, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         if was:
             touched = ids.select("doc_id", self._bucket("doc_id"))
             old = written(self._live(self._read("docs", _DOCS, was).join(broadcast_if_small(touched), ["doc_id", "bucket"], "left_semi"), was), "old")
-            changes = changes.unionByName(postings(old).where("term is not null").select("term", F.lit(-1).alias("d")))
+            changes = changes.unionByName(old.select(F.explode("terms").alias("term"), F.lit(-1).alias("d")))
             less, less_total = old.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
             before = self.figures(was)
             n, total = n + before["n"] - less, total + before["total"] - less_total
@@ -130,7 +137,7 @@ class TermStore:
             raise RuntimeError(f"another writer committed version {now}")
         return now
 
-    def search(self, queries: DataFrame, k: int = 10, variant: str = "okapi", among: DataFrame | None = None, version: int | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, variant: str = "okapi", among: Among = None, version: int | None = None) -> DataFrame:
         """(query_id, doc_id, score, rank) as `retrieval.bm25` gives over the documents of a version, the latest if none is given."""
         from .retrieval import top
 
