@@ -109,11 +109,28 @@ def coverage(query: Column, content: Column) -> Column:
     return F.size(F.array_intersect(chars, F.split(content, ""))) / F.size(chars)
 
 
-def cache_key(tenant: Column, user: Column, permissions: Column, documents: Column, strategy: Column, mode: Column, rerank: Column, version: Column, query: Column) -> Column:
-    """A key that changes with whatever may change the answer: who asks, what they may read, how, and of which index."""
+def json_string(c: Column) -> Column:
+    """A text as JSON has it, in quotes."""
+    whole = F.to_json(F.struct(c.alias("c")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def history_json(history: Column) -> Column:
+    """An array of (role, content) as a JSON list with keys in order and a blank after each comma and colon."""
+    one = lambda m: F.concat(F.lit('{"content": '), json_string(m["content"]), F.lit(', "role": '), json_string(m["role"]), F.lit("}"))
+    return F.concat(F.lit("["), F.array_join(F.transform(history, one), ", "), F.lit("]"))
+
+
+def cache_key(tenant: Column, user: Column, permissions: Column, documents: Column, strategy: Column, mode: Column, rerank: Column, version: Column, query: Column, history: Column | None = None) -> Column:
+    """A key that changes with whatever may change the answer: who asks, what they may read, how, of which index, and after which turns.
+
+    Parts that are null have a place of their own; history(role, content) adds one unless it is null or empty.
+    """
     listed = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     may = F.when(F.coalesce(F.size(permissions), F.lit(0)) > 0, listed(permissions)).otherwise("none")
     docs = F.when(documents.isNull(), "all").when(F.size(documents) == 0, "none").otherwise(F.sha2(listed(documents).cast("binary"), 256))
     blank = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), F.lit(other))
-    parts = [F.lit("v2"), blank(tenant, "default"), blank(user, ""), may, docs, strategy, mode, F.when(rerank, "True").otherwise("False"), blank(version, "missing"), strip(blank(query, ""))]
+    parts = [F.lit("v2"), blank(tenant, "default"), blank(user, ""), may, docs, blank(strategy, ""), blank(mode, ""), F.when(rerank, "True").otherwise("False"), blank(version, "missing"), strip(blank(query, ""))]
+    if history is not None:
+        parts.append(F.when(F.size(history) > 0, history_json(history)))  # concat_ws leaves out this one alone
     return F.sha2(F.concat_ws("|", *parts).cast("binary"), 256)

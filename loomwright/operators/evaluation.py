@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import json_items, real_claim, strip
+
 
 def ranking(hits: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, n_relevant, recall, precision, mrr, ndcg) at k for each query with relevant documents.
@@ -76,6 +78,23 @@ def faithfulness(claims: DataFrame, key: str) -> DataFrame:
     return x.select(key, "total_claims", "supported_claims", F.round(score, 4).alias("score"))
 
 
+def judged(replies: DataFrame, key: str) -> DataFrame:
+    """(key, total_claims, supported_claims, score) of replies(key, answer, claims_reply, verdict_reply): a judge's two replies about an answer.
+
+    A blank answer scores 0. The claims are the texts of the array in the first reply, those of more than two code points;
+    without one there is nothing to verify, and the score is 1. Verdicts are the objects of the array in the second, where
+    `partial` counts half; a reply without any leaves all claims unsupported.
+    """
+    claims = F.filter(json_items(F.coalesce("claims_reply", F.lit("")), "string"), lambda c: F.coalesce(real_claim(c), F.lit("")) != "")
+    verdicts = json_items(F.coalesce("verdict_reply", F.lit("")), "struct<claim:string,verdict:string>")
+    x = replies.select(key, (strip(F.coalesce("answer", F.lit(""))) == "").alias("_blank"), claims.alias("_claims"), verdicts.alias("_verdicts"))
+    of = lambda v: F.size(F.filter("_verdicts", lambda r: F.coalesce(r["verdict"] == v, F.lit(False))))
+    n = F.size("_claims")
+    some = ~F.col("_blank") & (n > 0)
+    score = F.when(F.col("_blank"), 0.0).when(n == 0, 1.0).otherwise((of("supported") + 0.5 * of("partial")) / F.greatest(n, F.lit(1)))
+    return x.select(key, F.when(some, n).otherwise(0).cast("long").alias("total_claims"), F.when(some, of("supported")).otherwise(0).cast("long").alias("supported_claims"), F.round(score, 4).alias("score"))
+
+
 def relevance(score: Column) -> Column:
     """A judge's score held between 0 and 1."""
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)

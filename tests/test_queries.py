@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from loomwright.jobs import access, answers, datasets, governance, queries, stores  # noqa: F401: registered by import
+from loomwright.jobs import access, answers, datasets, extras, governance, queries, stores  # noqa: F401: registered by import
 from loomwright.jobs.registry import QUERIES, SQL
 
 
