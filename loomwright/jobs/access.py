@@ -127,13 +127,15 @@ def checked_vectors(spark, sf_dir):
 
 @query(f"""WITH last AS (SELECT conv_id, arg_max(text, turn) AS question, max(turn) AS at FROM conversations WHERE role = 'user' GROUP BY 1), before AS (SELECT c.* FROM conversations c JOIN last USING (conv_id) WHERE c.turn < last.at),
 h AS ({SQL['chat_history'].replace('FROM conversations)', 'FROM before)')}), s AS (SELECT conv_id, list({{'role': role, 'content': text}} ORDER BY turn) AS ms FROM h GROUP BY 1),
-m AS (SELECT conv_id, list_concat([{{'role': 'system', 'content': 'Answer from the context alone.'}}], coalesce(ms, []), [{{'role': 'user', 'content': '上下文：' || chr(10) || '[1] ' || b.text || chr(10) || chr(10) || '问题：' || question}}]) AS ms FROM last JOIN benchmark b ON item_id = conv_id % 5 LEFT JOIN s USING (conv_id)),
+m AS (SELECT conv_id, list_concat([{{'role': 'system', 'content': 'Answer from the context alone.'}}], coalesce(ms, []), [{{'role': 'user', 'content': '上下文：' || chr(10) || '[1] ' || b.text || chr(10) || chr(10) || '问题：' || question}}]) AS ms FROM last JOIN benchmark b ON item_id = conv_id % (SELECT count(*) FROM benchmark) LEFT JOIN s USING (conv_id)),
 x AS (SELECT conv_id, unnest(ms) AS m, unnest(range(len(ms))) AS place FROM m) SELECT conv_id, CAST(place AS INTEGER) AS place, m.role AS role, m.content AS content FROM x""")
 def prompt_messages(spark, sf_dir):
     c = t(spark, sf_dir, "conversations")
     last = c.where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"), F.max("turn").alias("at"))
-    given = t(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("k"), F.concat(F.lit("[1] "), F.col("text")).alias("context"))
-    asked = last.withColumn("k", F.col("conv_id") % 5).join(given, "k").select("conv_id", "context", "question")
+    given = t(spark, sf_dir, "benchmark")
+    n = given.count()
+    given = given.select(F.col("item_id").alias("k"), F.concat(F.lit("[1] "), F.col("text")).alias("context"))
+    asked = last.withColumn("k", F.col("conv_id") % n).join(given, "k").select("conv_id", "context", "question")
     before = c.join(last.select("conv_id", "at"), "conv_id").where("turn < at").select("conv_id", "turn", "role", "text")
     x = context.messages("Answer from the context alone.", before, asked)
     return x.select("conv_id", F.posexplode("messages").alias("place", "m")).select("conv_id", "place", "m.role", "m.content")

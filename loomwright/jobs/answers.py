@@ -133,10 +133,12 @@ _ANSWER = "text || ' [' || (turn % 3 + 1) || ', ' || (conv_id % 4) || '] 【' ||
 _CITED = rf"""SELECT conv_id, turn, list_transform(flatten(list_transform(regexp_extract_all({_ANSWER}, '[\[【]\s*([\d\s,，、;；]+)\s*[\]】]', 1), lambda g: regexp_extract_all(g, '\d+'))), lambda x: TRY_CAST(x AS INTEGER)) AS numbers FROM conversations"""
 
 
-@query(f"SELECT DISTINCT conv_id, turn, CAST(number AS BIGINT) AS number FROM (SELECT conv_id, turn, unnest(numbers) AS number FROM ({_CITED})) WHERE number BETWEEN 1 AND 4")
+@query(f"SELECT DISTINCT conv_id, turn, CAST(number AS BIGINT) AS number FROM (SELECT conv_id, turn, unnest(numbers) AS number FROM ({_CITED})) JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) USING (conv_id) WHERE number BETWEEN 1 AND n")
 def cited_numbers(spark, sf_dir):
-    x = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(citations(F.expr(_ANSWER))).alias("number"))
-    return x.where("number between 1 and 4").select("conv_id", "turn", F.col("number").cast("long").alias("number")).distinct()  # answers have four chunks
+    """The numbers in each answer that name a turn of its conversation."""
+    c = t(spark, sf_dir, "conversations")
+    x = c.select("conv_id", "turn", F.explode(citations(F.expr(_ANSWER))).alias("number"))
+    return x.join(c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")), "conv_id").where("number between 1 and n").select("conv_id", "turn", F.col("number").cast("long").alias("number")).distinct()
 
 
 @query(f"""WITH n AS (SELECT conv_id, turn, unnest(numbers) AS number, unnest(range(len(numbers))) AS pos FROM ({_CITED})), f AS (SELECT conv_id, turn, number, min(pos) AS pos FROM n GROUP BY 1, 2, 3),
@@ -145,10 +147,9 @@ SELECT p.conv_id, p.turn, CAST(place AS INTEGER) AS place, number, c.conv_id ||
 def cited_chunks(spark, sf_dir):
     """Answers cite the turns of their conversation, by number."""
     c = t(spark, sf_dir, "conversations").withColumn("query_id", F.struct("conv_id", "turn"))
-    answers = c.select("query_id", F.expr(_ANSWER).alias("answer"))
+    answers = c.select("query_id", "conv_id", F.expr(_ANSWER).alias("answer"))
     own = c.select("conv_id", (F.col("turn") + 1).cast("int").alias("number"), F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), F.col("conv_id").alias("doc_id"), F.lit(0).alias("start_offset"), F.length("text").alias("end_offset"), F.col("text").alias("content"))
-    chunks = c.select("conv_id", "query_id").join(own, "conv_id").drop("conv_id")
-    return context.cited(answers, chunks).select("query_id.conv_id", "query_id.turn", "place", "number", "chunk_id", "doc_id", "preview")
+    return context.cited(answers, own, "conv_id").select("query_id.conv_id", "query_id.turn", "place", "number", "chunk_id", "doc_id", "preview")
 
 
 @query(r"""SELECT item_id, v[1] AS first, CAST(len(v) AS INTEGER) AS n FROM (SELECT item_id, ['q' || item_id, 'x' || item_id % 3, 'y'] AS v FROM benchmark)""")

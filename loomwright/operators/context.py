@@ -142,15 +142,17 @@ def dialogue(turns: DataFrame, last: int = 10, chars: int = 2000) -> DataFrame:
     return lines.select("conv_id", F.when(F.size("ls") > 0, F.array_join("ls.line", "\n")).otherwise("（无）").alias("dialogue"))
 
 
-def cited(answers: DataFrame, chunks: DataFrame) -> DataFrame:
+def cited(answers: DataFrame, chunks: DataFrame, within: str = "query_id") -> DataFrame:
     """(query_id, place, number, chunk_id, doc_id, start_offset, end_offset, preview): the chunks that answers cite.
 
     answers(query_id, answer), chunks(query_id, number, chunk_id, doc_id, start_offset, end_offset, content) with numbers
-    from 1. Each number counts once, in order of first mention; numbers that no chunk has are passed over, and keep
+    from 1. Answers that share their chunks, such as those of a conversation, have its key as `within` beside their query_id,
+    and chunks have it in place of query_id, so that nothing is multiplied. Each number counts once, in order of first mention; numbers that no chunk has are passed over, and keep
     their place. A preview is the first 50 code points.
     """
-    x = answers.select("query_id", F.posexplode(citations(F.col("answer"))).alias("place", "number"))
-    return x.join(chunks, ["query_id", "number"]).select("query_id", "place", "number", "chunk_id", "doc_id", "start_offset", "end_offset", F.substring("content", 1, 50).alias("preview"))
+    keys = list(dict.fromkeys(["query_id", within]))
+    x = answers.select(*keys, F.posexplode(citations(F.col("answer"))).alias("place", "number"))
+    return x.join(chunks, [within, "number"]).select("query_id", "place", "number", "chunk_id", "doc_id", "start_offset", "end_offset", F.substring("content", 1, 50).alias("preview"))
 
 
 def messages(system: str, turns: DataFrame, asked: DataFrame) -> DataFrame:

@@ -57,6 +57,10 @@ def read_pdf(raw: bytes) -> tuple[str, int]:
     return "\n\n".join(t for t in texts if t), len(pages)
 
 
+#: The suffixes of the files that can be read.
+KINDS = ("txt", "html", "docx", "pdf")
+
+
 def _document(kind: str, raw: bytes) -> tuple[str | None, int, int, str]:
     """(title, parts, tables, content) of a file of this kind."""
     if kind == "txt":
@@ -71,7 +75,7 @@ def _document(kind: str, raw: bytes) -> tuple[str | None, int, int, str]:
     return None, pages, 0, text
 
 
-def read_folder(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("txt", "html", "docx", "pdf")) -> DataFrame:
+def read_folder(spark: SparkSession, folder: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """A row for each file of these kinds in the folder and those below it.
 
     The kind is the suffix, in either case. A file that can't be read, or has over MOST_BYTES, has no content and tells
@@ -101,6 +105,17 @@ def read_folder(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("txt
     return found.unionByName(large.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in found.schema.fields]))
 
 
+def read_file(spark: SparkSession, path: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """The row of one file, as `read_folder` has it. A suffix that isn't among the kinds raises ValueError, and so does a file that can't be read."""
+    suffix = path.rpartition("/")[2].rpartition(".")[2].lower()
+    if suffix not in kinds:
+        raise ValueError(f"{path} is none of {', '.join(kinds)}")
+    row = read_folder(spark, path, kinds)
+    if why := row.select("error").first().error:
+        raise ValueError(f"{path}: {why}")
+    return row
+
+
 _ARROW = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in _SCHEMA.split(", ")])
 
 
@@ -114,6 +129,22 @@ def append_figures(figures: DataFrame, path: str) -> None:
     figures.select("metric", F.col("value").cast("double"), F.current_timestamp().alias("at")).write.mode("append").json(path)
 
 
+def append_trend(figures: DataFrame, path: str, commit: str) -> None:
+    """Adds a row to the CSV of runs: when, which commit, and each of figures(metric, value) as a column by name. A run's file has its own header, as metrics come and go."""
+    row = figures.groupBy().pivot("metric").agg(F.first(F.col("value").cast("double")))
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    row.select(stamp.alias("timestamp"), F.lit(commit).alias("commit"), *sorted(row.columns)).coalesce(1).write.mode("append").option("header", "true").csv(path)
+
+
+def read_trend(spark: SparkSession, path: str) -> DataFrame:
+    """(timestamp, commit, metric, value) of all runs, whichever columns each has."""
+    lines = spark.read.text(path).withColumn("file", F.input_file_name())
+    head = lines.where("value like 'timestamp,%'").select("file", F.split("value", ",").alias("names"))
+    said = lines.where("value not like 'timestamp,%'").select("file", F.split("value", ",").alias("v"))
+    x = said.join(head, "file").select(F.col("v")[0].alias("timestamp"), F.col("v")[1].alias("commit"), F.explode(F.arrays_zip(F.slice("names", 3, 1000).alias("metric"), F.slice("v", 3, 1000).alias("said"))).alias("p"))
+    return x.select("timestamp", "commit", "p.metric", F.expr("try_cast(p.said AS double)").alias("value"))
+
+
 def read_figures(spark: SparkSession, path: str, under: str = "metrics") -> DataFrame:
     """(metric, value) of JSON documents, from the object `under` or, where there is none, from the top; only numbers count."""
     whole = spark.read.text(path, wholetext=True)

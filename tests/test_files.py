@@ -45,6 +45,54 @@ def test_folder(spark, tmp_path, monkeypatch):
         files.read_folder(spark, str(tmp_path), ("pdf",))
 
 
+def test_one_file(spark, tmp_path):
+    (tmp_path / "a.TXT").write_text("one")
+    (tmp_path / "b.docx").write_bytes(b"no zip")
+    (tmp_path / "c.csv").write_text("1")
+    assert files.read_file(spark, str(tmp_path / "a.TXT")).first().content == "one"
+    with pytest.raises(ValueError, match="is none of"):
+        files.read_file(spark, str(tmp_path / "c.csv"))
+    with pytest.raises(ValueError, match="zip"):
+        files.read_file(spark, str(tmp_path / "b.docx"))
+
+
+def test_folder_as_a_source(spark, tmp_path):
+    """Batch and stream give what read_folder gives; a stream takes each file once, and goes on after a stop."""
+    from loomwright.sources.folder import FolderSource
+    from loomwright.streaming.sinks import replayed
+
+    spark.dataSource.register(FolderSource)
+    at = tmp_path / "in"
+    (at / "deep").mkdir(parents=True)
+    for i in range(7):
+        (at / ("deep" if i % 2 else "") / f"f{i}.txt").write_text(f"text {i} " * 40)
+    (at / "h.html").write_text("<title> T </title><p>x</p>")
+    (at / "broken.docx").write_bytes(b"no zip")
+    (at / "empty.txt").write_text("")
+    (at / "x.csv").write_text("1,2")
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = spark.read.format("files").option("taskBytes", "500").load(str(at))
+    assert rows(whole) == rows(files.read_folder(spark, str(at))) and whole.rdd.getNumPartitions() > 3
+    assert rows(spark.read.format("files").option("kinds", "html").load(str(at))) == rows(files.read_folder(spark, str(at), ("html",)))
+    with pytest.raises(Exception, match="no pdf file"):
+        spark.read.format("files").option("kinds", "pdf").load(str(at)).collect()
+    run = lambda: replayed(spark.readStream.format("files").load(str(at)), f"{tmp_path}/out", f"{tmp_path}/progress")
+    run()
+    out = lambda: spark.read.schema(whole.schema).parquet(f"{tmp_path}/out").select(*whole.columns)
+    assert rows(out()) == rows(whole)
+    (at / "late.txt").write_text("late")
+    run()
+    run()
+    assert rows(out()) == rows(files.read_folder(spark, str(at))) and out().count() == 10
+
+
+def test_trend(spark, tmp_path):
+    for commit, values in (("a1", [("recall", 0.5), ("mrr", 0.25)]), ("b2", [("recall", 0.75), ("ndcg", None)])):
+        files.append_trend(spark.createDataFrame(values, "metric string, value double"), f"{tmp_path}/trend", commit)
+    got = {(r.commit, r.metric, r.value) for r in files.read_trend(spark, f"{tmp_path}/trend").collect()}
+    assert got == {("a1", "recall", 0.5), ("a1", "mrr", 0.25), ("b2", "recall", 0.75), ("b2", "ndcg", None)}
+
+
 def test_evaluation_data(spark, tmp_path):
     lines = ['{"id": "a", "query": "q", "gold": {"documents": [{"document_id": "d", "spans": [{"start": 1, "end": 5}]}, {"document_id": "e", "relevance": 2}], "answers": ["x"]}, "metadata": {"k": "v"}, "more": 1}', '{"id": "b", "history": [{"role": "user", "content": "h"}]}']
     (tmp_path / "s.jsonl").write_text("\n".join(lines))
