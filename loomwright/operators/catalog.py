@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,14 +104,17 @@ def granted(docs: DataFrame, grants: DataFrame, requests: DataFrame, permission:
     return docs.select("doc_id", "tenant", "owner").join(roles, "doc_id", "left").join(users, "doc_id", "left")
 
 
-def seen(requests: DataFrame, docs: DataFrame, users: DataFrame, grants: DataFrame):
+def seen(requests: DataFrame, docs: DataFrame | None, users: DataFrame | None, grants: DataFrame | None) -> Callable[[DataFrame], DataFrame]:
     """A function that keeps the rows of (query_id, doc_id, ..) whose document that request's user may see: what a search has found is tested, and nothing else is listed.
 
     requests(query_id, tenant, user_id, scope), docs(doc_id, tenant, owner), users(user_id, tenant, role, superadmin),
     grants(doc_id, principal_type, principal_id, permission). A document is seen in its tenant alone, within the scope
     (null is no restriction, an empty one leaves nothing), by its owner, by those whom a grant to them or a role of theirs
-    lets read, by superadmins, and by all if it has no owner. Unknown documents and requests have none.
+    lets read, by superadmins, and by all if it has no owner. Unknown documents and requests have none. Where one of the
+    tables of rights is missing (None), nothing is seen.
     """
+    if docs is None or users is None or grants is None:
+        return lambda rows: rows.where("false")
     asked = requests.select("query_id", "tenant", "user_id", "scope").join(who(requests, users), ["tenant", "user_id"])
     asked = asked.select("query_id", F.struct("tenant", "user_id", "scope", "roles", "superadmin").alias("_ask"))
     rights = granted(docs, grants, requests).select("doc_id", F.struct("tenant", "owner", "to_roles", "to_users").alias("_doc"))
@@ -156,14 +161,17 @@ def may(asked: DataFrame, docs: DataFrame, users: DataFrame, grants: DataFrame)
 def manageable(asked: DataFrame, docs: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
     """asked(user_id, doc_id) with `may_delete` and `may_manage`: superadmins may do both, owners too, and a grant to `delete` gives the first alone.
 
-    users has superadmin besides what `may` takes. A superadmin needs no document; anyone else is denied an unknown one.
+    users has superadmin besides what `may` takes. A superadmin needs no document; anyone else is denied an unknown one,
+    and, where docs and users have `tenant`, one of another tenant.
     """
     q = asked.select("user_id", "doc_id").distinct()
-    granted = may(q.withColumn("permission", F.lit("delete")), docs.select("doc_id", "owner"), users.select("user_id", "role"), grants).select("user_id", "doc_id", "allowed")
+    own = ["tenant"] if "tenant" in docs.columns and "tenant" in users.columns else []
+    known, held = docs.select("doc_id", "owner", *own), users.select("user_id", "role", *own)
+    ask = lambda permission, g: may(q.withColumn("permission", F.lit(permission)), known, held, g).select("user_id", "doc_id", F.col("allowed").alias(permission))
     admins = users.where("superadmin").select("user_id", F.lit(True).alias("_admin")).distinct()
-    x = granted.join(admins, "user_id", "left").join(docs.select("doc_id", "owner"), "doc_id", "left")
+    x = ask("delete", grants).join(ask("manage", grants.where("false")), ["user_id", "doc_id"]).join(admins, "user_id", "left")
     admin = F.col("_admin").isNotNull()
-    return x.select("user_id", "doc_id", (admin | F.col("allowed")).alias("may_delete"), (admin | F.coalesce(F.col("owner") == F.col("user_id"), F.lit(False))).alias("may_manage"))
+    return x.select("user_id", "doc_id", (admin | F.col("delete")).alias("may_delete"), (admin | F.col("manage")).alias("may_manage"))
 
 
 def stale_tokens(tokens: DataFrame, users: DataFrame) -> DataFrame:

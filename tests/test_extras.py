@@ -114,6 +114,10 @@ def test_search_within_rights(spark):
     for r in retrieval.bm25(texts, asked, 10, "lucene", keep).collect():
         found[r.query_id].add(r.doc_id)
     assert found == want
+    # a table of rights that is missing lets nobody see anything
+    for lost in range(3):
+        tables = [None if i == lost else x for i, x in enumerate((docs, users, grants))]
+        assert catalog.seen(requests, *tables)(pairs).count() == 0
     # rights that are empty let nobody see more
     assert {(r.query_id, r.doc_id) for r in catalog.seen(requests, docs, users.where("false"), grants.where("false"))(pairs).collect()} <= {(q, d) for q in want for d in (1, 2, 3, 4)} | {(3, 5), (3, 6)}  # owners see theirs
 
@@ -125,6 +129,17 @@ def test_may_by_tenant(spark):
     assert got == {(10, 1, "write"), (10, 2, "read"), (10, 3, "read"), (12, 4, "delete"), (12, 99, "read"), (11, 5, "read")}
 
 
+def test_manageable_by_tenant(spark):
+    _, docs, users, grants, _ = rights(spark)
+    docs = docs.unionByName(spark.createDataFrame([(7, 1, 10)], docs.schema))
+    grants = grants.unionByName(spark.createDataFrame([(3, "role", 5, "delete"), (7, "role", 5, "delete")], grants.schema))
+    asked = spark.createDataFrame([(10, 1), (10, 3), (10, 7), (13, 3), (12, 99), (10, 2), (10, 99)], "user_id long, doc_id long")
+    told = lambda d: {(r.user_id, r.doc_id): (r.may_delete, r.may_manage) for r in catalog.manageable(asked, d, users, grants).collect()}
+    want = {(10, 1): (True, True), (10, 3): (True, False), (10, 7): (False, False), (13, 3): (False, False), (12, 99): (True, True), (10, 2): (False, False), (10, 99): (False, False)}
+    assert told(docs) == want
+    assert told(docs.drop("tenant")) == want | {(10, 7): (True, True), (13, 3): (True, False)}
+
+
 def test_checked_grants(spark):
     keys = "doc_id long, principal_type string, principal_id long, permission string"
     docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
