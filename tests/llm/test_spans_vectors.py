@@ -459,3 +459,19 @@ def test_empty_tables(spark, docs):
     for f in (spans.dedup_spans, mixing.mix, mixing.mixed_documents, secrets.find_secrets, secrets.redact, pii.find_personal, pii.sanitise):
         assert f(none).count() == 0
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
+
+
+def test_vectors_on_a_large_grid(spark, monkeypatch):
+    """Hundreds of cells, and neighbours just at and above the cosine: nearly all links are found, and no other."""
+    monkeypatch.setattr(vectors, "IN_CELL", 8)
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(1500, 32)))
+    near = unit(base + rng.normal(size=base.shape) * rng.uniform(0.02, 0.045, 1500)[:, None])
+    x, label = np.concatenate([base, near]), np.tile(rng.integers(0, 2, 1500), 2)
+    cos = x @ x.T
+    want = (cos >= 0.98) & (label[:, None] == label) & ~np.eye(len(x), dtype=bool)
+    rows = [(int(i), v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))]
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert want.sum() > 1500 and (found <= want.sum(1)).all() and found.sum() >= 0.98 * want.sum()
