@@ -140,3 +140,19 @@ def inverted_judgements(spark, sf_dir):
     """Which queries, here sources, each document answers."""
     x = t(spark, sf_dir, "documents").join(t(spark, sf_dir, "labels"), "doc_id")
     return inverted(x.select(F.col("source").alias("qid"), F.col("doc_id").cast("string").alias("pid"), F.col("quality").cast("double").alias("score")), "pid")
+
+
+@query("""WITH q AS (SELECT conv_id, arg_max(text, turn) AS text, max(turn) AS till FROM conversations WHERE role = 'user' GROUP BY 1), h AS (SELECT conv_id, list({'role': role, 'content': c.text} ORDER BY turn) AS h FROM conversations c JOIN q USING (conv_id) WHERE turn < till GROUP BY 1),
+a AS (SELECT conv_id, list_sort(list(DISTINCT left(text, 20))) AS a FROM conversations WHERE role = 'assistant' GROUP BY 1), d AS (SELECT conv_id, list({'document_id': CAST(doc_id AS VARCHAR), 'relevance': 1, 'spans': CASE WHEN doc_id % 3 > 0 THEN [{'start': 0, 'end': doc_id}, {'start': 5, 'end': doc_id + 5}] ELSE [] END} ORDER BY doc_id) AS d
+FROM (SELECT conv_id, unnest([conv_id, conv_id + 7]) AS doc_id FROM q) WHERE doc_id % 5 > 0 GROUP BY 1)
+SELECT conv_id AS id, CAST(to_json({'id': CAST(conv_id AS VARCHAR), 'task': 'retrieval', 'query': text, 'history': coalesce(h, []), 'gold': {'documents': coalesce(d, []), 'chunks': CAST([] AS VARCHAR[]), 'answers': coalesce(a, []), 'values': coalesce(a, []), 'behavior': 'answer'}, 'metadata': {'source_dataset': 'conversations'}}) AS VARCHAR) AS sample
+FROM q LEFT JOIN h USING (conv_id) LEFT JOIN a USING (conv_id) LEFT JOIN d USING (conv_id)""")
+def grounded_samples(spark, sf_dir):
+    """Each conversation's last question as a sample with the turns before it, the beginnings of its answers, and documents with spans."""
+    c = t(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "query_id")
+    last = c.where("role = 'user'").groupBy("query_id").agg(F.max_by("text", "turn").alias("text"), F.max("turn").alias("at"))
+    history = c.join(last.select("query_id", "at"), "query_id").where("turn < at").select("query_id", "turn", "role", F.col("text").alias("content"))
+    answers = c.where("role = 'assistant'").select("query_id", F.left("text", F.lit(20)).alias("answer"))
+    qrels = last.select("query_id", F.explode(F.array("query_id", F.col("query_id") + 7)).alias("doc_id")).where("doc_id % 5 > 0")
+    spans = qrels.where("doc_id % 3 > 0").select("query_id", "doc_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("start")).withColumn("end", F.col("doc_id") + F.col("start"))
+    return evaluation.samples(last.select("query_id", "text"), qrels, "conversations", spans, answers, history)

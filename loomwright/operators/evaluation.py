@@ -172,18 +172,33 @@ def of_documents(hits: DataFrame) -> DataFrame:
     return first.select("query_id", "doc_id", "f.score", F.row_number().over(W.partitionBy("query_id").orderBy("f.rank", "doc_id")).alias("rank"))
 
 
-def samples(queries: DataFrame, qrels: DataFrame, source: str) -> DataFrame:
+def samples(queries: DataFrame, qrels: DataFrame, source: str, spans: DataFrame | None = None, answers: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
     """(id, sample): a JSON line for each query(query_id, text) with the documents that qrels(query_id, doc_id) call relevant, by id.
 
-    A query without any has an empty list.
+    spans(query_id, doc_id, start, end) are listed with their document by place, answers(query_id, answer) by text, as
+    answers and as values, and history(query_id, turn, role, content) by turn. A query without any has an empty list.
     """
-    gold = qrels.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
     none = F.array().cast("array<string>")
-    ids = F.coalesce("ids", F.array().cast(gold.schema["ids"].dataType))
-    documents = F.transform(ids, lambda i: F.struct(i.cast("string").alias("document_id"), F.lit(1).alias("relevance"), none.alias("spans")))
-    answer = F.struct(documents.alias("documents"), none.alias("chunks"), none.alias("answers"), none.alias("values"), F.lit("answer").alias("behavior"))
-    whole = F.struct(F.col("query_id").cast("string").alias("id"), F.lit("retrieval").alias("task"), F.col("text").alias("query"), none.alias("history"), answer.alias("gold"), F.struct(F.lit(source).alias("source_dataset")).alias("metadata"))
-    return queries.join(gold, "query_id", "left").select(F.col("query_id").alias("id"), F.to_json(whole).alias("sample"))
+    docs = qrels.select("query_id", "doc_id").distinct()
+    if spans is not None:
+        docs = docs.join(spans.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), ["query_id", "doc_id"], "left")
+        docs = docs.withColumn("spans", F.coalesce("spans", F.array().cast(docs.schema["spans"].dataType)))
+    else:
+        docs = docs.withColumn("spans", none)
+    one = F.struct(F.col("doc_id").alias("at"), F.struct(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("relevance"), "spans").alias("d"))
+    x = queries.join(docs.groupBy("query_id").agg(F.sort_array(F.collect_list(one)).alias("ds")), "query_id", "left")
+    x = x.withColumn("documents", F.coalesce("ds.d", F.array().cast(x.select("ds.d").schema["d"].dataType)))
+    x = x.withColumn("answers", none).withColumn("history", none)
+    if answers is not None:
+        said = answers.groupBy("query_id").agg(F.sort_array(F.collect_set("answer")).alias("said"))
+        x = x.drop("answers").join(said, "query_id", "left").withColumn("answers", F.coalesce("said", none))
+    if history is not None:
+        turns = history.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.struct("role", "content").alias("m")))).alias("turns"))
+        x = x.drop("history").join(turns, "query_id", "left")
+        x = x.withColumn("history", F.coalesce("turns.m", F.array().cast(x.select("turns.m").schema["m"].dataType)))
+    answer = F.struct("documents", none.alias("chunks"), "answers", F.col("answers").alias("values"), F.lit("answer").alias("behavior"))
+    whole = F.struct(F.col("query_id").cast("string").alias("id"), F.lit("retrieval").alias("task"), F.col("text").alias("query"), "history", answer.alias("gold"), F.struct(F.lit(source).alias("source_dataset")).alias("metadata"))
+    return x.select(F.col("query_id").alias("id"), F.to_json(whole).alias("sample"))
 
 
 def agreement(was: DataFrame, now: DataFrame, tolerance: float) -> DataFrame:
