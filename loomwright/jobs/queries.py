@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_id
-from ..operators import catalog, chunking, context, evaluation, retrieval
+from ..operators import catalog, chunking, context, evaluation, files, retrieval
 from ..operators.tables import broadcast_if_small, written
 from ..sources.html import pages_text
 from ..streaming.latency import windowed
@@ -37,7 +37,14 @@ def html_pages(spark, sf_dir):
     return pages_text(t(spark, sf_dir, "pages"))
 
 
+def _terms(spark, sf_dir):
+    """The documents' term table, kept by the version of their files: the first search of a version writes it."""
+    docs = t(spark, sf_dir, "documents")
+    return retrieval.term_table(docs, files.version(docs))
+
+
 def _bm25(spark, sf_dir, variant="okapi", k=10, among=None, table=None):
+    table = _terms(spark, sf_dir) if table is None else table
     return retrieval.bm25(t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), k, variant, among, table)
 
 
@@ -69,7 +76,7 @@ u AS (SELECT query_id, doc_id, rank, 0 AS route FROM a UNION ALL SELECT query_id
 f AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score, min(route * 1000 + rank) AS first FROM u GROUP BY 1, 2)
 SELECT query_id, doc_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS rank FROM f) WHERE rank <= 10""")
 def rrf_fusion(spark, sf_dir):
-    table = retrieval.term_table(t(spark, sf_dir, "documents"))
+    table = _terms(spark, sf_dir)
     x = retrieval.rrf([_bm25(spark, sf_dir, v, 50, table=table) for v in ("okapi", "lucene")])
     return x.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 

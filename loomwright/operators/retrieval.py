@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
-from . import catalog
-from .tables import broadcast_if_small, spread, written
+from . import catalog, files
+from .tables import broadcast_if_small, folder, spread, written
 from .terms import Among, counted, idf, postings, query_terms, scored
 
 
@@ -24,9 +25,25 @@ def top(scored: DataFrame, k: int, key: str = "doc_id", score: str = "score") ->
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def term_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, dl, term, tf), written once: the terms of each text and its length in terms. A text without terms has one row, with a null term; a null text has none."""
-    return written(postings(counted(docs)), "terms")
+TERMS = "doc_id long, dl int, term string, tf int"
+
+
+def term_table(docs: DataFrame, version: str | None = None) -> DataFrame:
+    """(doc_id, dl, term, tf), written once: the terms of each text and its length in terms. A text without terms has one row, with a null term; a null text has none.
+
+    With a version, such as `files.version` gives of the index, the table is kept under it in the shared folder, and found
+    there by later searches of that version, whoever wrote it. A half-written one is never found: it is moved there whole.
+    """
+    if version is None:
+        return written(postings(counted(docs)), "terms")
+    spark = docs.sparkSession
+    at = f"{folder(spark)}/terms-of-{version}"
+    if not files.exists(spark, f"{at}/_SUCCESS"):
+        own = f"{at}-{uuid.uuid4().hex}"
+        postings(counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))).write.option("compression", "zstd").parquet(own)
+        if not files.move(spark, own, at):
+            files.remove(spark, own)
+    return spark.read.schema(TERMS).parquet(at)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, variant: str = "okapi", among: Among = None, table: DataFrame | None = None) -> DataFrame:

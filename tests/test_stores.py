@@ -220,3 +220,19 @@ def test_insert_ignore_stream_killed_amid_a_batch(spark, tmp_path, monkeypatch):
         crc.unlink()
     run()
     assert rows() == [(1, "a", 2), (3, None, 3), (5, "b", 6)]
+
+
+def test_terms_are_kept_by_version(spark, tmp_path):
+    from loomwright.operators import files
+
+    rows = [(1, "one two"), (2, "two"), (3, ""), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    read = lambda: spark.read.parquet(f"{tmp_path}/docs")
+    v = files.version(read())
+    told = lambda t: [tuple(r) for r in t.collect()]
+    first = retrieval.term_table(read(), v)
+    assert len(told(first)) == 4 and (3, 0, None, None) in [tuple(r) for r in first.collect()]
+    assert retrieval.term_table(read(), files.version(read())).inputFiles() == first.inputFiles()  # found, not written
+    spark.createDataFrame([(5, "three")], "doc_id long, text string").write.mode("append").parquet(f"{tmp_path}/docs")
+    assert files.version(read()) != v and len(told(retrieval.term_table(read(), files.version(read())))) == 5
+    assert files.version(spark.range(1)) != files.version(spark.range(1))  # no files, no version
