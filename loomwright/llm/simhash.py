@@ -21,8 +21,8 @@ BANDS = 5
 #: Near-duplicates that `keep_first` looks for: their shingles' similarity, the chance that a pair of just that similarity is
 #: in no common bucket, in how many of 64 bits it may differ, and of 128, and how many of a fingerprint's links in a bucket are looked at in the first round.
 SIMILARITY, MISSED, WIDE, WIDER, NEAREST = 0.8, 0.05, 16, 30, 2
-#: Larger buckets are cut into blocks of about this many fingerprints, and pairs of blocks are compared.
-BLOCK = 4096
+#: Larger buckets are cut into blocks of about this many fingerprints, and pairs of blocks are compared. Families of texts come with their shingles, in smaller blocks.
+BLOCK, FAMILY = 4096, 1024
 
 
 def majority(text: str, words: int, digest: Callable[[bytes, int], bytes], width: int = 64) -> np.ndarray:
@@ -177,10 +177,10 @@ def angle(similarity: float) -> float:
 
 
 def _links(radius: int, wider: int | None, nearest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links in sorted buckets: a spanning forest of them or, with `wider`, those of each fingerprint to its `nearest` ones by 128 bits, if within that many.
+    """Links in sorted buckets: a spanning forest of them or, with `nearest`, those of each fingerprint to so many others, the nearest by 128 bits.
 
-    Rows with `comp` are linked only to those of another one. A fingerprint that has more links than are given is also
-    linked to itself, as a mark. A link is left out only where both its ends have that mark.
+    With `wider`, links of more bits than that of all 128 don't count. A fingerprint that has more links than are given is
+    also linked to itself, as a mark. A link is left out only where both its ends have that mark.
     """
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,18 +194,17 @@ def _links(radius: int, wider: int | None, nearest: int) -> Callable[[Iterator[p
             take = np.repeat(big, np.diff(starts))
             fp = t["fp"].to_numpy()[take].view(np.uint64)
             a, b = sliced_links(fp, np.concatenate([[0], np.cumsum(size)]), radius)
-            if wider is None:
+            if wider is not None:
+                more = t["more"].to_numpy()[take].view(np.uint64)
+                apart = np.bitwise_count(fp[a] ^ fp[b]) + np.bitwise_count(more[a] ^ more[b])
+                near = apart <= wider
+                a, b, apart = a[near], b[near], apart[near]
+            if not nearest:
                 label = forest(len(fp), a, b)
                 a = np.flatnonzero(label != np.arange(len(fp)))
                 b = label[a]
             else:
-                more = t["more"].to_numpy()[take].view(np.uint64)
-                apart = np.bitwise_count(fp[a] ^ fp[b]) + np.bitwise_count(more[a] ^ more[b])
-                near = apart <= wider
-                if "comp" in t.column_names:
-                    comp = t["comp"].to_numpy()[take]
-                    near &= comp[a] != comp[b]
-                a, b, apart = np.concatenate([a[near], b[near]]), np.concatenate([b[near], a[near]]), np.tile(apart[near], 2)
+                a, b, apart = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(apart, 2)
                 order = np.lexsort((b, apart, a))
                 a, b = a[order], b[order]
                 first = np.arange(len(a)) - np.searchsorted(a, a) < nearest
@@ -220,20 +219,25 @@ def compared(fps: DataFrame, tables: list[int], radius: int, wider: int | None =
     """(a, b): links between different values of fp (written once) that agree on all bits of one of the tables' masks and differ in at most `radius`.
 
     With `wider`, fps has `more`, another 64 bits, and links that differ in more than that of all 128 bits fall out where
-    they are found; of the rest each fingerprint gives its `nearest` in a bucket, and a link to itself where it has others
-    besides; where fps has `comp`, only links to another comp count. Large buckets are cut into blocks, and pairs of blocks are compared, so that no task gets a whole one.
+    they are found. A bucket gives a spanning forest of its links or, with `nearest`, so many for each fingerprint, and a
+    link to itself where it has others besides. Large buckets are cut into blocks, and pairs of blocks are compared, so that no task gets a whole one.
     """
     signed = [m - (1 << 64) if m >> 63 else m for m in tables]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    own = [c for c in ("fp", "more", "comp") if c in fps.columns]
-    buckets = fps.select(*own, F.explode(keys).alias("bucket"))
-    hot = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = [c for c in ("fp", "more") if c in fps.columns]
+    blocks = in_blocks(fps.select(*own, F.explode(keys).alias("bucket")), own, BLOCK)
+    return blocks.mapInArrow(_links(radius, wider, nearest), "a long, b long")
+
+
+def in_blocks(buckets: DataFrame, own: list[str], size: int) -> DataFrame:
+    """(bucket, i, j, own..) sorted within tasks: buckets(bucket, fp, ..) of over `size` rows are cut into blocks by fp, and each two blocks i and j are put together."""
+    hot = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size).select("bucket", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
     )
     blocks = buckets.join(broadcast_if_small(materialise(hot, "hot")), "bucket", "left").select("bucket", *own, F.explode(pairs).alias("p")).select("bucket", "p.i", "p.j", *own)
-    return blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_links(radius, wider, nearest), "a long, b long")
+    return blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -266,12 +270,15 @@ def _shingles(text: str, words: int) -> np.ndarray:
     return np.unique(np.fromiter((h(g) for g in grams), np.uint32, len(grams)))
 
 
-def similar(pairs: DataFrame, docs: DataFrame, fps: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose texts have at least that Jaccard similarity of word shingles.
+def _alike(u: np.ndarray, v: np.ndarray, similarity: float) -> bool:
+    if min(len(u), len(v)) < similarity * max(len(u), len(v)):
+        return False
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return both >= similarity * (len(u) + len(v) - both)
 
-    One text stands for a fingerprint. Shingle sets are made only for fingerprints in pairs and travel as 32-bit hashes.
-    """
-    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+
+def shingle_sets(wanted: DataFrame, docs: DataFrame, fps: DataFrame, words: int) -> DataFrame:
+    """(fp, s) of wanted(fp): the shingles, as sorted 32-bit hashes, of one text that has the fingerprint."""
     texts = fps.join(wanted, "fp").groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("t")).select("fp", F.col("t.doc_id").alias("one_id"), F.col("t.h").alias("one_h"))
     texts = broadcast_if_small(materialise(texts, "texts"))
 
@@ -279,45 +286,79 @@ def similar(pairs: DataFrame, docs: DataFrame, fps: DataFrame, words: int, simil
     def sets(x: pa.Array) -> pa.Array:
         return pa.array([_shingles(t.as_py() or "", words).tobytes() for t in x], pa.binary())
 
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("one_id")) & (F.xxhash64("text") == F.col("one_h"))
+    have = docs.select("doc_id", "text").join(texts, own).groupBy("fp").agg(F.first("text").alias("text")).select("fp", sets("text").alias("s"))
+    return materialise(have, "shingles")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, fps: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose texts have at least that Jaccard similarity of word shingles; one text stands for a fingerprint."""
+
     @F.arrow_udf("boolean")
     def alike(x: pa.Array, y: pa.Array) -> pa.Array:
-        def one(p: bytes, q: bytes) -> bool:
-            u, v = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            return both >= similarity * (len(u) + len(v) - both)
+        return pa.array([_alike(np.frombuffer(p.as_py(), np.uint32), np.frombuffer(q.as_py(), np.uint32), similarity) for p, q in zip(x, y, strict=True)])
 
-        return pa.array([one(p.as_py(), q.as_py()) for p, q in zip(x, y, strict=True)])
-
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("one_id")) & (F.xxhash64("text") == F.col("one_h"))
-    have = docs.select("doc_id", "text").join(texts, own).groupBy("fp").agg(F.first("text").alias("text")).select("fp", sets("text").alias("s"))
-    have = materialise(have, "shingles")
+    have = shingle_sets(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), docs, fps, words)
     x = pairs.join(have.select(F.col("fp").alias("a"), F.col("s").alias("s_a")), "a").join(have.select(F.col("fp").alias("b"), F.col("s").alias("s_b")), "b")
     return x.where(alike("s_a", "s_b")).select("a", "b")
 
 
+def _verified(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A spanning forest of the links between texts of a family: all near pairs that aren't joined yet are compared by their shingles, nearest first, where they stand."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["bucket", "i", "j"], FAMILY):
+            starts = group_starts(t, ["bucket", "i", "j"])
+            fp, more = (t[c].to_numpy().view(np.uint64) for c in ("fp", "more"))
+            sets, comp = t["s"], t["comp"].to_numpy()
+            a, b = sliced_links(fp, starts, WIDE)
+            apart = np.bitwise_count(fp[a] ^ fp[b]) + np.bitwise_count(more[a] ^ more[b])
+            near = apart <= WIDER
+            a, b, apart = a[near], b[near], apart[near]
+            _, label = np.unique(comp, return_inverse=True)
+            up = list(range(int(label.max(initial=0)) + 1))
+
+            def root(x: int, up: list[int] = up) -> int:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            known: dict[int, np.ndarray] = {}
+            of = lambda i: known[i] if i in known else known.setdefault(i, np.frombuffer(sets[i].as_py(), np.uint32))  # noqa: B023, E731
+            out = []
+            for i in np.argsort(apart, kind="stable").tolist():
+                x, y = int(a[i]), int(b[i])
+                u, v = root(int(label[x])), root(int(label[y]))
+                if u != v and _alike(of(x), of(y), similarity):
+                    up[u] = v
+                    out.append((x, y))
+            x, y = np.array(out, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)), pa.array(fp[y].view(np.int64))], names=["a", "b"])
+
+    return links
+
+
 def near_components(kinds: DataFrame, docs: DataFrame, fps: DataFrame, tables: list[int], words: int, similarity: float) -> DataFrame:
     """(node, component) of the fingerprints whose texts are linked, by exact similarity of all that share a bucket and are near.
 
-    In a round each fingerprint gives a few of its nearest in each bucket, their texts are compared, and components are
-    made of all links so far. Those that had more go on to the next round, which looks only at links from one component
-    to another, and at four times as many: near copies are joined by few links, and none that matters is left out.
+    Each fingerprint first gives its NEAREST in each bucket, and their texts are compared. Those that had more are put into
+    families, by a spanning forest of all near ones; members of a family meet in blocks, with their shingles, and those
+    near ones that are not joined yet are compared there. So every near pair is looked at, and only few links leave a task, however large a family.
     """
-    todo, nearest, links, seen = kinds, NEAREST, None, None
-    while True:
-        found = compared(todo, tables, WIDE, WIDER, nearest)
-        found = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        pairs = found.where("a <> b")
-        new = pairs if seen is None else materialise(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        good = materialise(similar(new, docs, fps, words, similarity), "links")
-        links = good if links is None else materialise(links.unionByName(good), "links")
-        seen = pairs if seen is None else materialise(seen.unionByName(new), "seen")
-        named = materialise(components(links), "components")
-        more = materialise(found.where("a = b").select(F.col("a").alias("fp")), "more")
-        if not more.count():
-            return named
-        own = named.select(F.col("node").alias("fp"), F.col("component").alias("comp"))
-        todo = kinds.join(broadcast_if_small(more), "fp", "left_semi").join(broadcast_if_small(own), "fp", "left")
-        todo, nearest = materialise(todo.select("fp", "more", F.coalesce("comp", "fp").alias("comp")), "todo"), 4 * nearest
+    found = compared(kinds, tables, WIDE, WIDER, NEAREST)
+    found = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = materialise(similar(found.where("a <> b"), docs, fps, words, similarity), "links")
+    named = materialise(components(links), "components")
+    more = materialise(found.where("a = b").select(F.col("a").alias("fp")), "more")
+    if not more.count():
+        return named
+    todo = materialise(kinds.join(broadcast_if_small(more), "fp", "left_semi"), "todo")
+    families = materialise(components(compared(todo, tables, WIDE, WIDER)), "families").select(F.col("node").alias("fp"), F.col("component").alias("bucket"))
+    own = named.select(F.col("node").alias("fp"), F.col("component").alias("comp"))
+    members = todo.join(broadcast_if_small(families), "fp").join(broadcast_if_small(own), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    members = materialise(members.join(shingle_sets(more, docs, fps, words), "fp").select("bucket", "fp", "more", "comp", "s"), "members")
+    good = in_blocks(members, ["fp", "more", "comp", "s"], FAMILY).mapInArrow(_verified(similarity), "a long, b long")
+    return materialise(components(materialise(links.unionByName(good), "links")), "components")
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
