@@ -24,23 +24,23 @@ Model = Callable[[list[str]], np.ndarray]
 def hashed(df: DataFrame, text: str = "text", out: str = "embedding", dim: int = DIM) -> DataFrame:
     """df with `out`: its text's terms, each hashed to one of dim places and a sign, summed and made one long. Null without terms.
 
-    A place is the top bits of a term's MD5, the sign its next. Codes are sorted within the row and their runs counted, so
-    nothing leaves the row. Each step is a column of its own, as lambdas would work out an inner expression again; the sums
-    come through an explode of one row, which no filter on the vectors is pushed beneath.
+    A place is the top bits of a term's MD5, the sign its next. Codes are sorted within the row, together with one of each
+    code there is, so that the ends of their runs are the counts by code: nothing leaves the row, and nothing is searched.
+    Each step is a column of its own, as lambdas would work out an inner expression again; the sums come through an explode
+    of one row, which no filter on the vectors is pushed beneath.
     """
-    code = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % (2 * dim)
-    x = df.withColumn("_codes", F.sort_array(F.transform(terms(F.col(text)), code)))
+    code = lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % (2 * dim)).cast("int")
+    x = df.withColumn("_terms", terms(F.col(text)))
+    x = x.withColumn("_codes", F.when(F.size("_terms") > 0, F.sort_array(F.concat(F.transform("_terms", code), F.sequence(F.lit(0), F.lit(2 * dim - 1))))))
     n, at = F.size("_codes"), lambda i: F.element_at("_codes", i.cast("int"))
-    last = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (at(i) != at(F.least(i + 1, n))))
-    x = x.withColumn("_last", F.when(n > 0, last))
-    runs = F.transform("_last", lambda e, i: e - F.when(i == 0, 0).otherwise(F.element_at("_last", F.greatest(i, F.lit(1)))))
-    x = x.withColumn("_runs", F.map_from_arrays(F.transform("_last", at), runs))
-    of = lambda c: F.coalesce(F.try_element_at("_runs", c.cast("bigint")), F.lit(0))
-    sums = F.when(F.col("_runs").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: (of(2 * b + 1) - of(2 * b)).cast("double")))
+    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (at(i) != at(F.least(i + 1, n))))
+    x = x.withColumn("_ends", F.when(F.col("_codes").isNotNull(), F.concat(F.array(F.lit(0)), ends)))
+    end = lambda i: F.element_at("_ends", i.cast("int"))  # noqa: E731  of the runs before, for i from 1
+    sums = F.when(F.col("_ends").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: (end(2 * b + 3) - 2 * end(2 * b + 2) + end(2 * b + 1)).cast("double")))
     x = x.select("*", F.explode(F.array(F.struct(sums.alias("s")))).alias("_x")).withColumn("_sums", F.col("_x.s"))
     long = F.sqrt(F.aggregate("_sums", F.lit(0.0), lambda s, v: s + v * v))
     x = x.withColumn("_long", F.nullif(long, F.lit(0.0)))
-    return x.withColumn(out, F.when(F.col("_long").isNotNull(), F.transform("_sums", lambda v: v / F.col("_long")))).drop("_codes", "_last", "_runs", "_x", "_sums", "_long")
+    return x.withColumn(out, F.when(F.col("_long").isNotNull(), F.transform("_sums", lambda v: v / F.col("_long")))).drop("_terms", "_codes", "_ends", "_x", "_sums", "_long")
 
 
 class HashingModel:
