@@ -147,8 +147,9 @@ def streamed_percentiles(spark, sf_dir):
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY event_id) AS n FROM events) WHERE n = 1""")
 def streamed_audit(spark, sf_dir):
     """Audit rows from a stream that stops and goes on, each kind of request once."""
-    rows = lambda s: sinks.audit_rows(s.select("event_id", F.lit(None).cast("string").alias("tenant_id"), F.col("user_id").cast("string").alias("actor_user_id"), F.col("event_type").alias("action"), F.repeat("props", 40).alias("resource"), F.lit("").alias("result"), F.lit(None).cast("string").alias("ip"), F.repeat("props", 200).alias("detail")))
+    rows = lambda s: sinks.audit_rows(s.withColumns({"tenant_id": F.lit(None).cast("string"), "actor_user_id": F.col("user_id").cast("string"), "action": F.col("event_type"), "resource": F.repeat("props", 40), "result": F.lit(""), "ip": F.lit(None).cast("string"), "detail": F.repeat("props", 200)}))
     keys = ["actor_user_id", "action", "detail"]
-    at = _arriving(spark, sf_dir, ["event_id", "user_id", "event_type", "props"], lambda s, at: sinks.insert_ignore(rows(s), f"{at}/out", keys, ["event_id"], f"{at}/progress"))
     names = ["tenant_id", "actor_user_id", "action", "resource", "result", "ip", "detail"]
+    sink = lambda s, at: sinks.insert_ignore(s, f"{at}/out", keys, ["event_id"], f"{at}/progress", made=rows, columns=["event_id", *names])
+    at = _arriving(spark, sf_dir, ["event_id", "user_id", "event_type", "props"], sink)
     return sinks.table(spark, f"{at}/out", T.StructType([T.StructField("event_id", T.LongType()), *[T.StructField(n, T.StringType()) for n in names]]))

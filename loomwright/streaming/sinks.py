@@ -28,25 +28,35 @@ def replayed(stream: DataFrame, path: str, checkpoint: str, change: Callable[[Da
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def insert_ignore(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str, buckets: int = BUCKETS) -> None:
+def insert_ignore(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str, buckets: int = BUCKETS, made: Callable[[DataFrame], DataFrame] | None = None, columns: list[str] | None = None) -> None:
     """Appends the rows of a stream whose keys (nulls equal) the table at path lacks: the first by `order` of a batch, and earlier batches before later ones.
 
     Rows lie by micro-batch and a bucket of their keys, and a batch meets only those of lower numbers, by bucket and key:
-    as it is replayed it sees what it saw before, and its own folder is written again.
+    as it is replayed it sees what it saw before, and its own folder is written again. `made` adds the table's `columns`
+    to the stream's rows, one by one, and leaves other columns be: wide columns are then made when rows are written, and what is
+    grouped, joined and dealt out are the stream's rows and the SHA-256 of text keys. Rows of the table are never
+    broadcast: their files tell little of their size, as repeated text is small there.
     """
-    own = lambda df: F.pmod(F.xxhash64(*[df[k] for k in keys]), F.lit(buckets)).cast("int")
-    schema = T.StructType([*stream.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
+    made = made or (lambda df: df)
+    columns = columns or made(stream).columns
+    own = lambda df: F.pmod(F.xxhash64(*[df[k] for k in keys]), F.lit(buckets)).cast("int").alias("bucket")
+    schema = T.StructType([*made(stream).select(*columns).schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
+    text = {k for k in keys if isinstance(schema[k].dataType, T.StringType)}
+    lean = [(F.unhex(F.sha2(F.col(k), 256)) if k in text else F.col(k)).alias(f"_key_{k}") for k in keys]
+    leans = [f"_key_{k}" for k in keys]
 
     def put(batch: DataFrame, n: int) -> None:
-        first = batch.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.min_by(F.struct(*batch.columns), F.struct(*order)).alias("_row")).select("_row.*")
-        new = first.withColumn("bucket", own(first))
+        x = made(batch.withColumn("_was", F.struct(*batch.columns)))
+        x = x.select(*lean, own(x), "_was", F.struct(*order).alias("_at"))
+        new = x.groupBy(*leans, "bucket").agg(F.min_by("_was", "_at").alias("_was"))
         if n and files.names(batch.sparkSession, path):
             new = written(new, "new")
-            have = batch.sparkSession.read.schema(schema).parquet(path).where(F.col("batch") < n).select(*keys, "bucket")
+            have = batch.sparkSession.read.schema(schema).parquet(path).where(F.col("batch") < n)
             at = broadcast_if_small(new.select("bucket").distinct())
-            have = have.join(at, "bucket", "left_semi")
-            new = new.join(have, _same(new, have, keys), "left_anti")
-        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={n}")
+            have = have.join(at, "bucket", "left_semi").select(*lean, "bucket").hint("merge")
+            new = new.join(have, _same(new, have, ["bucket", *leans]), "left_anti")
+        out = made(new.select("bucket", "_was").repartition("bucket").select("_was.*", "bucket")).select(*columns, "bucket")
+        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={n}")
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -222,6 +222,23 @@ def test_insert_ignore_stream_killed_amid_a_batch(spark, tmp_path, monkeypatch):
     assert rows() == [(1, "a", 2), (3, None, 3), (5, "b", 6)]
 
 
+def test_insert_ignore_broadcasts_no_rows_of_the_table(spark, tmp_path):
+    at, wide = str(tmp_path), F.repeat(F.col("p"), 1000)
+    put = lambda ids: ids.select("id", F.concat(F.lit("p"), F.col("id") % 7).alias("p"), (F.col("id") % 3000).alias("u")).write.mode("append").parquet(f"{at}/in")
+    make = lambda df: df.withColumn("detail", wide)
+    run = lambda: sinks.insert_ignore(spark.readStream.schema("id long, p string, u long").parquet(f"{at}/in"), f"{at}/out", ["u", "detail"], ["id"], f"{at}/progress", buckets=2, made=make, columns=["id", "u", "detail"])
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "4m")  # the files are small, the rows are not
+    try:
+        put(spark.range(4000))
+        run()
+        put(spark.range(4000, 30000))
+        run()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    got = sinks.table(spark, f"{at}/out", spark.createDataFrame([], "id long, u long, detail string").schema).collect()
+    assert {(r.id, r.u, r.detail) for r in got} == {(i, i % 3000, f"p{i % 7}" * 1000) for i in range(21000)} and len(got) == 21000
+
+
 def test_terms_are_kept_by_version(spark, tmp_path):
     from loomwright.operators import files
 
