@@ -6,13 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Unicode's White_Space, and what counts as blank at the ends of texts: these and the separators from 1C to 1F.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK = WHITE + "\x1c\x1d\x1e\x1f"
+#: The same as a class of a pattern, without line feeds.
+_SPACE = r"\t\x0b-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 def clean(c: Column) -> Column:
-    """No-break spaces and CR normalised, runs of blanks made one, at most one empty line, ends stripped."""
-    c = F.regexp_replace(c, "\\x{00A0}", " ")
-    c = F.regexp_replace(c, "\\r\\n?", "\n")
-    c = F.regexp_replace(c, "[ \\t]+", " ")
-    c = F.regexp_replace(c, "\\n{3,}", "\n\n")
-    return F.regexp_replace(c, "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
+    """No-break spaces and CR normalised, runs of blanks made one, at most one empty line, ends stripped. Patterns match only what changes."""
+    for old, new in (("\u00a0", " "), ("\r\n", "\n"), ("\r", "\n"), ("\t", " ")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return strip(F.regexp_replace(F.regexp_replace(c, " {2,}", " "), "\\n{3,}", "\n\n"))
 
 
 def stable_id(c: Column) -> Column:
@@ -47,29 +52,39 @@ def query_variants(original: Column, reply: Column, most: int) -> Column:
     return F.slice(F.array_distinct(F.concat(F.array(original), F.filter(lines, lambda x: x != ""))), 1, most)
 
 
-#: Fixed pattern: a run up to and with its end marks, or what is left at the end.
-SENTENCE = r"[^。！？；\n.!?]*[。！？；\n.!?]+|[^。！？；\n.!?]+$"
+_MARK = r"。！？；\n.!?"
+#: Fixed pattern: a run up to and with its end marks, or what is left at the end, unless it is blank. Where a blank one
+#: begins nothing is found, nor at its other characters, so that the next match is the next sentence.
+SENTENCE = rf"(?<![{_SPACE}])(?!(?<=\n)\n)(?=[{_SPACE}]*+(?:[^{_SPACE}\n]|\n++[。！？；.!?]))(?:[^{_MARK}]*+[{_MARK}]++|[^{_MARK}]++)"
+#: The blank ones.
+_BLANK_SENTENCE = rf"(?<=[{_MARK}])[{_SPACE}]++(?:\n++(?![{_MARK}])|\z)|\A[{_SPACE}]*+(?:\n++(?![{_MARK}])|\z)"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
+    return F.trim(c, F.lit(BLANK))
 
 
 def sentences(c: Column) -> Column:
     """Sentences with their end marks, without blank ones; a text without any is its own only one."""
-    found = F.filter(F.regexp_extract_all(c, F.lit(SENTENCE), F.lit(0)), lambda x: strip(x) != "")
-    return F.when(F.size(found) > 0, found).otherwise(F.array(c))
+    found = F.regexp_extract_all(c, F.lit(SENTENCE), F.lit(0))
+    return F.when(c.rlike(rf"[^{_SPACE}\n]"), found).otherwise(F.array(c))
 
 
 def compressed(c: Column, cap: Column) -> Column:
-    """A text within `cap` code points as it is; else the sentences from its head that fit, at least the head of the first."""
-    fits = F.aggregate(
-        sentences(c), F.struct(F.lit("").alias("text"), F.lit(False).alias("full")),
-        lambda a, s: F.when(a["full"] | (F.length(a["text"]) + F.length(s) > cap), F.struct(a["text"].alias("text"), F.lit(True).alias("full"))).otherwise(F.struct(F.concat(a["text"], s).alias("text"), F.lit(False).alias("full"))),
-        lambda a: a["text"],
-    )
-    head = F.substring(sentences(c)[0], F.lit(1), F.greatest(cap, F.lit(0)).cast("int"))
-    return F.when(F.length(c) <= cap, c).when(F.length(sentences(c)[0]) > cap, head).otherwise(fits)
+    """A text within `cap` code points as it is; else the sentences from its head that fit, at least the head of the first.
+
+    What fits is the text without blank sentences up to the last place within `cap` where a sentence ends. Only cap + 1 code
+    points are looked at, unless a blank sentence begins there.
+    """
+    cap = F.greatest(cap, F.lit(0)).cast("int")
+    head = F.substring(c, F.lit(1), cap + 1)
+    told = F.when(head.rlike(_BLANK_SENTENCE), F.substring(F.regexp_replace(c, _BLANK_SENTENCE, ""), F.lit(1), cap + 1)).otherwise(head)
+
+    def cut(x: Column) -> Column:
+        ends = F.regexp_extract(x, rf"(?s)\A(.*[{_MARK}])[^{_MARK}]", 1)
+        return F.when(x == "", F.substring(c, F.lit(1), cap)).when(F.length(x) <= cap, x).otherwise(F.coalesce(F.nullif(ends, F.lit("")), F.substring(x, F.lit(1), cap)))
+
+    return F.when(F.length(c) <= cap, c).otherwise(F.transform(F.array(told), cut)[0])  # told is worked out once
 
 
 def json_items(reply: Column, schema: str) -> Column:

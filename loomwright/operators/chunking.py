@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, stable_id
+from ..functions.text import WHITE, clean, stable_id
 from .tables import spread
 
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", "，")
@@ -24,10 +24,10 @@ def fixed_chunks(docs: DataFrame, size: int = 800, overlap: int = 120) -> DataFr
     if not 0 <= overlap < size:
         raise ValueError("overlap must be from 0 to size - 1")
     step = size - overlap
-    at = F.posexplode(F.sequence(F.lit(0), F.length("content") - 1, F.lit(step))).alias("chunk_index", "start_offset")
+    at = F.posexplode_outer(F.sequence(F.lit(0), F.length("content") - 1, F.lit(step))).alias("chunk_index", "start_offset")  # outer: else Spark infers a filter that cleans each text once more
     raw = F.substring(F.col("content"), F.col("start_offset") + 1, F.lit(size))
     x = cleaned(docs).select("doc_id", "content", at).select("doc_id", "chunk_index", "start_offset", (F.col("start_offset") + size).alias("end_offset"), raw.alias("raw")).where(F.col("raw").rlike("(?U)\\S"))
-    x = x.select("doc_id", "chunk_index", "start_offset", "end_offset", F.regexp_replace("raw", "(?U)^\\s+|\\s+$", "").alias("content"))
+    x = x.select("doc_id", "chunk_index", "start_offset", "end_offset", F.trim("raw", F.lit(WHITE)).alias("content"))
     return named(x)
 
 

@@ -166,3 +166,50 @@ def test_benchmark_tables(spark, tmp_path):
     assert sorted(tuple(r) for r in inverted(got["qrels"], "qid", -1).collect()) == [("7", ["1", "2"], 2), ("8", ["1"], 1)]
     with pytest.raises(ValueError, match="queries has no id, text"):
         read_benchmark(spark, str(tmp_path), {"queries": "qrels.parquet"})
+
+
+def test_sentences_and_what_fits_are_those_of_a_plain_fold(spark):
+    import random
+    import re
+
+    from loomwright.functions.text import clean, compressed, sentences, strip
+
+    random.seed(5)
+    marks, blank = "。！？；\n.!?", [chr(i) for i in range(0x11000) if re.match(r"\s", chr(i))]
+    texts = ["", " ", "\n \n", "a", " \n \n ", "\n\nFoo. \n  \nBar", "Ab.   \nA.b.c", ".\n\n x", "x \n. y", "。。a", *blank, "a" + "".join(blank), "".join(blank) + "a"]
+    texts += ["".join(random.choice(["a", "é", "中", "😀", " ", "  ", "\n", "\n", ".", "!", "。", "　", "\t", "\x1c", "\r\n", "\xa0"]) for _ in range(random.randint(1, 40))) for _ in range(3000)]
+
+    def plain(t):
+        return [s for s in re.findall(rf"[^{marks}]*[{marks}]+|[^{marks}]+$", t) if s.strip()] or [t]
+
+    def fits(t, cap):
+        if len(t) <= cap:
+            return t
+        parts, out = plain(t), ""
+        for s in parts:
+            if len(out) + len(s) > cap:
+                break
+            out += s
+        return parts[0][: max(cap, 0)] if len(parts[0]) > cap else out
+
+    def tidy(t):
+        for a, b in (("\xa0", " "), ("\r\n?", "\n"), ("[ \t]+", " "), ("\n{3,}", "\n\n")):
+            t = re.sub(a, b, t)
+        return t.strip()
+
+    df = spark.createDataFrame([(i, t, i % 17 - 1) for i, t in enumerate(texts)], "i int, t string, cap int").repartition(8)
+    got = df.select("t", "cap", sentences(F.col("t")).alias("s"), compressed(F.col("t"), F.col("cap")).alias("c"), strip(F.col("t")).alias("x"), clean(F.col("t")).alias("k")).collect()
+    bad = [(r.t, r.cap, r.s, r.c) for r in got if (r.s, r.c, r.x, r.k) != (plain(r.t), fits(r.t, r.cap), r.t.strip(), tidy(r.t))]
+    assert len(got) == len(texts) and not bad, (len(bad), bad[:5])
+
+
+def test_long_texts_are_compressed_by_their_heads(spark):
+    import time
+
+    from loomwright.functions.text import compressed, sentences
+
+    df = spark.createDataFrame([("A b. " * 40_000 + " " * 60_000 + "\n",)] * 8, "t string").repartition(8)
+    began = time.time()
+    assert {r.c for r in df.select(compressed(F.col("t"), F.lit(300)).alias("c")).collect()} == {("A b. " * 60)[:-1]}
+    assert {r.n for r in df.select(F.size(sentences(F.col("t"))).alias("n")).collect()} == {40_000}
+    assert time.time() - began < 30
