@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import terms
 from . import catalog, files
 from .tables import broadcast_if_small, folder, spread, written
-from .terms import Among, counted, idf, postings, query_terms, scored
+from .terms import Among, best, counted, idf, postings, query_terms, scored
 
 
 def top(scored: DataFrame, k: int, key: str = "doc_id", score: str = "score") -> DataFrame:
@@ -25,48 +25,56 @@ def top(scored: DataFrame, k: int, key: str = "doc_id", score: str = "score") ->
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-TERMS = "doc_id long, dl int, term string, tf int"
+COUNTS = "doc_id long, dl int, counts array<struct<term:string,tf:int>>"
 
 
 def term_table(docs: DataFrame, version: str | None = None) -> DataFrame:
-    """(doc_id, dl, term, tf), written once: the terms of each text and its length in terms. A text without terms has one row, with a null term; a null text has none.
+    """(doc_id, dl, term, tf), written once: the terms of each text and its length in terms. A text without terms has one row, with a null term; a null text has none."""
+    return postings(count_table(docs, version))
+
+
+def count_table(docs: DataFrame, version: str | None = None) -> DataFrame:
+    """(doc_id, dl, counts) of `terms.counted`, written once: a row for each text, with its terms and how often each stands there.
 
     With a version, such as `files.version` gives of the index, the table is kept under it in the shared folder, and found
     there by later searches of that version, whoever wrote it. A half-written one is never found: it is moved there whole.
     """
     if version is None:
-        return written(postings(counted(docs)), "terms")
+        return written(counted(docs), "terms")
     spark = docs.sparkSession
-    at = f"{folder(spark)}/terms-of-{version}"
+    at = f"{folder(spark)}/counts-of-{version}"
     if not files.exists(spark, f"{at}/_SUCCESS"):
         own = f"{at}-{uuid.uuid4().hex}"
-        postings(counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))).write.option("compression", "zstd").parquet(own)
+        counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).write.option("compression", "zstd").parquet(own)
         if not files.move(spark, own, at):
             files.remove(spark, own)
-    return spark.read.schema(TERMS).parquet(at)
+    return spark.read.schema(COUNTS).parquet(at)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, variant: str = "okapi", among: Among = None, table: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): Okapi (idf floored at a quarter of the mean) or Lucene weighting.
 
-    Weights come from the term table of all documents, which several searches may share; only terms of queries are
-    joined and shuffled further, and the queries' side is broadcast if it is small, so that a common term is no hot key.
+    Weights come from the count table of all documents, which several searches may share. Scores are summed within a
+    document's row, and each task keeps k documents of each query, unless the queries' terms are too many to send to all tasks: then only
+    terms of queries are joined and shuffled, so that a common term is no hot key.
     `among` restricts hits, not the statistics: doc_ids for all queries, (query_id, doc_id) for each, or a function that
     keeps the rows of (query_id, doc_id, score) that may be seen, before the cut. Repeated query
     terms count each; hits at or under 0 go after the cut. `terms.TermStore` keeps the table between searches.
     """
-    table = term_table(docs) if table is None else table
+    table = count_table(docs) if table is None else table
     n = docs.count()
-    # each text counts once: by its rows' share of its length
-    told, total = table.agg(F.sum(F.when(F.col("dl") == 0, 1.0).otherwise(F.col("tf") / F.col("dl"))), F.sum(F.when(F.col("dl") > 0, F.col("tf")))).first()
-    known = table.where("term is not null")
-    mean = 0.0
-    if variant == "okapi":
-        mean = known.groupBy("term").agg(F.count(F.lit(1)).alias("df")).agg(F.avg(idf(F.col("df"), n, variant))).first()[0] or 0.0
-    q = query_terms(queries)
-    tf = known.join(broadcast_if_small(q.select("term").distinct()), "term", "left_semi")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return top(scored(q, tf, df, n, float(total or 0) / round(told) if total else 1.0, float(mean), variant, among), k).where("score > 0")
+    told, total = table.agg(F.count(F.lit(1)), F.sum("dl")).first()
+    known = postings(table).where("term is not null")
+    every = written(known.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    mean = (every.agg(F.avg(idf(F.col("df"), n, variant))).first()[0] or 0.0) if variant == "okapi" else 0.0
+    q = written(query_terms(queries), "query-terms")
+    some = broadcast_if_small(q.select("term").distinct())
+    df, avgdl = every.join(some, "term", "left_semi"), float(total) / told if total else 1.0
+    if among is None or isinstance(among, DataFrame) and "query_id" not in among.columns:
+        whole = table if among is None else table.join(among.select("doc_id").distinct(), "doc_id", "left_semi")
+        if (found := best(whole, q, df, n, avgdl, float(mean), variant, k)) is not None:
+            return top(found, k)
+    return top(scored(q, known.join(some, "term", "left_semi"), df, n, avgdl, float(mean), variant, among), k).where("score > 0")
 
 
 _SCORED = "query_id long, vec_id long, score double"

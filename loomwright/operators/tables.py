@@ -39,8 +39,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """df for broadcast if the bytes of its values are few; beyond that Spark joins by shuffle. df is read twice, so it should be a small or a written table."""
+def is_small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the bytes of its values are few. df should be a small or a written table, as it is read for this."""
 
     def width(f: T.StructField) -> Column:
         c = F.col(f"`{f.name}`")
@@ -50,5 +50,9 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
             return 2 * F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
         return F.lit(16)
 
-    size = df.agg(F.sum(reduce(Column.__add__, map(width, df.schema.fields)).cast("long"))).first()[0] or 0
-    return F.broadcast(df) if size <= most else df
+    return (df.agg(F.sum(reduce(Column.__add__, map(width, df.schema.fields)).cast("long"))).first()[0] or 0) <= most
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df for broadcast if the bytes of its values are few; beyond that Spark joins by shuffle. df is read twice, so it should be a small or a written table."""
+    return F.broadcast(df) if is_small(df, most) else df

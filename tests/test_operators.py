@@ -195,3 +195,18 @@ def test_messages_and_objects(spark):
 def test_upsert_takes_the_last(spark):
     new, old = spark.createDataFrame([(1, "n", 1), (1, "m", 2), (2, "z", 1)], "k int, v string, at int"), spark.createDataFrame([(1, "o", 0), (3, "p", 0)], "k int, v string, at int")
     assert sorted(tuple(r) for r in catalog.upsert(new, old, ["k"], ["at"]).collect()) == [(1, "m", 2), (2, "z", 1), (3, "p", 0)]
+
+
+def test_best_of_tasks_are_those_of_all_pairs(spark, monkeypatch):
+    from loomwright.operators import terms
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 13}" for j in range(1, i % 9 + 2)) if i % 17 else "") for i in range(400)] + [(1000 + i, "w1 w2 w2") for i in range(60)] + [(2000, None)], "doc_id long, text string").repartition(7)
+    q = spark.createDataFrame([(i, " ".join(f"w{(i + j) % 15}" for j in range(i % 5))) for i in range(40)], "query_id long, text string")
+    few = docs.where("doc_id % 3 = 0")
+    rows = lambda x: sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in x.collect())
+    monkeypatch.setattr(terms, "HELD", 1000)  # slices of a few documents
+    for variant in ("okapi", "lucene"):
+        one, two = (rows(retrieval.bm25(docs, q, 7, variant, a)) for a in (None, few))
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "best", lambda *a: None)
+            assert one == rows(retrieval.bm25(docs, q, 7, variant)) and two == rows(retrieval.bm25(docs, q, 7, variant, few)) and one != two != []
