@@ -51,6 +51,31 @@ def reconcile(truth: DataFrame, store: DataFrame, key: str) -> DataFrame:
     return x.agg(F.count(F.when(F.col("t").isNotNull() & F.col("s").isNotNull(), 1)).alias("both"), F.count(F.when(F.col("s").isNull(), 1)).alias("missing"), F.count(F.when(F.col("t").isNull(), 1)).alias("orphan"))
 
 
+#: Users of one set of roles that meet documents at a time, and documents that they meet, about.
+CELL = 512
+#: Rows that a task lists, about.
+LISTED = 1 << 19
+
+
+def _listed(reach: DataFrame, users: DataFrame) -> DataFrame:
+    """(tenant, user_id, doc_id) of reach(tenant, roles, doc_id) and users(tenant, roles, user_id), both without repeats.
+
+    Documents and users of the same roles meet in cells of about CELL each, dealt to as many tasks as there are LISTED rows
+    to come: however many hold a role, a task lists few rows, holds a few cells, and none of the rows is shuffled.
+    """
+    at = ["tenant", "roles"]
+    sizes = reach.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).join(users.groupBy(*at).agg(F.count(F.lit(1)).alias("m")), at)
+    sizes = written(sizes.select(*at, (F.col("n") * F.col("m")).alias("rows"), F.ceil(F.col("n") / CELL).alias("parts"), F.ceil(F.col("m") / CELL).alias("blocks")), "sizes")
+    n = (sizes.agg(F.sum("rows")).first()[0] or 0) // LISTED + 1
+    each, cell = broadcast_if_small(sizes.drop("rows")), [*at, "block", "part"]
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    deal = lambda key, c: F.pmod(F.xxhash64(key), F.col(c))
+    docs = reach.join(each, at).select(*at, deal("doc_id", "parts").alias("part"), every("blocks").alias("block"), "doc_id")
+    held = users.join(each, at).groupBy(*at, deal("user_id", "blocks").alias("block"), "parts").agg(F.collect_list("user_id").alias("_users"))
+    held = held.select(*at, "block", every("parts").alias("part"), "_users")
+    return docs.repartition(n, *cell).join(held.repartition(n, *cell), cell).select("tenant", F.explode("_users").alias("user_id"), "doc_id")
+
+
 def readable(docs: DataFrame, users: DataFrame, grants: DataFrame, permission: str = "read") -> DataFrame:
     """(tenant, user_id, doc_id): what users may read in their tenant.
 
@@ -58,18 +83,29 @@ def readable(docs: DataFrame, users: DataFrame, grants: DataFrame, permission: s
     permission). A user reads own documents and those that a grant of that permission gives to the user or to a role of
     theirs. Documents without an owner are open to all of their tenant: one row each, with a null user_id, rather than
     one for each user. A superadmin has one row with a null doc_id: no filter. Each way is an equi-join.
+
+    What roles let read is by far the most. It is listed by users' whole sets of roles, each document once for a set, so
+    that it has no repeats; own and granted documents that a role gives as well are taken out before. Repeats are looked
+    for among the rest alone.
     """
     d = docs.select("doc_id", "tenant", "owner")
-    who = users.where("not superadmin").select("user_id", "tenant", "role").distinct()
-    known = who.select("user_id", "tenant").distinct()
-    names = ["tenant", "user_id", "doc_id"]
-    g = grants.where(F.col("permission") == permission).select("doc_id", "principal_type", "principal_id").distinct().join(d.select("doc_id", "tenant"), "doc_id")
-    own = d.withColumnRenamed("owner", "user_id").join(known, ["user_id", "tenant"], "left_semi").select(*names)
-    by_user = g.where("principal_type = 'user'").withColumnRenamed("principal_id", "user_id").join(known, ["user_id", "tenant"], "left_semi").select(*names)
-    by_role = g.where("principal_type = 'role'").withColumnRenamed("principal_id", "role").join(who, ["role", "tenant"]).select(*names)
-    everyone = d.where("owner is null").select("tenant", F.lit(None).cast(users.schema["user_id"].dataType).alias("user_id"), "doc_id")
-    admins = users.where("superadmin").select("tenant", "user_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"))
-    return own.unionByName(by_user).unionByName(by_role).unionByName(everyone).unionByName(admins).distinct()
+    who = written(users.where("not superadmin").groupBy("tenant", "user_id").agg(F.sort_array(F.collect_set("role")).alias("roles")), "who")
+    sets = written(who.where("tenant is not null and size(roles) > 0").select("tenant", "roles").distinct(), "role-sets")
+    names, at = ["tenant", "user_id", "doc_id"], ["tenant", "roles"]
+    g = grants.where(F.col("permission") == permission).select("doc_id", "principal_type", "principal_id")
+    to_role = g.where("principal_type = 'role'").select("doc_id", F.col("principal_id").alias("role"))
+    sets = sets.select(*at, F.explode("roles").alias("role"))
+    to_role = to_role.join(broadcast_if_small(sets.select("role").distinct()), "role", "left_semi").join(d.select("doc_id", "tenant"), "doc_id")
+    reach = written(to_role.join(broadcast_if_small(sets), ["role", "tenant"]).select(*at, "doc_id").distinct(), "reach")
+    own = d.withColumnRenamed("owner", "user_id").join(who, ["user_id", "tenant"]).select(*names, "roles")
+    by_user = g.where("principal_type = 'user'").withColumnRenamed("principal_id", "user_id").join(d.select("doc_id", "tenant"), "doc_id").join(who, ["user_id", "tenant"]).select(*names, "roles")
+    direct = own.unionByName(by_user).join(reach, [*at, "doc_id"], "left_anti").select(*names)
+    none = lambda of, c: F.lit(None).cast(of.schema[c].dataType).alias(c)
+    nameless = reach.join(who.where("user_id is null").select(*at), at).select("tenant", none(users, "user_id"), "doc_id")
+    everyone = d.where("owner is null").select("tenant", none(users, "user_id"), "doc_id")
+    admins = users.where("superadmin").select("tenant", "user_id", none(docs, "doc_id"))
+    few = direct.unionByName(nameless).unionByName(everyone).unionByName(admins).distinct()
+    return few.unionByName(_listed(reach, who.where("user_id is not null")))
 
 
 def visible(requests: DataFrame, may_read: DataFrame, docs: DataFrame) -> DataFrame:

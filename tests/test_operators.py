@@ -1,5 +1,6 @@
 """Operators on small made-up cases, and the stream against the batch."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import citations, clean, query_variants, stable_id
@@ -171,6 +172,33 @@ def test_readable_and_visible(spark):
     assert {(r.query_id, r.doc_id) for r in hits} == got
 
 
+@pytest.mark.parametrize("cell", [2, 512])
+def test_readable_is_that_of_all_pairs(spark, monkeypatch, cell):
+    monkeypatch.setattr(catalog, "CELL", cell, raising=False)
+    monkeypatch.setattr(catalog, "LISTED", 8, raising=False)
+    docs = [(i, "ab"[i % 2], None if i % 5 == 0 else i % 7) for i in range(30)] + [(3, "b", 3), (3, "a", 3), (40, None, 2), (None, "a", 2), (41, "a", None), (41, "a", 1)]
+    users = [(u, "ab"[u % 2], r, u == 6) for u in range(12) for r in range(u % 4)] + [(1, "b", 1, False), (1, "b", 1, False), (2, "b", None, False), (None, "a", 2, False), (8, "a", 0, True), (9, None, 1, False), (5, "a", 1, None)]
+    grants = [(i, "role" if i % 3 else "user", (i * 7) % 4, "read" if i % 4 else "write") for i in range(30)] * 2 + [(i, "role", i % 3, "read") for i in range(35)] + [(3, "user", 3, "read"), (4, "user", None, "read"), (None, "role", 1, "read"), (41, "role", 2, "read"), (7, "role", None, "read")]
+    plain, same = [u for u in users if u[3] is False], lambda a, b: a is not None and a == b
+    want = {(t, u[0], d) for d, t, o in docs for u in plain if same(t, u[1]) and same(o, u[0])}
+    given = lambda g, u: g[1] == "user" and same(g[2], u[0]) or g[1] == "role" and same(g[2], u[2])
+    want |= {(t, u[0], d) for d, t, o in docs for g in grants if same(g[0], d) and g[3] == "read" for u in plain if same(t, u[1]) and given(g, u)}
+    want |= {(t, None, d) for d, t, o in docs if o is None} | {(u[1], u[0], None) for u in users if u[3]}
+    frames = (docs, "doc_id long, tenant string, owner long"), (users, "user_id long, tenant string, role long, superadmin boolean"), (grants, "doc_id long, principal_type string, principal_id long, permission string")
+    got = [tuple(r) for r in catalog.readable(*(spark.createDataFrame(*f) for f in frames)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_what_a_role_reads_is_listed_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "CELL", 32, raising=False)
+    monkeypatch.setattr(catalog, "LISTED", 2000, raising=False)
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.lit(1).alias("tenant"), F.lit(-1).cast("long").alias("owner"))
+    users = spark.range(1000).select(F.col("id").alias("user_id"), F.lit(1).alias("tenant"), F.lit(3).cast("long").alias("role"), F.lit(False).alias("superadmin"))
+    grants = docs.select("doc_id", F.lit("role").alias("principal_type"), F.lit(3).cast("long").alias("principal_id"), F.lit("read").alias("permission"))
+    n = [r["count"] for r in catalog.readable(docs, users, grants).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(n) == 60_000 and max(n) < 7500, max(n)  # 8 partitions of a shuffle would hold no fewer
+
+
 def test_cited(spark):
     schema = "query_id long, number int, chunk_id string, doc_id string, start_offset int, end_offset int, content string"
     chunks = spark.createDataFrame([(1, 1, "c0", "d", 0, 48, "x" * 60), (1, 2, "c1", "d", 48, 90, "y")], schema)
