@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .retrieval import bm25, dense, first_of_routes, rrf
-from .tables import broadcast_if_small, spread, written
+from .tables import broadcast_if_small, handed, spread, written
 
 #: What adds `embedding` to a frame that has `text`.
 Encode = Callable[[DataFrame], DataFrame]
@@ -16,7 +16,8 @@ Encode = Callable[[DataFrame], DataFrame]
 
 def embedded(docs: DataFrame, encode: Encode, key: str = "doc_id") -> DataFrame:
     """(vec_id, embedding) of every row of docs(key, text), written once; texts without a vector have null."""
-    return written(encode(spread(docs.select(F.col(key).alias("vec_id"), "text"))).select("vec_id", "embedding"), "embedded")
+    with handed(docs.sparkSession):
+        return written(encode(spread(docs.select(F.col(key).alias("vec_id"), "text"))).select("vec_id", "embedding"), "embedded")
 
 
 def embedded_routes(queries: DataFrame, encode: Encode) -> tuple[DataFrame, DataFrame]:
@@ -25,7 +26,8 @@ def embedded_routes(queries: DataFrame, encode: Encode) -> tuple[DataFrame, Data
     Routes of one query, and queries of many users, share texts: each is encoded once.
     """
     texts = written(queries.select("text").where("text is not null").distinct().withColumn("text_id", F.monotonically_increasing_id()), "texts")
-    vectors = written(encode(texts).select(F.col("text_id").alias("query_id"), "embedding"), "asked")
+    with handed(queries.sparkSession):
+        vectors = written(encode(texts).select(F.col("text_id").alias("query_id"), "embedding"), "asked")
     return vectors.where("embedding is not null"), queries.join(broadcast_if_small(texts), "text")
 
 

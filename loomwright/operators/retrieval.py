@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from . import catalog, files
-from .tables import broadcast_if_small, folder, spread, written
+from .tables import broadcast_if_small, folder, handed, spread, written
 from .terms import Among, best, counted, idf, postings, query_terms, scored
 
 
@@ -80,6 +80,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, variant: str = "okapi
 _SCORED = "query_id long, vec_id long, score double"
 
 
+def _met(blocks: DataFrame, score: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], k: int) -> DataFrame:
+    """The k hits of each query from blocks of queries and vectors, written once: workers are handed a block or a few at a time."""
+    with handed(blocks.sparkSession):
+        return written(top(blocks.select("qs", "vs").mapInArrow(score, _SCORED), k, "vec_id"), "hits")
+
+
 def _matrix(vectors: pa.ListArray) -> np.ndarray:
     """Vectors of one length as the rows of a matrix, without an object for each."""
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
@@ -115,7 +121,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, among: DataFrame
     part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, rows.count() // 4096))).cast("int")
     parts = rows.groupBy(F.size("v").alias("dim"), part.alias("part")).agg(F.collect_list(F.struct("vec_id", "v")).alias("vs"))  # about 4096 vectors each
     met = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, n // 256) - 1)))).join(broadcast_if_small(written(packed, "queries")), ["dim", "block"])
-    return top(met.mapInArrow(_block_tops(k), _SCORED), k, "vec_id")
+    return _met(met, _block_tops(k), k)
 
 
 def _seen_tops(k: int):
@@ -166,7 +172,7 @@ def dense_seen(vectors: DataFrame, queries: DataFrame, requests: DataFrame, docs
     part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, vectors.count() // 4096))).cast("int")
     parts = rows.groupBy("tenant", F.size("v").alias("dim"), part.alias("part")).agg(F.collect_list(F.struct("vec_id", "owner", "to_roles", "to_users", "v")).alias("vs"))
     met = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(broadcast_if_small(written(packed, "queries")), ["tenant", "dim", "block"])
-    return top(met.select("qs", "vs").mapInArrow(_seen_tops(k), _SCORED), k, "vec_id")
+    return _met(met, _seen_tops(k), k)
 
 
 #: Vectors that the lists' centres are fitted on, those of the lowest hashes; every vector is listed.
@@ -206,7 +212,7 @@ def inverted_lists(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: i
     q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).where("q is not null")
     block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, q.count() // 256)))
     asked = _nearest(q, "query_id", "q", centres, probes).groupBy("list", block.alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    return top(packed.join(asked, "list").select("qs", "vs").mapInArrow(_block_tops(k), _SCORED), k, "vec_id")
+    return _met(packed.join(asked, "list"), _block_tops(k), k)
 
 
 def hybrid(vectors: DataFrame, query_vectors: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Bytes of a side that may be broadcast once they are summed.
 BROADCAST_BYTES = 16 << 20
+#: Bytes of rows that a Python worker is handed at a time; a larger row comes alone.
+HANDED = 8 << 20
 
 
 def folder(spark: SparkSession) -> str:
@@ -33,6 +37,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def handed(spark: SparkSession) -> Iterator[None]:
+    """Within it, queries hand Python workers HANDED bytes at a time rather than 64 MB, so that few texts or blocks of vectors are held at once; those that are lazy must be written there."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name, "64m")
+    spark.conf.set(name, str(HANDED))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in as many tasks as there are cores at least: a few large row groups leave most of them idle."""
     n = df.sparkSession.sparkContext.defaultParallelism

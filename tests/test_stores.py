@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwright.functions import embedding as vectors
-from loomwright.operators import embedding, evaluation, retrieval
+from loomwright.operators import embedding, evaluation, retrieval, tables
 from loomwright.operators.store import Store, complete
 from loomwright.operators.terms import TermStore
 from loomwright.streaming import percentiles, sinks
@@ -82,6 +82,45 @@ def test_vectors_of_another_length_are_not_met(spark):
     assert {(r.query_id, r.vec_id) for r in retrieval.dense(v, q, 5).collect()} == {(1, 1), (1, 2), (3, 3)}
 
 
+def test_workers_are_handed_few_texts_and_blocks_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "HANDED", 100_000, raising=False)
+    folder, name = str(tmp_path), "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+
+    def said(kind, n):
+        import uuid
+
+        open(f"{folder}/{kind}-{n}-{uuid.uuid4().hex}", "w").close()
+
+    def model(texts):
+        said("texts", len(texts))
+        return np.ones((len(texts), 2))
+
+    encode = lambda df: df.withColumn("embedding", vectors.encoder(lambda: model, "counts", 2, 1000)("text"))
+    docs = spark.range(800).select(F.col("id").alias("doc_id"), F.repeat(F.lit("words "), 4000).alias("text"))
+    assert embedding.embedded(docs, encode).where("embedding is not null").count() == 800
+    tops = retrieval._block_tops
+
+    def spied(k):
+        inner = tops(k)
+
+        def score(batches):
+            for x in batches:
+                said("blocks", x.num_rows)
+                yield from inner(iter([x]))
+
+        return score
+
+    monkeypatch.setattr(retrieval, "_block_tops", spied)
+    v = spark.range(13_000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0])], "query_id long, embedding array<double>")
+    hits = {(r.query_id, r.rank): r.vec_id for r in retrieval.dense(v, q, 2).collect()}
+    assert hits == {(1, 1): 12_999, (1, 2): 12_998, (2, 1): 0, (2, 2): 1}
+    most = lambda kind: max(int(p.name.split("-")[1]) for p in tmp_path.glob(f"{kind}-*"))
+    assert most("texts") <= 6 and most("blocks") == 1
+    assert spark.conf.get(name) == was
+
+
 @pytest.mark.parametrize("variant", ["okapi", "lucene"])
 def test_terms_after_updates_are_those_from_nothing(spark, tmp_path, variant, monkeypatch):
     docs = {i: f"alpha {'beta ' * (i % 4)} term{i % 5} gamma{i} {'delta' if i % 3 else ''}" for i in range(40)}
