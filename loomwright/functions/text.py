@@ -88,9 +88,9 @@ def compressed(c: Column, cap: Column) -> Column:
 
 
 def json_items(reply: Column, schema: str) -> Column:
-    """The array in a reply, fenced or amid other words; an empty one where there is none."""
-    bare = F.regexp_replace(F.regexp_replace(strip(reply), r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    read = lambda x: F.from_json(x, f"array<{schema}>")
+    """The array in a reply, fenced or amid other words; an empty one where there is none. Texts in it may be of any length."""
+    bare = F.regexp_replace(F.regexp_replace(strip(reply), r"^```(?:json)?\s*", ""), r"(?<!\s)\s*+```$", "")
+    read = lambda x: F.from_json(x, f"array<{schema}>", {"maxStringLen": str(2**31 - 1)})
     whole = F.when(bare.startswith("["), read(bare))
     return F.coalesce(whole, read(F.nullif(F.regexp_extract(bare, r"(?s)\[.*\]", 0), F.lit(""))), F.from_json(F.lit("[]"), f"array<{schema}>"))
 
